@@ -50,21 +50,26 @@ def strip(value: Column) -> Column:
 
 def signature(value: Column) -> Column:
     """Run-length shape of a value: D digits, L letters, _ white space, O other; "" for NULL."""
-    shape = F.coalesce(value, F.lit(""))
-    # each class is mapped to one of its own members, so the four steps cannot disturb each other
-    for members, member in ((f"[{DIGIT}]", "0"), (r"\p{L}", "a"), (f"[{SPACE}]", " "), (r"[^0a ]", "-")):
-        shape = _replace(shape, members, member)
-    runs = F.regexp_extract_all(shape, F.lit("0+|a+| +|-+"), F.lit(0))
-    return F.array_join(
-        F.transform(
-            runs,
-            lambda run: F.concat(
-                F.translate(F.substring(run, 1, 1), "0a -", "DL_O"),
-                F.when(F.length(run) > 1, F.length(run).cast("string")).otherwise(F.lit("")),
-            ),
-        ),
-        "",
-    )
+    parts = rf"\p{{L}}+|[{SPACE}]+|[{DIGIT}]+|[^\p{{L}}{SPACE}{DIGIT}]+"
+    runs = F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit(parts), F.lit(0))
+
+    def kind(head: Column) -> Column:
+        # plain comparisons settle nearly all runs; the patterns are for what is outside ASCII
+        return (
+            F.when(head.between("a", "z") | head.between("A", "Z"), F.lit("L"))
+            .when(head == " ", F.lit("_"))
+            .when(head.between("0", "9"), F.lit("D"))
+            .when(F.rlike(head, F.lit(r"\p{L}")), F.lit("L"))
+            .when(F.rlike(head, F.lit(f"[{SPACE}]")), F.lit("_"))
+            .when(F.rlike(head, F.lit(f"[{DIGIT}]")), F.lit("D"))
+            .otherwise(F.lit("O"))
+        )
+
+    def run_text(run: Column) -> Column:
+        size = F.length(run)
+        return F.concat(kind(F.substring(run, 1, 1)), F.when(size > 1, size.cast("string")).otherwise(F.lit("")))
+
+    return F.array_join(F.transform(runs, run_text), "")
 
 
 def signature_regex(sig: Column) -> Column:

@@ -50,34 +50,47 @@ def exact_median(df: DataFrame, keys: Sequence[str], column: str, name: str = "m
     keys = list(keys)
     slots = 1024
     counted = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
-    span = counted.groupBy(*keys).agg(
-        F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.sum("_n").alias("_total")
+    span = F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"), F.sum("_n").alias("total")).alias("_span")
+    if keys:
+        spanned = counted.join(counted.groupBy(*keys).agg(span), keys)
+    else:
+        spanned = counted.withColumn("_span", counted.agg(span).scalar())
+    share = (F.col(column) - F.col("_span.lo")) / (F.col("_span.hi") - F.col("_span.lo"))
+    slot = F.when(F.col("_span.hi") == F.col("_span.lo"), F.lit(0)).otherwise(
+        F.least(F.floor(share * slots), F.lit(slots - 1))
     )
-    place = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
-        F.least(
-            F.floor((F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * slots), F.lit(slots - 1)
-        )
-    )
-    placed = _join_on(counted, span, keys).withColumn("_slot", place.cast("int"))
+    placed = spanned.withColumns({"_slot": slot.cast("int"), "_total": F.col("_span.total")}).drop("_span")
+    # keyless input has one group: at most 1024 slot rows reach this window
+    group = keys or ["_total"]
     per_slot = placed.groupBy(*keys, "_slot", "_total").agg(F.sum("_n").alias("_in"))
-    run = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = W.partitionBy(*group).orderBy("_slot").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = per_slot.withColumn("_upto", F.sum("_in").over(run))
     low, high = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
     before = F.col("_upto") - F.col("_in")
-    wanted = ranked.where(((before < low) & (F.col("_upto") >= low)) | ((before < high) & (F.col("_upto") >= high)))
-    wanted = wanted.select(*keys, "_slot", before.alias("_before"))
-    middle = placed.join(wanted, [*keys, "_slot"])
+    holds = ((before < low) & (F.col("_upto") >= low)) | ((before < high) & (F.col("_upto") >= high))
+    wanted = ranked.where(holds).select(*keys, "_slot", before.alias("_before"))
     inner = W.partitionBy(*keys, "_slot").orderBy(column).rowsBetween(W.unboundedPreceding, W.currentRow)
-    upto = F.col("_before") + F.sum("_n").over(inner)
-    middle = middle.withColumn("_end", upto)
+    middle = placed.join(wanted, [*keys, "_slot"]).withColumn("_end", F.col("_before") + F.sum("_n").over(inner))
     start = F.col("_end") - F.col("_n")
-    hit_low = (start < low) & (F.col("_end") >= low)
-    hit_high = (start < high) & (F.col("_end") >= high)
-    return middle.groupBy(*keys).agg(
-        ((F.max(F.when(hit_low, F.col(column))) + F.max(F.when(hit_high, F.col(column)))) / 2).alias(name)
-    )
+    at_low = F.max(F.when((start < low) & (F.col("_end") >= low), F.col(column)))
+    at_high = F.max(F.when((start < high) & (F.col("_end") >= high), F.col(column)))
+    return middle.groupBy(*keys).agg(((at_low + at_high) / 2).alias(name))
 
 
-def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Equi join; a keyless right side is a single aggregate row."""
-    return left.join(right, list(keys)) if keys else left.crossJoin(right)
+def spread(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """count, mean, population std, min, max and exact median of a number per group; zeros when empty."""
+    keys = list(keys)
+    measures = [
+        F.count(column).alias("count"),
+        F.avg(column).alias("mean"),
+        F.stddev_pop(column).alias("std"),
+        F.min(column).alias("min"),
+        F.max(column).alias("max"),
+    ]
+    summary = df.groupBy(*keys).agg(*measures)
+    middle = exact_median(df, keys, column)
+    if keys:
+        joined = summary.join(middle, keys, "left")
+    else:
+        joined = summary.withColumn("median", middle.agg(F.max("median")).scalar())
+    return joined.fillna(0.0, subset=["mean", "std", "min", "max", "median"])

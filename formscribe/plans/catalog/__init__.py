@@ -28,4 +28,8 @@ def load_all() -> None:
         scalars,
         keys,
         profiles,
+        rules,
+        validation,
+        reviews,
+        reports,
     )

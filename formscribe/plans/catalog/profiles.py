@@ -50,7 +50,13 @@ _TOP_TEXT = """(select composite_key, string_agg(sig || '~' || n || '~' || examp
            from ranked r join ex e on r.composite_key = e.composite_key and r.sig = e.sig and e.er <= 3
            where r.rk <= 10 {rare} group by 1, 2, 3, 4) group by 1)"""
 _SAMPLE_TEXT = """(select composite_key, string_agg(value, '^' order by sr) as samples from ex where sr <= 5 group by 1)"""
-_RARE = "and r.n >= greatest(5, floor(r.cnt * 1.0 / 100))"
+
+
+def _rare(frequency: int = 5, pct: float = 1.0) -> str:
+    return f"and r.n >= greatest({frequency}, floor(r.cnt * {pct} / 100))"
+
+
+_RARE = _rare()
 
 
 def _register_stats(name: str) -> None:
@@ -118,16 +124,17 @@ _ANALYSIS_COLUMNS = """length_min, length_max, length_mean, length_std, length_m
     pct_special, pct_whitespace, pct_parentheses, pct_commas, pct_dashes, has_units"""
 
 
-def profile_cte(name: str) -> str:
+def profile_cte(name: str, frequency: int = 5, pct: float = 1.0) -> str:
     """CTEs ending in `prof`, the flat profile of a view."""
     regex = duck.signature_regex("lead.sig")
+    rare = _rare(frequency, pct)
     return f"""{_base(name)}, {_HIST}, {_ANALYSIS},
-    lead as (select composite_key, sig from ranked r where rk = 1 {_RARE}),
+    lead as (select composite_key, sig from ranked r where rk = 1 {rare}),
     prof as (select tot.composite_key, cnt as "count", uniq as unique_values, round(uniq * 1.0 / cnt, 6) as unique_ratio,
         uniq * 1.0 / cnt > 0.8 as is_free_text, is_numeric_unit, coalesce(signatures, '') as signatures,
         case when lead.sig is not null then {regex} end as candidate_regex, {_ANALYSIS_COLUMNS}, samples
     from tot join ana on tot.composite_key = ana.composite_key left join lead on tot.composite_key = lead.composite_key
-      left join {_TOP_TEXT.format(rare=_RARE)} a on tot.composite_key = a.composite_key
+      left join {_TOP_TEXT.format(rare=rare)} a on tot.composite_key = a.composite_key
       left join {_SAMPLE_TEXT} b on tot.composite_key = b.composite_key)"""
 
 

@@ -68,9 +68,10 @@ def title_case(v: str) -> str:
 
 
 def collapse_punctuation(v: str) -> str:
-    """Drop each punctuation character that equals its predecessor."""
-    return rf"""array_to_string(list_filter(string_split({v}, ''), lambda c, i:
-        not (i > 1 and regexp_matches(c, {lit(f'^[^{WORD}{SPACE}]$')}) and c = string_split({v}, '')[i - 1])), '')"""
+    """In every run of punctuation, drop each character that equals its predecessor."""
+    runs = f"regexp_extract_all({v}, {lit(f'[^{WORD}{SPACE}]+|[{WORD}{SPACE}]+')})"
+    return rf"""array_to_string(list_transform({runs}, lambda r: case when regexp_matches(r, {lit(f'^[{WORD}{SPACE}]')}) then r
+        else array_to_string(list_filter(string_split(r, ''), lambda c, i: i = 1 or c <> string_split(r, '')[i - 1]), '') end), '')"""
 
 
 def drop_leading_zeros(v: str) -> str:

@@ -59,7 +59,7 @@ VIEWS["v_reviews"] = """
                case when value < 20 then 'accept' when value < 40 then 'edit' else 'reject' end as decision,
                case when value < 20 then null when value < 30 then replace(props, ' ', '')
                     when value < 40 then upper(props) else null end as corrected_value,
-               cast(ts as timestamp) as reviewed_at, 1.0 / (1.0 + value / 100.0) as confidence, user_id
+               ts as reviewed_at, 1.0 / (1.0 + value / 100.0) as confidence, user_id
         from {events}"""
 
 
