@@ -32,4 +32,5 @@ def load_all() -> None:
         validation,
         reviews,
         reports,
+        vectors,
     )
