@@ -6,7 +6,7 @@ and `\\b` differ from Python's on combining marks, separators and non-ASCII digi
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,6 +44,12 @@ def _replace(value: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(value, F.lit(pattern), F.lit(replacement))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once. An outer expression used inside a lambda would be computed
+    for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(value: Column) -> Column:
     return _replace(value, f"^[{SPACE}]+|[{SPACE}]+$", "")
 

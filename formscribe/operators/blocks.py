@@ -21,18 +21,22 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def add_blocks(df: DataFrame, group: Sequence[str], item: str, block_rows: int, prefix: str = "") -> DataFrame:
-    """Adds `<prefix>nb`, the number of blocks of the row's group, and `<prefix>b`, the row's block."""
-    blocks = F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(f"{prefix}nb")
-    sizes = df.groupBy(*group).agg(blocks)
+def add_blocks(
+    df: DataFrame, group: Sequence[str], item: str, block_rows: int, prefix: str = "", at_least: int = 1
+) -> DataFrame:
+    """Adds `<prefix>nb`, the number of blocks of the row's group, and `<prefix>b`, the row's block. Groups of
+    fewer than `at_least` rows are left out."""
+    count = F.count(F.lit(1))
+    sizes = df.groupBy(*group).agg(F.ceil(count / block_rows).cast("int").alias(f"{prefix}nb"), count.alias("_n"))
+    sizes = sizes.where(F.col("_n") >= at_least).drop("_n")
     return df.join(sizes, list(group)).withColumn(
         f"{prefix}b", F.pmod(F.xxhash64(item), F.col(f"{prefix}nb")).cast("int")
     )
 
 
-def block_pairs(df: DataFrame, group: Sequence[str], item: str, block_rows: int) -> DataFrame:
+def block_pairs(df: DataFrame, group: Sequence[str], item: str, block_rows: int, at_least: int = 1) -> DataFrame:
     """Each row once per block pair (lo <= hi) that contains its block `b`."""
-    blocked = add_blocks(df, group, item, block_rows)
+    blocked = add_blocks(df, group, item, block_rows, at_least=at_least)
     paired = blocked.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return paired.withColumns({"lo": F.least("b", "_x"), "hi": F.greatest("b", "_x")}).drop("_x", "nb")
 
@@ -102,3 +106,28 @@ def strings(table: pa.Table, name: str) -> np.ndarray:
 
 def numbers(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy()
+
+
+def sparse_rows(table: pa.Table, width: int | None = None) -> np.ndarray:
+    """Columns idx, w (positions and weights of the non-zero entries) as dense float64 rows."""
+    idx, weights = table.column("idx").combine_chunks(), table.column("w").combine_chunks()
+    if isinstance(idx, pa.ChunkedArray):
+        idx, weights = pa.concat_arrays(idx.chunks), pa.concat_arrays(weights.chunks)
+    sizes = np.diff(idx.offsets.to_numpy()) if len(idx) else np.zeros(0, int)
+    columns = idx.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    values = weights.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    wide = max(width or 0, int(columns.max()) + 1 if len(columns) else 1)
+    out = np.zeros((len(idx), wide))
+    out[np.repeat(np.arange(len(idx)), sizes), columns] = values
+    return out
+
+
+def constants(table: pa.Table, names: Sequence[str], rows: int) -> dict[str, pa.Array]:
+    """The group's own columns repeated for the result rows."""
+    return {n: pa.array([table.column(n)[0].as_py()] * rows, table.schema.field(n).type) for n in names}
+
+
+def group_schema(df: DataFrame, group: Sequence[str], rest: str) -> str:
+    """Schema text: the group columns with their types, then `rest`."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    return ", ".join([*(f"{g} {types[g]}" for g in group), rest])

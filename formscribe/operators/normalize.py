@@ -64,8 +64,7 @@ def apply_rules(value: Column, rules: Column, registry: dict[str, Rule] | None =
                 value.alias("v"), changed.alias("changed"), F.coalesce(said, state["comment"]).alias("comment")
             )
 
-        # the one-element transform binds the new value, so that it is computed once
-        return F.get(F.transform(F.array(new), record), F.lit(0))
+        return text.let(new, record)
 
     def outcome(text_: Column, names: Column, changed: Column, comment: Column) -> Column:
         return F.struct(

@@ -94,3 +94,19 @@ def spread(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     else:
         joined = summary.withColumn("median", middle.agg(F.max("median")).scalar())
     return joined.fillna(0.0, subset=["mean", "std", "min", "max", "median"])
+
+
+def number_items(df: DataFrame, keys: Sequence[str], item: str, bucket: Column, name: str) -> DataFrame:
+    """0-based number of each row within its group in the order of `item`, which must be unique there.
+
+    `bucket` is a prefix of the item's order. Buckets are counted and offset first, so a large group is
+    numbered bucket by bucket and never sorted whole in one task.
+    """
+    keys = list(keys)
+    placed = df.withColumn("_bucket", bucket)
+    sizes = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(item))
+    numbered = placed.join(offsets, [*keys, "_bucket"])
+    return numbered.withColumn(name, (F.col("_before") + inside - 1).cast("long")).drop("_bucket", "_before")

@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -45,19 +44,11 @@ def value_id(value: Column) -> Column:
 
 
 def positions(values: DataFrame) -> DataFrame:
-    """0-based position of each distinct value within its key.
+    """0-based position of each distinct value within its key, in value order."""
+    from formscribe.operators.ranking import number_items
 
-    A running count over range-partitioned blocks: rows are placed into value buckets by their first
-    character codes, so that a large key is not sorted in one task.
-    """
-    bucket = F.substring(F.hex(F.encode("value", "UTF-8")), 1, 8)
-    distinct = values.select(KEY, "value").distinct().withColumn("_bucket", bucket)
-    sizes = distinct.groupBy(KEY, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(KEY).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = F.row_number().over(W.partitionBy(KEY, "_bucket").orderBy("value"))
-    placed = distinct.join(offsets, [KEY, "_bucket"])
-    return placed.select(KEY, "value", (F.col("_before") + inside - 1).cast("long").alias("position"))
+    leading = F.substring(F.hex(F.encode("value", "UTF-8")), 1, 8)
+    return number_items(values.select(KEY, "value").distinct(), [KEY], "value", leading, "position")
 
 
 def char_ngram_encoder(dimension: int = Settings.dimension, sizes: tuple[int, ...] = (2, 3)) -> Callable[[], Encoder]:

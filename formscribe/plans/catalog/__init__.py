@@ -33,4 +33,6 @@ def load_all() -> None:
         reviews,
         reports,
         vectors,
+        clusters,
+        training,
     )

@@ -232,11 +232,9 @@ def key_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def enqueue_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of unknown keys all go to review."""
-    from formscribe.operators.normalize import rules_from_profiles
-    from formscribe.operators.profile import key_profiles
     from formscribe.operators.validate import validate_values
-    from formscribe.plans.catalog.validation import requests
+    from formscribe.plans.catalog.validation import learnt, requests
 
-    profiles = key_profiles(view(spark, sf_dir, "v_parts"))
-    verdicts = validate_values(requests(spark, sf_dir), profiles, rules_from_profiles(profiles), as_of=as_of())
+    profiles, rules = learnt(spark, sf_dir)
+    verdicts = validate_values(requests(spark, sf_dir), profiles, rules, as_of=as_of())
     return R.review_items(verdicts).select("id", KEY, "original_value", "confidence")

@@ -14,6 +14,7 @@ from formscribe.plans.catalog import query
 from formscribe.plans.catalog.profiles import joined_signatures, profile_cte
 from formscribe.plans.catalog.rules import hints_cte, normalized_ctes
 from formscribe.plans.views import VIEWS, sql_view, view
+from formscribe.session import cut_lineage
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -74,12 +75,16 @@ def validate_values_review_mismatch(spark: SparkSession, sf_dir: str) -> DataFra
     return _flat(_validated(spark, sf_dir, inclusive=True))
 
 
+def learnt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(profiles, rules) as stored stage tables: validation reads them several times."""
+    profiles = cut_lineage(key_profiles(view(spark, sf_dir, "v_parts"), SMALL_DATA))
+    return profiles, rules_from_profiles(profiles)
+
+
 def _validated(spark: SparkSession, sf_dir: str, inclusive: bool = False) -> DataFrame:
-    profiles = key_profiles(view(spark, sf_dir, "v_parts"), SMALL_DATA)
+    profiles, rules = learnt(spark, sf_dir)
     as_of = F.lit(AS_OF).cast("timestamp")
-    return D.validate_values(
-        requests(spark, sf_dir), profiles, rules_from_profiles(profiles), inclusive=inclusive, as_of=as_of
-    )
+    return D.validate_values(requests(spark, sf_dir), profiles, rules, inclusive=inclusive, as_of=as_of)
 
 
 def _flat(verdicts: DataFrame) -> DataFrame:

@@ -190,17 +190,13 @@ def embed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("validate_with_neighbours")
 def validate_with_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests against profiles, rules and the vectors of the learnt values."""
-    from formscribe.config import SMALL_DATA
     from formscribe.operators import validate as D
     from formscribe.operators.keys import add_composite_key
-    from formscribe.operators.normalize import rules_from_profiles
-    from formscribe.operators.profile import key_profiles
-    from formscribe.plans.catalog.validation import AS_OF, requests
+    from formscribe.plans.catalog.validation import AS_OF, learnt, requests
 
-    items = add_composite_key(view(spark, sf_dir, "v_parts"))
-    profiles = key_profiles(items, SMALL_DATA)
-    rules = rules_from_profiles(profiles)
+    profiles, rules = learnt(spark, sf_dir)
     asked = requests(spark, sf_dir)
     prepared = D.prepare_requests(asked, profiles, rules).where(F.col("known"))
-    duplicates = N.duplicate_check(prepared, V.embed_values(items))
+    stored = V.embed_values(add_composite_key(view(spark, sf_dir, "v_parts")))
+    duplicates = N.duplicate_check(prepared, stored)
     return D.validate_values(asked, profiles, rules, duplicates, as_of=F.lit(AS_OF).cast("timestamp"))
