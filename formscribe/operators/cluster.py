@@ -35,7 +35,7 @@ def cluster_routes(values: DataFrame, profiles: DataFrame, use_embeddings: bool
     by_vector = F.col("is_free_text") & F.lit(use_embeddings)
     method = (
         F.when(F.col("total") < 5, F.lit("insufficient_data"))
-        .when("is_numeric_unit", F.lit("numeric_unit"))
+        .when(F.col("is_numeric_unit"), F.lit("numeric_unit"))
         .when(by_vector, F.lit("embeddings"))
         .otherwise(F.lit("tfidf"))
     )

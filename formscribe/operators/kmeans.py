@@ -42,11 +42,16 @@ def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def train_centres(
-    rows: DataFrame, group: Sequence[str] = (KEY,), k: str = "k", sample_rows: int = 2048
+    rows: DataFrame,
+    group: Sequence[str] = (KEY,),
+    k: str = "k",
+    sample_rows: int = 2048,
+    whole: bool = False,
 ) -> DataFrame:
     """Centres (group, cluster, idx, w) from a mini-batch of at most `sample_rows` rows per group.
 
     The batch bounds what one task holds; groups below it are used whole. Every row is assigned afterwards.
+    With `whole` the arrays also keep zero entries, so that w is the dense centre.
     """
     group = list(group)
     hashed = rows.withColumn("_h", F.xxhash64("id"))
@@ -58,7 +63,7 @@ def train_centres(
         dense = sparse_rows(table)
         centres = fit_centres(dense, numbers(table, "n").astype(float), int(numbers(table, k)[0]))
         centres = centres[np.lexsort(centres.T[::-1])]
-        entries = [np.flatnonzero(c) for c in centres]
+        entries = [np.arange(len(c)) if whole else np.flatnonzero(c) for c in centres]
         return pa.table(
             {
                 **constants(table, group, len(centres)),
@@ -69,7 +74,8 @@ def train_centres(
         )
 
     schema = group_schema(rows, group, "cluster int, idx array<int>, w array<double>")
-    return map_groups(batch.select(*group, "id", "n", k, "idx", "w"), group, kernel, schema)
+    columns = dict.fromkeys([*group, "id", "n", k, "idx", "w"])
+    return map_groups(batch.select(*columns), group, kernel, schema)
 
 
 def assign_centres(

@@ -190,7 +190,8 @@ def drawn_partners(values: DataFrame, per_value: int = 2, bucket_rows: int = 100
     )
     ring = W.partitionBy(KEY, "_b").orderBy(order, "value")
     partners = F.array_compact(F.array(*[F.lead("value", i).over(ring) for i in range(1, per_value + 1)]))
-    return placed.select(KEY, F.col("value").alias("left"), F.explode(partners).alias("right"))
+    drawn = placed.select(KEY, F.col("value").alias("left"), partners.alias("_p"))
+    return drawn.select(KEY, "left", F.explode("_p").alias("right"))
 
 
 def dissimilar_texts(values: DataFrame, most: float = 0.3, per_value: int = 2) -> DataFrame:

@@ -35,4 +35,6 @@ def load_all() -> None:
         vectors,
         clusters,
         training,
+        approximate,
+        streams,
     )

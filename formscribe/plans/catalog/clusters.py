@@ -21,13 +21,17 @@ from formscribe.plans.views import load, view, with_views
 
 
 def _terms_sql(name: str, low: int, high: int, features: int) -> str:
-    grams = " || ".join(
-        f"(case when len(w) >= {n} then list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) else [] end)"
+    """CTEs d (distinct values), tf and voc (kept terms with idf); n-grams come from the words that follow."""
+    grams = " union all ".join(
+        f"select composite_key, value, n, concat_ws(' ', {', '.join(f't{j}' for j in range(n))}) as term from w where t{n - 1} is not null"
         for n in range(low, high + 1)
     )
+    leads = ", ".join(f"lead(t, {j}) over (partition by composite_key, value order by i) as t{j}" for j in range(high))
     return f"""{with_views('v_' + name)}, k as (select {duck.key()} as composite_key, value from v_{name} where value is not null),
-    d as (select composite_key, value, count(*) as n, regexp_extract_all(lower(value), '[\\p{{L}}\\p{{N}}_]{{2,}}') as w from k group by 1, 2),
-    g as (select composite_key, value, n, unnest({grams}) as term from d),
+    d as (select composite_key, value, count(*) as n, regexp_extract_all(lower(value), '[\\p{{L}}\\p{{N}}_]{{2,}}') as words from k group by 1, 2),
+    u as (select composite_key, value, n, unnest(words) as t, generate_subscripts(words, 1) as i from d),
+    w as (select composite_key, value, n, {leads} from u),
+    g as ({grams}),
     tf as (select composite_key, value, n, term, count(*) as tf from g group by 1, 2, 3, 4),
     docs as (select composite_key, sum(n) as docs from d group by 1),
     df as (select composite_key, term, sum(n) as df, sum(tf * n) as total from tf group by 1, 2),
