@@ -25,10 +25,12 @@ def norm(vector: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """L2-normalised vector; a zero vector stays zero."""
-    length = norm(vector)
-    return F.when(length == 0, F.transform(vector, lambda x: x.cast("double"))).otherwise(
-        F.transform(vector, lambda x: x.cast("double") / length)
-    )
+
+    def scaled(length: Column) -> Column:
+        divisor = F.when(length == 0, F.lit(1.0)).otherwise(length)
+        return F.transform(vector, lambda x: x.cast("double") / divisor)
+
+    return text.let(norm(vector), scaled)
 
 
 def cosine(left: Column, right: Column) -> Column:
