@@ -26,7 +26,7 @@ def _bodies() -> dict[str, str]:
         "drop_thousands_separators": r"""regexp_replace(coalesce(v, ''), r'(?<=\p{Nd}),(?=\p{Nd}{3}(?:\P{Nd}|$))', '')""",
         "drop_leading_zeros": rf"""regexp_replace(v, r'(?<![{WORD}])0+(?=\p{{Nd}})', '')""",
         "collapse_punctuation": rf"""regexp_replace(v, r'([^{WORD}{SPACE}])\1+', '$1')""",
-        "title_case": rf"""array_join(transform(regexp_extract_all(v, r'\p{{L}}+|\P{{L}}+', 0), w -> {word}), '')""",
+        "title_case": rf"""array_join(transform(regexp_extract_all(v, r'[\p{{Lu}}\p{{Ll}}\p{{Lt}}]+|[^\p{{Lu}}\p{{Ll}}\p{{Lt}}]+', 0), w -> {word}), '')""",
     }
 
 

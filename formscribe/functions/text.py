@@ -135,7 +135,7 @@ def parenthetical(value: Column) -> Column:
 
 
 def title_case(value: Column) -> Column:
-    words = F.regexp_extract_all(value, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    words = F.regexp_extract_all(value, F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), F.lit(0))
 
     def titled(word: Column) -> Column:
         # the upper form of one letter can be two letters, of which only the first stays upper

@@ -1,6 +1,8 @@
 """String functions over every value of four item views."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,49 +11,49 @@ from formscribe.plans import duck
 from formscribe.plans.catalog import query
 from formscribe.plans.views import view, with_views
 
-V = F.col("value")
 UNIT_MAP = {"V": "volt", "Hz": "hertz", "ring": "loop"}
 
 
-def _each_value(name: str, columns: dict[str, Column], sql_columns: dict[str, str], where: str | None = None) -> None:
+def _each_value(name: str, columns: Callable[[Column], dict[str, Column]], sql_columns: dict[str, str]) -> None:
+    """A query of `columns(value)`; they are built per run, as columns need a running session."""
     listed = ", ".join(f"{body} as {alias}" for alias, body in sql_columns.items())
-    sql = f"{with_views('v_mixed')} select src, row_id, {listed} from v_mixed" + (f" where {where}" if where else "")
+    sql = f"{with_views('v_mixed')} select src, row_id, {listed} from v_mixed"
 
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = view(spark, sf_dir, "v_mixed")
-        return df.select("src", "row_id", *[c.alias(a) for a, c in columns.items()])
+        return df.select("src", "row_id", *[c.alias(a) for a, c in columns(F.col("value")).items()])
 
 
-_each_value("signature", {"sig": text.signature(V)}, {"sig": duck.signature("value")})
+_each_value("signature", lambda v: {"sig": text.signature(v)}, {"sig": duck.signature("value")})
 _each_value(
     "signature_regex",
-    {"regex": text.signature_regex(text.signature(V))},
+    lambda v: {"regex": text.signature_regex(text.signature(v))},
     {"regex": duck.signature_regex(duck.signature("value"))},
 )
 _each_value(
-    "collapse_whitespace", {"cleaned": text.collapse_whitespace(V)}, {"cleaned": duck.collapse_whitespace("value")}
+    "collapse_whitespace", lambda v: {"cleaned": text.collapse_whitespace(v)}, {"cleaned": duck.collapse_whitespace("value")}
 )
 _each_value(
-    "join_number_and_unit", {"cleaned": text.join_number_and_unit(V)}, {"cleaned": duck.join_number_and_unit("value")}
+    "join_number_and_unit", lambda v: {"cleaned": text.join_number_and_unit(v)}, {"cleaned": duck.join_number_and_unit("value")}
 )
 _each_value(
     "thousands_separators",
-    {"cleaned": text.drop_thousands_separators(V)},
+    lambda v: {"cleaned": text.drop_thousands_separators(v)},
     {"cleaned": duck.drop_thousands_separators("value")},
 )
 _each_value(
     "parenthetical_comment",
-    {"cleaned": text.parenthetical(V)["cleaned"], "comment": text.parenthetical(V)["comment"]},
+    lambda v: {"cleaned": text.parenthetical(v)["cleaned"], "comment": text.parenthetical(v)["comment"]},
     {"cleaned": duck.cleaned("value"), "comment": duck.comment("value")},
 )
 _each_value(
     "change_case",
-    {
-        "lowered": text.change_case(V, F.lit("lower")),
-        "uppered": text.change_case(V, F.lit("upper")),
-        "titled": text.change_case(V, F.lit("title")),
-        "kept": text.change_case(V, F.lit("preserve")),
+    lambda v: {
+        "lowered": text.change_case(v, F.lit("lower")),
+        "uppered": text.change_case(v, F.lit("upper")),
+        "titled": text.change_case(v, F.lit("title")),
+        "kept": text.change_case(v, F.lit("preserve")),
     },
     {
         "lowered": "lower(value)",
@@ -61,7 +63,7 @@ _each_value(
     },
 )
 _each_value(
-    "collapse_punctuation", {"cleaned": text.collapse_punctuation(V)}, {"cleaned": duck.collapse_punctuation("value")}
+    "collapse_punctuation", lambda v: {"cleaned": text.collapse_punctuation(v)}, {"cleaned": duck.collapse_punctuation("value")}
 )
 
 
@@ -71,16 +73,16 @@ def _mapped(v: str) -> str:
     return v
 
 
-_each_value("map_units", {"cleaned": text.map_units(V, UNIT_MAP)}, {"cleaned": _mapped("value")})
+_each_value("map_units", lambda v: {"cleaned": text.map_units(v, UNIT_MAP)}, {"cleaned": _mapped("value")})
 _each_value(
     "map_units_from_table",
-    {"cleaned": text.map_units_from(V, F.create_map(*[F.lit(x) for kv in UNIT_MAP.items() for x in kv]))},
+    lambda v: {"cleaned": text.map_units_from(v, F.create_map(*[F.lit(x) for kv in UNIT_MAP.items() for x in kv]))},
     {"cleaned": _mapped("value")},
 )
-_each_value("leading_zeros", {"cleaned": text.drop_leading_zeros(V)}, {"cleaned": duck.drop_leading_zeros("value")})
+_each_value("leading_zeros", lambda v: {"cleaned": text.drop_leading_zeros(v)}, {"cleaned": duck.drop_leading_zeros("value")})
 _each_value(
     "number_and_unit",
-    {"number": text.number_and_unit(V)["number"], "unit": text.number_and_unit(V)["unit"]},
+    lambda v: {"number": text.number_and_unit(v)["number"], "unit": text.number_and_unit(v)["unit"]},
     {
         "number": r"try_cast(nullif(regexp_extract(trim(value), '^([0-9]+(?:\.[0-9]+)?)\s*([A-Za-z]+)$', 1), '') as double)",
         "unit": r"nullif(regexp_extract(trim(value), '^([0-9]+(?:\.[0-9]+)?)\s*([A-Za-z]+)$', 2), '')",
@@ -88,14 +90,14 @@ _each_value(
 )
 _each_value(
     "character_tests",
-    {
-        "digits": text.has_digit(V),
-        "letters": text.has_letter(V),
-        "special": text.has_special(V),
-        "whitespace": text.has_whitespace(V),
-        "parentheses": text.has_parentheses(V),
-        "commas": text.has_comma(V),
-        "dashes": text.has_dash(V),
+    lambda v: {
+        "digits": text.has_digit(v),
+        "letters": text.has_letter(v),
+        "special": text.has_special(v),
+        "whitespace": text.has_whitespace(v),
+        "parentheses": text.has_parentheses(v),
+        "commas": text.has_comma(v),
+        "dashes": text.has_dash(v),
     },
     {
         "digits": duck.digit("value"),
@@ -109,10 +111,10 @@ _each_value(
 )
 _each_value(
     "unit_tests",
-    {"unit_word": text.has_unit_word(V), "number_with_unit": text.is_number_with_unit(V)},
+    lambda v: {"unit_word": text.has_unit_word(v), "number_with_unit": text.is_number_with_unit(v)},
     {"unit_word": duck.unit_word("value"), "number_with_unit": duck.number_unit_pattern("value")},
 )
-_each_value("embedding_text", {"cleaned": text.embedding_text(V)}, {"cleaned": duck.strip("coalesce(value, '')")})
+_each_value("embedding_text", lambda v: {"cleaned": text.embedding_text(v)}, {"cleaned": duck.strip("coalesce(value, '')")})
 
 
 @query(
@@ -144,7 +146,7 @@ def prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = view(spark, sf_dir, "v_parts").unionByName(view(spark, sf_dir, "v_customers"))
     patterns = key_patterns(items, Settings(min_signature_frequency=1, rare_signature_pct=0.0))
     joined = add_composite_key(items).join(patterns.select("composite_key", "candidate_regex"), "composite_key")
-    return joined.select("composite_key", "row_id", text.matches_prefix(V, F.col("candidate_regex")).alias("matched"))
+    return joined.select("composite_key", "row_id", text.matches_prefix(F.col("value"), F.col("candidate_regex")).alias("matched"))
 
 
 @query(
@@ -162,7 +164,7 @@ def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     values = add_composite_key(view(spark, sf_dir, "v_parts")).select("composite_key", "value").distinct()
     nearest = values.withColumn("other", F.lead("value").over(W.partitionBy("composite_key").orderBy("value")))
-    similarity = F.round(text.edit_similarity(V, F.col("other")), 6)
+    similarity = F.round(text.edit_similarity(F.col("value"), F.col("other")), 6)
     return nearest.where(F.col("other").isNotNull()).select("composite_key", "value", "other", similarity.alias("similarity"))
 
 
@@ -197,4 +199,4 @@ def correction_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def transformation_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = view(spark, sf_dir, "v_mixed")
-    return df.select("src", "row_id", text.transformation_kind(V, text.basic_form(V)).alias("kind"))
+    return df.select("src", "row_id", text.transformation_kind(F.col("value"), text.basic_form(F.col("value"))).alias("kind"))

@@ -63,7 +63,7 @@ def comment(v: str) -> str:
 
 
 def title_case(v: str) -> str:
-    return rf"""array_to_string(list_transform(regexp_extract_all({v}, '\p{{L}}+|\P{{L}}+'),
+    return rf"""array_to_string(list_transform(regexp_extract_all({v}, '[\p{{Lu}}\p{{Ll}}\p{{Lt}}]+|[^\p{{Lu}}\p{{Ll}}\p{{Lt}}]+'),
         lambda w: (case when w[1] = 'ß' then 'Ss' else upper(w[1]) end) || lower(substr(w, 2))), '')"""
 
 
