@@ -16,11 +16,6 @@ from pyspark.sql.types import StructType
 Kernel = Callable[[pa.Table], "pa.Table | None"]
 
 
-def partitions(df: DataFrame) -> int:
-    """Block kernels are compute-bound; their partition count is fixed, not merged by output size."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def add_blocks(
     df: DataFrame, group: Sequence[str], item: str, block_rows: int, prefix: str = "", at_least: int = 1
 ) -> DataFrame:
@@ -45,10 +40,11 @@ def map_groups(df: DataFrame, group: Sequence[str], kernel: Kernel, schema: str
     """Apply `kernel` to the rows of every group; groups must be of bounded size.
 
     Rows arrive sorted by group in Arrow batches, so many small groups share one batch and no group pays for
-    its own transfer.
+    its own transfer. The partition count is left to the session, so that adaptive execution can merge small
+    partitions without ever splitting a group.
     """
     group = list(group)
-    arranged = df.repartition(partitions(df), *group).sortWithinPartitions(*group, *order)
+    arranged = df.repartition(*group).sortWithinPartitions(*group, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, group):

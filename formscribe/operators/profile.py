@@ -62,7 +62,7 @@ def first_values(values: DataFrame, per_signature: int) -> DataFrame:
 def ranked_signatures(signatures: DataFrame, k: int) -> DataFrame:
     """Most frequent signatures per key; ties go to the one seen first, then to the smaller text."""
     order = [F.col("n").desc(), F.col("first_pos").asc_nulls_last(), F.col("sig")]
-    return top_per_group(signatures.select(KEY, "sig", "n", "first_pos"), [KEY], order, k)
+    return top_per_group(signatures, [KEY], order, k)
 
 
 def _ordered_values(rank: str) -> Column:
@@ -71,13 +71,17 @@ def _ordered_values(rank: str) -> Column:
     return F.transform(pairs, lambda p: p["v"])
 
 
-def _signature_lists(values: DataFrame, firsts: DataFrame, settings: Settings) -> DataFrame:
-    """top_signatures per key before percentages: at most ten entries of at most three examples."""
+def _signature_lists(signatures: DataFrame, firsts: DataFrame, settings: Settings) -> DataFrame:
+    """top_signatures per key before percentages: at most ten entries of at most three examples.
+
+    The entries keep all measures of their signature, although few are shown: with equal columns Spark shares
+    one shuffle of the signature table between this ranking and the totals.
+    """
     examples = firsts.groupBy(KEY, "sig").agg(
         F.slice(_ordered_values("rank"), 1, settings.examples_per_signature).alias("examples")
     )
-    ranked = ranked_signatures(signature_table(values), settings.top_signatures)
-    entry = F.struct("rank", "sig", "n", "examples")
+    ranked = ranked_signatures(signatures, settings.top_signatures)
+    entry = F.struct("rank", "sig", "n", "examples", *[c for c in signatures.columns if c not in (KEY, "sig", "n")])
     return (
         ranked.join(examples, [KEY, "sig"], "left")
         .groupBy(KEY)
@@ -129,10 +133,11 @@ def rare_limit(total: Column, settings: Settings) -> Column:
 def key_stats(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Statistics per key with the most frequent signatures and sample values."""
     values = value_table(df, settings)
-    totals = key_totals(signature_table(values), settings)
+    signatures = signature_table(values)
+    totals = key_totals(signatures, settings)
     firsts = first_values(values, max(settings.sample_values, settings.examples_per_signature))
     return (
-        totals.join(_signature_lists(values, firsts, settings), KEY, "left")
+        totals.join(_signature_lists(signatures, firsts, settings), KEY, "left")
         .join(_sample_lists(firsts, settings.sample_values), KEY, "left")
         .withColumn("top_signatures", _with_percentages(F.col("ranked"), F.col("count")))
         .drop("ranked")
@@ -195,10 +200,11 @@ def key_profiles(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
     columns, so Spark scans and shuffles the input once and reuses that exchange.
     """
     values = value_table(df, settings)
-    summary = signature_table(values, tests=True).groupBy(KEY).agg(*_totals(settings), *_analysis())
+    signatures = signature_table(values, tests=True)
+    summary = signatures.groupBy(KEY).agg(*_totals(settings), *_analysis())
     firsts = first_values(values, max(settings.sample_values, settings.examples_per_signature))
     joined = (
-        summary.join(_signature_lists(values, firsts, settings), KEY, "left")
+        summary.join(_signature_lists(signatures, firsts, settings), KEY, "left")
         .join(_sample_lists(firsts, settings.sample_values), KEY, "left")
         .withColumn(
             "top_signatures",
