@@ -9,24 +9,31 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 Kernel = Callable[[pa.Table], "pa.Table | None"]
 
 
+def block_counts(df: DataFrame, group: Sequence[str], block_rows: int, prefix: str = "", at_least: int = 1) -> DataFrame:
+    """(group, `<prefix>nb`): number of blocks of every group with `at_least` rows. Reads the group columns only."""
+    count = F.count(F.lit(1))
+    sizes = df.groupBy(*group).agg(F.ceil(count / block_rows).cast("int").alias(f"{prefix}nb"), count.alias("_n"))
+    return sizes.where(F.col("_n") >= at_least).drop("_n")
+
+
 def add_blocks(
     df: DataFrame, group: Sequence[str], item: str, block_rows: int, prefix: str = "", at_least: int = 1
 ) -> DataFrame:
     """Adds `<prefix>nb`, the number of blocks of the row's group, and `<prefix>b`, the row's block. Groups of
     fewer than `at_least` rows are left out."""
-    count = F.count(F.lit(1))
-    sizes = df.groupBy(*group).agg(F.ceil(count / block_rows).cast("int").alias(f"{prefix}nb"), count.alias("_n"))
-    sizes = sizes.where(F.col("_n") >= at_least).drop("_n")
-    return df.join(sizes, list(group)).withColumn(
-        f"{prefix}b", F.pmod(F.xxhash64(item), F.col(f"{prefix}nb")).cast("int")
-    )
+    counts = block_counts(df, group, block_rows, prefix, at_least)
+    return df.join(counts, list(group)).withColumn(f"{prefix}b", block_of(item, f"{prefix}nb"))
+
+
+def block_of(item: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(item), F.col(blocks)).cast("int")
 
 
 def block_pairs(df: DataFrame, group: Sequence[str], item: str, block_rows: int, at_least: int = 1) -> DataFrame:

@@ -13,7 +13,7 @@ from formscribe.operators.density import density_labels
 from formscribe.operators.kmeans import kmeans_labels
 from formscribe.operators.profile import KEY
 from formscribe.operators.ranking import most_common, top_per_group
-from formscribe.operators.silhouette import silhouette
+from formscribe.operators.silhouette import silhouette, silhouette_by_size
 from formscribe.operators.terms import term_weights, tfidf_rows, term_counts, vocabulary
 from formscribe.operators.vectors import embed_column, value_id
 from formscribe.session import cut_lineage
@@ -22,7 +22,7 @@ from formscribe.session import cut_lineage
 @dataclass(frozen=True)
 class Clustering:
     """labels: composite_key, id, value, n, first_pos, sig, cluster (-1 noise), idx, w.
-    summary: composite_key, method, n_clusters, silhouette."""
+    summary: composite_key, method, n_clusters, silhouette, exact (is the silhouette exact)."""
 
     labels: DataFrame
     summary: DataFrame
@@ -112,7 +112,7 @@ def cluster_all(
     labels = cut_lineage(numeric.select(*columns).unionByName(by_text.select(*columns)))
 
     found = labels.groupBy(KEY).agg(F.first("method").alias("_found"), F.count_distinct("cluster").alias("_c"))
-    scores = silhouette(labels.where(F.col("method") != "numeric_unit"), [KEY], settings)
+    scores = silhouette_by_size(labels.where(F.col("method") != "numeric_unit"), [KEY], settings)
     failed = F.when(F.col("method") == "numeric_unit", F.lit("insufficient_numeric_data")).otherwise(F.lit("error"))
     method = F.when(F.col("method") == "insufficient_data", F.col("method")).otherwise(F.coalesce("_found", failed))
     summary = routes.join(found, KEY, "left").join(scores, KEY, "left")
@@ -123,6 +123,7 @@ def cluster_all(
             method.alias("method"),
             F.coalesce("_c", F.lit(0)).alias("n_clusters"),
             F.coalesce("silhouette", F.lit(0.0)).alias("silhouette"),
+            F.coalesce("exact", F.lit(True)).alias("exact"),
         ),
     )
 

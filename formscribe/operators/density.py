@@ -165,6 +165,7 @@ def density_labels(rows: DataFrame, group: Sequence[str] = (KEY,), settings: Set
     member = core.join(roots, [*group, "id"], "left").withColumn("root", F.coalesce("root", "id"))
     sizes = member.groupBy(*group, "root").agg(F.sum("n").alias("size"), F.max("min_cluster_size").alias("least"))
     kept = sizes.where(F.col("size") >= F.col("least")).select(*group, "root")
-    numbered = number_items(kept, group, "root", F.substring("root", 1, 4), "cluster")
+    # roots are hash ids, whose first characters split them evenly
+    numbered = number_items(kept, group, "root", "cluster", F.substring("root", 1, 3))
     labelled = member.join(numbered, [*group, "root"]).select(*group, "id", F.col("cluster").cast("int").alias("cluster"))
     return rows.select(*group, "id").join(labelled, [*group, "id"], "left").fillna(-1, subset=["cluster"])

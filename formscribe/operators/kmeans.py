@@ -45,7 +45,7 @@ def train_centres(
     rows: DataFrame,
     group: Sequence[str] = (KEY,),
     k: str = "k",
-    sample_rows: int = 2048,
+    sample_rows: int = 1000,
     whole: bool = False,
 ) -> DataFrame:
     """Centres (group, cluster, idx, w) from a mini-batch of at most `sample_rows` rows per group.
@@ -54,8 +54,10 @@ def train_centres(
     With `whole` the arrays also keep zero entries, so that w is the dense centre.
     """
     group = list(group)
-    hashed = rows.withColumn("_h", F.xxhash64("id"))
-    batch = top_per_group(hashed, group, [F.col("_h"), F.col("id")], sample_rows)
+    # ids are ranked alone; the wide rows are fetched for the chosen ones only
+    ids = rows.select(*group, "id").withColumn("_h", F.xxhash64("id"))
+    chosen = top_per_group(ids, group, [F.col("_h"), F.col("id")], sample_rows).select(*group, "id")
+    batch = rows.join(chosen, [*group, "id"], "left_semi")
 
     def kernel(table: pa.Table) -> pa.Table:
         order = np.argsort(strings(table, "id"), kind="stable")

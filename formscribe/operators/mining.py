@@ -42,7 +42,7 @@ def learnt_transformations(examples: DataFrame, least_share: float = 0.1) -> Dat
 def signature_labels(values: DataFrame) -> DataFrame:
     """Values with a 0-based label per signature of their key, numbered in signature order."""
     signatures = values.select(KEY, "sig").distinct()
-    numbered = number_items(signatures, [KEY], "sig", F.substring(F.hex(F.encode("sig", "UTF-8")), 1, 8), "label")
+    numbered = number_items(signatures, [KEY], "sig", "label")
     return values.join(numbered, [KEY, "sig"])
 
 

@@ -1,16 +1,29 @@
 """Exact neighbour search and similar pairs within keys."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formscribe.config import Settings
-from formscribe.operators.blocks import add_blocks, block_pairs, map_groups, matrix, numbers, strings, unit_rows
+from formscribe.operators.blocks import (
+    add_blocks,
+    block_counts,
+    block_of,
+    block_pairs,
+    map_groups,
+    matrix,
+    numbers,
+    strings,
+    unit_rows,
+)
 from formscribe.operators.profile import KEY
 from formscribe.operators.ranking import top_per_group
 from formscribe.operators.vectors import Encoder, embed_column, value_id
+from formscribe.session import cut_lineage
 
 _METRICS = {"cosine": "cosine", "l2": "l2", "euclidean": "l2"}
 
@@ -65,12 +78,14 @@ def search(
     """
     kind = metric_name(metric)
     group = tuple(group)
-    stored = add_blocks(vectors.select(*group, "id", "vec"), group, "id", settings.block_rows, "c")
-    asked = add_blocks(queries.select(*group, "id", "vec"), group, "id", settings.block_rows, "q")
-    stored_sizes = stored.select(*group, "cnb").distinct()
-    asked_sizes = asked.select(*group, "qnb").distinct()
-    left = asked.join(stored_sizes, list(group)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("cnb") - 1)))
-    right = stored.join(asked_sizes, list(group)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qnb") - 1)))
+    # one row per key that has both queries and stored vectors
+    counts = block_counts(vectors, group, settings.block_rows, "c").join(
+        block_counts(queries, group, settings.block_rows, "q"), list(group)
+    )
+    asked = queries.select(*group, "id", "vec").join(counts, list(group)).withColumn("qb", block_of("id", "qnb"))
+    left = asked.withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("cnb") - 1)))
+    stored = vectors.select(*group, "id", "vec").join(counts, list(group)).withColumn("cb", block_of("id", "cnb"))
+    right = stored.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qnb") - 1)))
     columns = [*group, "id", "vec", "qb", "cb"]
     both = left.select(*columns, F.lit(True).alias("asks")).unionByName(right.select(*columns, F.lit(False).alias("asks")))
     names = list(group)
@@ -176,16 +191,27 @@ def visit_cells(rows: DataFrame, pivots: DataFrame, reach: float, settings: Sett
 def duplicate_check(
     values: DataFrame,
     vectors: DataFrame,
-    encoder: Encoder | None = None,
+    encoder: Callable[[], Encoder] | None = None,
     settings: Settings = Settings(),
+    centres: DataFrame | None = None,
 ) -> DataFrame:
     """(key, normalised value) pairs with a stored neighbour at or above the threshold: best similarity and
-    the first three examples. Each distinct text is encoded once."""
+    the first three examples.
+
+    Each distinct text is encoded once and the vectors are stored, because the search reads them twice. With
+    `centres`, `vectors` is a cell index and only the nearest cells are searched.
+    """
     asked = values.where(F.col("normalized").isNotNull()).select(KEY, "normalized").distinct()
     texts = asked.select("normalized").distinct().withColumn("vec", embed_column(F.col("normalized"), encoder))
     queries = asked.join(texts, "normalized").where(F.col("vec").isNotNull())
-    queries = queries.select(KEY, value_id(F.col("normalized")).alias("id"), "normalized", "vec")
-    found = search(queries, vectors, settings.top_k, settings.metric, settings.similarity_threshold, settings=settings)
+    queries = cut_lineage(queries.select(KEY, value_id(F.col("normalized")).alias("id"), "normalized", "vec"))
+    limits = (settings.top_k, settings.similarity_threshold)
+    if centres is None:
+        found = search(queries, vectors, limits[0], settings.metric, limits[1], settings=settings)
+    else:
+        from formscribe.operators.ann import search_cells
+
+        found = search_cells(queries, vectors, centres, *limits, settings=settings)
     return grouped_duplicates(found, queries, vectors)
 
 

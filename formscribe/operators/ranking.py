@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from formscribe.session import cut_lineage
+
 #: Spark prunes `row_number() <= k` before the shuffle up to this k (its default group-limit threshold).
 _PRUNED_BEFORE_SHUFFLE = 1000
 _SALTS = 64
@@ -96,14 +98,18 @@ def spread(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     return joined.fillna(0.0, subset=["mean", "std", "min", "max", "median"])
 
 
-def number_items(df: DataFrame, keys: Sequence[str], item: str, bucket: Column, name: str) -> DataFrame:
+def number_items(df: DataFrame, keys: Sequence[str], item: str, name: str, bucket: Column | None = None) -> DataFrame:
     """0-based number of each row within its group in the order of `item`, which must be unique there.
 
-    `bucket` is a prefix of the item's order. Buckets are counted and offset first, so a large group is
-    numbered bucket by bucket and never sorted whole in one task.
+    Rows are numbered bucket by bucket: buckets are counted and offset first, so a large group is never sorted
+    whole in one task. `bucket` is a prefix of the item's order that splits it evenly, such as the head of a
+    hash. Without one, rows are range-partitioned by sampled bounds and stored, which holds the bounds still.
     """
     keys = list(keys)
-    placed = df.withColumn("_bucket", bucket)
+    if bucket is not None:
+        placed = df.withColumn("_bucket", bucket)
+    else:
+        placed = cut_lineage(df.repartitionByRange(*keys, item).withColumn("_bucket", F.spark_partition_id()))
     sizes = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formscribe.config import Settings
-from formscribe.operators.blocks import block_pairs, constants, group_schema, map_groups, numbers, sparse_rows, strings
+from formscribe.operators.blocks import add_blocks, block_pairs, constants, group_schema, map_groups, numbers, sparse_rows, strings
 from formscribe.operators.profile import KEY
 
 
@@ -58,6 +58,73 @@ def silhouette(labelled: DataFrame, group: Sequence[str] = (KEY,), settings: Set
     return everyone.join(result, group, "left").fillna(0.0, subset=["silhouette"])
 
 
+def silhouette_from_moments(labelled: DataFrame, group: Sequence[str] = (KEY,), settings: Settings = Settings()) -> DataFrame:
+    """(group, silhouette) over squared Euclidean distances, linear in the rows.
+
+    The mean squared distance of a row to a cluster follows from the cluster's size, mean row and mean squared
+    length, so rows only meet the few cluster records of their group.
+    """
+    group = list(group)
+    rows = labelled.where(F.col("cluster") >= 0)
+    sizes = rows.groupBy(*group, "cluster").agg(
+        F.sum("n").alias("size"),
+        (F.sum(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x) * F.col("n")) / F.sum("n")).alias("square"),
+    )
+    entries = rows.select(*group, "cluster", "n", F.explode(F.arrays_zip("idx", "w")).alias("e"))
+    sums = entries.groupBy(*group, "cluster", F.col("e.idx").alias("i")).agg(F.sum(F.col("e.w") * F.col("n")).alias("s"))
+    # one entry per term of the group's bounded vocabulary
+    packed = sums.groupBy(*group, "cluster").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("e"))
+    moments = sizes.join(packed, [*group, "cluster"], "left").select(
+        *group,
+        "cluster",
+        "size",
+        "square",
+        F.coalesce(F.col("e.i"), F.array().cast("array<int>")).alias("idx"),
+        F.coalesce(F.transform("e", lambda x: x["s"] / F.col("size")), F.array().cast("array<double>")).alias("w"),
+    )
+    blocked = add_blocks(rows.select(*group, "id", "n", "cluster", "idx", "w"), group, "id", settings.block_rows)
+    places = blocked.select(*group, "b").distinct()
+    columns = [*group, "b", "id", "n", "cluster", "size", "square", "idx", "w"]
+    points = blocked.withColumns({"size": F.lit(None).cast("long"), "square": F.lit(None).cast("double")}).select(*columns)
+    records = moments.join(places, group).withColumns({"id": F.lit(""), "n": F.lit(0).cast("long")}).select(*columns)
+
+    def kernel(table: pa.Table) -> pa.Table | None:
+        dense, n, cluster = sparse_rows(table), numbers(table, "n"), numbers(table, "cluster")
+        record = n == 0
+        if record.sum() < 2:
+            return None
+        centre, size = dense[record], table.column("size").to_numpy()[record].astype(float)
+        square = table.column("square").to_numpy()[record].astype(float)
+        x, own = dense[~record], cluster[~record]
+        gaps = np.maximum((x * x).sum(1)[:, None] + square[None, :] - 2.0 * (x @ centre.T), 0.0)
+        mine = own[:, None] == cluster[record][None, :]
+        inside = (gaps * mine).sum(1)
+        mates = (size[None, :] * mine).sum(1)
+        a = np.divide(inside * mates, mates - 1, out=np.zeros_like(inside), where=mates > 1)
+        b = np.where(mine, np.inf, gaps).min(axis=1)
+        wide = np.maximum(a, b)
+        s = np.divide(b - a, wide, out=np.zeros_like(wide), where=(wide > 0) & (mates > 1))
+        weight = n[~record].astype(float)
+        return pa.table(
+            {**constants(table, group, 1), "total": pa.array([float((s * weight).sum())]), "rows": pa.array([float(weight.sum())])}
+        )
+
+    partial = map_groups(points.unionByName(records), [*group, "b"], kernel, group_schema(rows, group, "total double, rows double"))
+    scored = partial.groupBy(*group).agg((F.sum("total") / F.sum("rows")).alias("silhouette"))
+    return labelled.select(*group).distinct().join(scored, group, "left").fillna(0.0, subset=["silhouette"])
+
+
+def silhouette_by_size(
+    labelled: DataFrame, group: Sequence[str] = (KEY,), settings: Settings = Settings(), exact_rows: int = 20000
+) -> DataFrame:
+    """(group, silhouette, exact): exact for groups of up to `exact_rows` rows, from moments above."""
+    group = list(group)
+    large = labelled.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > exact_rows).select(*group)
+    small = silhouette(labelled.join(large, group, "left_anti"), group, settings).withColumn("exact", F.lit(True))
+    rest = silhouette_from_moments(labelled.join(large, group, "left_semi"), group, settings)
+    return small.unionByName(rest.withColumn("exact", F.lit(False)))
+
+
 def _sums(gaps: np.ndarray, ids: np.ndarray, own: np.ndarray, n: np.ndarray, clusters: np.ndarray, weights: np.ndarray) -> dict:
     """Weighted distance sums of each row to every cluster of the other block."""
     present, place = np.unique(clusters, return_inverse=True)

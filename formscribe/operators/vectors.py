@@ -49,8 +49,7 @@ def positions(values: DataFrame) -> DataFrame:
     """0-based position of each distinct value within its key, in value order."""
     from formscribe.operators.ranking import number_items
 
-    leading = F.substring(F.hex(F.encode("value", "UTF-8")), 1, 8)
-    return number_items(values.select(KEY, "value").distinct(), [KEY], "value", leading, "position")
+    return number_items(values.select(KEY, "value").distinct(), [KEY], "value", "position")
 
 
 def char_ngram_encoder(dimension: int = Settings.dimension, sizes: tuple[int, ...] = (2, 3)) -> Callable[[], Encoder]:

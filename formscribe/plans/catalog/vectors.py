@@ -9,6 +9,7 @@ from formscribe.operators import vectors as V
 from formscribe.operators.profile import KEY
 from formscribe.plans.catalog import query
 from formscribe.plans.views import load, view
+from formscribe.session import cut_lineage
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,6 +198,6 @@ def validate_with_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles, rules = learnt(spark, sf_dir)
     asked = requests(spark, sf_dir)
     prepared = D.prepare_requests(asked, profiles, rules).where(F.col("known"))
-    stored = V.embed_values(add_composite_key(view(spark, sf_dir, "v_parts")))
+    stored = cut_lineage(V.embed_values(add_composite_key(view(spark, sf_dir, "v_parts"))))
     duplicates = N.duplicate_check(prepared, stored)
     return D.validate_values(asked, profiles, rules, duplicates, as_of=F.lit(AS_OF).cast("timestamp"))

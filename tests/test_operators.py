@@ -214,5 +214,7 @@ def test_top_per_group_above_the_pruning_limit(spark):
 
 def test_number_items(spark):
     df = spark.createDataFrame([("a", v) for v in ["q", "a", "zz", "b"]] + [("b", "x")], "g string, v string")
-    got = {(r.g, r.v): r.p for r in ranking.number_items(df, ["g"], "v", F.substring("v", 1, 1), "p").collect()}
-    assert got == {("a", "a"): 0, ("a", "b"): 1, ("a", "q"): 2, ("a", "zz"): 3, ("b", "x"): 0}
+    want = {("a", "a"): 0, ("a", "b"): 1, ("a", "q"): 2, ("a", "zz"): 3, ("b", "x"): 0}
+    for bucket in (F.substring("v", 1, 1), None):
+        got = {(r.g, r.v): r.p for r in ranking.number_items(df, ["g"], "v", "p", bucket).collect()}
+        assert got == want

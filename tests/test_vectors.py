@@ -9,7 +9,7 @@ from formscribe.config import Settings
 from formscribe.operators import ann, cluster, density, mining, neighbours, vectors
 from formscribe.operators.kmeans import kmeans_labels
 from formscribe.operators.profile import KEY
-from formscribe.operators.silhouette import silhouette
+from formscribe.operators.silhouette import silhouette, silhouette_by_size
 
 TINY = Settings(block_rows=7)
 
@@ -233,6 +233,24 @@ def test_silhouette_in_blocks(spark):
         assert got[key] == pytest.approx(np.mean(s), abs=1e-9)
 
 
+def test_silhouette_from_moments(spark):
+    rows = sparse(40)
+    labelled = [(*r, i % 3) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(labelled, f"{KEY} string, id string, n long, idx array<int>, w array<double>, cluster int")
+    got = {r[KEY]: r for r in silhouette_by_size(df, settings=Settings(block_rows=6), exact_rows=5).collect()}
+    for key in ("k0", "k1"):
+        x = np.array([dense(r) for r in labelled if r[0] == key for _ in range(r[2])])
+        c = np.array([r[5] for r in labelled if r[0] == key for _ in range(r[2])])
+        d = ((x[:, None] - x[None]) ** 2).sum(-1)
+        s = []
+        for i in range(len(x)):
+            a = d[i][c == c[i]].sum() / ((c == c[i]).sum() - 1)
+            b = min(d[i][c == o].mean() for o in set(c) - {c[i]})
+            s.append((b - a) / max(a, b))
+        assert got[key].silhouette == pytest.approx(np.mean(s), abs=1e-9) and not got[key].exact
+    assert all(r.exact for r in silhouette_by_size(df).collect())
+
+
 def test_kmeans_labels_every_row_and_separates(spark):
     rows = [("k", f"{i:03d}", 1, [0], [float(i % 3) * 100 + i * 0.1]) for i in range(30)]
     df = spark.createDataFrame(rows, f"{KEY} string, id string, n long, idx array<int>, w array<double>").withColumn("k", F.lit(3))
@@ -294,7 +312,7 @@ def test_numeric_clusters(spark):
     values = spark.createDataFrame(rows, f"{KEY} string, value string, n long, first_pos long, sig string")
     profiles = spark.createDataFrame([("k", True, False)], f"{KEY} string, is_numeric_unit boolean, is_free_text boolean")
     result = cluster.cluster_all(values, profiles, Settings(numeric_k=3))
-    assert [tuple(r) for r in result.summary.collect()] == [("k", "numeric_unit", 3, 0.0)]
+    assert [tuple(r) for r in result.summary.collect()] == [("k", "numeric_unit", 3, 0.0, True)]
     labels = {r.value: r.cluster for r in result.labels.collect()}
     assert len(labels) == 10 and labels["1 V"] == labels["3 V"] != labels["100 V"]
 
