@@ -59,21 +59,31 @@ def signature(value: Column) -> Column:
     parts = rf"\p{{L}}+|[{SPACE}]+|[{DIGIT}]+|[^\p{{L}}{SPACE}{DIGIT}]+"
     runs = F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit(parts), F.lit(0))
 
-    def kind(head: Column) -> Column:
-        # plain comparisons settle nearly all runs; the patterns are for what is outside ASCII
+    def starts(run: Column, first: str, after: str) -> Column:
+        """Does the run start with a character from `first` up to, but not including, `after`?"""
+        return (run >= first) & (run < after)
+
+    def kind(run: Column) -> Column:
+        # comparing whole runs with the bounds of ASCII ranges settles nearly all of them without a pattern
+        plain = (
+            F.when(starts(run, "a", "{") | starts(run, "A", "["), F.lit("L"))
+            .when(starts(run, " ", "!"), F.lit("_"))
+            .when(starts(run, "0", ":"), F.lit("D"))
+            .when(run >= "!", F.lit("O"))
+            .when(starts(run, "\t", "\x0e") | (run >= "\x1c"), F.lit("_"))
+            .otherwise(F.lit("O"))
+        )
         return (
-            F.when(head.between("a", "z") | head.between("A", "Z"), F.lit("L"))
-            .when(head == " ", F.lit("_"))
-            .when(head.between("0", "9"), F.lit("D"))
-            .when(F.rlike(head, F.lit(r"\p{L}")), F.lit("L"))
-            .when(F.rlike(head, F.lit(f"[{SPACE}]")), F.lit("_"))
-            .when(F.rlike(head, F.lit(f"[{DIGIT}]")), F.lit("D"))
+            F.when(run < "\x80", plain)
+            .when(F.rlike(run, F.lit(r"^\p{L}")), F.lit("L"))
+            .when(F.rlike(run, F.lit(f"^[{SPACE}]")), F.lit("_"))
+            .when(F.rlike(run, F.lit(f"^[{DIGIT}]")), F.lit("D"))
             .otherwise(F.lit("O"))
         )
 
     def run_text(run: Column) -> Column:
         size = F.length(run)
-        return F.concat(kind(F.substring(run, 1, 1)), F.when(size > 1, size.cast("string")).otherwise(F.lit("")))
+        return F.when(size == 1, kind(run)).otherwise(F.concat(kind(run), size.cast("string")))
 
     return F.array_join(F.transform(runs, run_text), "")
 
