@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 # Characters for which Python's str.isspace() holds.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -108,13 +108,33 @@ def signature_regex(sig: Column) -> Column:
     )
 
 
+#: Java's matcher recurses once per pattern element; longer pattern texts would exhaust a task's stack.
+LONG_PATTERN = 8000
+
+
+@F.pandas_udf(BooleanType())
+def _long_match(value: pd.Series, pattern: pd.Series) -> pd.Series:
+    import re
+
+    compiled = {p: re.compile(p) for p in pattern.dropna().unique()}
+    return pd.Series(
+        [None if v is None or p is None else compiled[p].match(v) is not None for v, p in zip(value, pattern)],
+        dtype="object",
+    )
+
+
 def matches_prefix(value: Column, pattern: Column) -> Column:
-    """Does the value start with a match of the row's own pattern? Python classes, any pattern column."""
+    """Does the value start with a match of the row's own pattern? Python classes, any pattern column.
+
+    Patterns are matched natively; only rows with a very long one send their texts to Python.
+    """
     java = F.replace(pattern, F.lit("[^\\w\\s]"), F.lit(f"[^{WORD}{SPACE}]"))
     java = F.replace(java, F.lit("\\d"), F.lit("\\p{Nd}"))
     java = F.replace(java, F.lit("\\s"), F.lit(f"[{SPACE}]"))
     java = F.replace(java, F.lit("\\w"), F.lit(f"[{WORD}]"))
-    return F.rlike(value, F.concat(F.lit("^(?:"), java, F.lit(")")))
+    is_long = F.length(pattern) > LONG_PATTERN
+    native = F.rlike(value, F.concat(F.lit("^(?:"), F.when(~is_long, java), F.lit(")")))
+    return F.coalesce(native, _long_match(F.when(is_long, value), F.when(is_long, pattern)))
 
 
 def collapse_whitespace(value: Column) -> Column:

@@ -74,6 +74,15 @@ def test_prefix_match_is_anchored_at_the_start_only(spark):
     assert apply(spark, ["ABC1234", "xABC123", "AB123"], column(text.matches_prefix, pattern)) == [True, False, False]
 
 
+def test_very_long_patterns(spark):
+    """Far more runs than a Java stack can hold; one value matches its own pattern, the other one does not."""
+    base = spark.range(2).select("id", F.repeat(F.lit("ab1 "), 20000).alias("v"))
+    pattern = text.signature_regex(text.signature(F.col("v")))
+    value = F.when(F.col("id") == 0, F.col("v")).otherwise(F.concat(F.lit("7"), "v"))
+    rows = base.select("id", text.matches_prefix(value, pattern).alias("m")).orderBy("id").collect()
+    assert [r.m for r in rows] == [True, False]
+
+
 def test_letter_outside_the_pattern_range_misses(spark):
     """The pattern accepts ASCII and Arabic letters only, although Ω counts as a letter."""
     assert apply(spark, ["5Ω"], lambda: text.matches_prefix(F.col("v"), text.signature_regex(text.signature(F.col("v"))))) == [False]
