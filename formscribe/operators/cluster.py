@@ -197,6 +197,7 @@ def describe_numeric_clusters(labels: DataFrame) -> DataFrame:
 
 def cluster_suggestions(summary: DataFrame) -> DataFrame:
     """Advice per key from n_clusters, silhouette, method and small_clusters (clusters of fewer than three)."""
+    # The advice texts and the limits at which they are given.
     advice = F.array_compact(
         F.array(
             F.when(F.col("n_clusters") == 0, F.lit("No clusters found - consider different parameters or methods")),

@@ -38,6 +38,7 @@ def pattern_suggestions(coverage: DataFrame) -> DataFrame:
     """Texts for keys whose pattern covers too little."""
     low = (F.col("coverage") < 0.8) & (F.col("non_matches") > 0)
     few = F.col("missed_signatures") <= 3
+    # The advice texts and the limits at which they are given.
     texts = F.array_compact(
         F.array(
             F.when(low & few, F.lit("Consider adding patterns for common non-matching signatures")),

@@ -165,6 +165,7 @@ def learning_report(items: DataFrame, decisions: DataFrame, as_of: Column) -> Da
         )
     )
     stats = review_statistics(items, decisions).withColumn("_t", totals.scalar())
+    # The advice texts and the limits at which they are given.
     advice = F.array_compact(
         F.array(
             F.when(
@@ -181,6 +182,7 @@ def learning_report(items: DataFrame, decisions: DataFrame, as_of: Column) -> Da
 
 def key_recommendations(progress: DataFrame) -> DataFrame:
     """The per-key recommendations, one row each."""
+    # The advice texts and the limits at which they are given.
     advice = F.concat(
         F.lit("Key "), F.col(KEY), F.lit(" has many rule updates - consider pattern refinement")
     )
