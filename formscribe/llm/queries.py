@@ -5,8 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from formscribe.llm import chat, licenses, urls
+from formscribe.llm import chat, decontaminate, licenses, mixing, near, parsing, quality, spans, token_files, urls
 from formscribe.plans.views import load
+from formscribe.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +107,66 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scans")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(load(spark, sf_dir, "documents"))
+
+
+@query("op1_source_mix")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(load(spark, sf_dir, "documents"))
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query("op4_benchmark_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query("op5_document_fingerprints")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.edited_documents(load(spark, sf_dir, "documents"))
+
+
+SPAN_SQL = r"""
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (
+  select doc_id, p, array_to_string(w[p:p + 49], ' ') as body
+  from words, unnest(range(1, greatest(len(w) - 48, 1))) as t(p)),
+firsts as (select body, min(doc_id) as least from windows group by body),
+gone as (
+  select distinct doc_id, p + o as at
+  from (select w.doc_id, w.p from windows w join firsts f using (body) where f.least < w.doc_id), unnest(range(50)) as t(o)),
+each as (select doc_id, i, w[i] as word from words, unnest(range(1, len(w) + 1)) as t(i))
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(g.n, 0)::bigint as n_removed,
+       sha256(coalesce(k.kept, '')) as kept_sha256
+from words d
+left join (select doc_id, count(*) as n from gone group by doc_id) g on g.doc_id = d.doc_id
+left join (
+  select e.doc_id, string_agg(e.word, ' ' order by e.i) as kept
+  from each e left join gone x on x.doc_id = e.doc_id and x.at = e.i
+  where x.at is null group by e.doc_id) k on k.doc_id = d.doc_id"""
+
+
+@query("op6_substring_dedup", SPAN_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeated_spans(load(spark, sf_dir, "documents"))
+
+
+@query("op7_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out_dir = scratch_path(spark, "token-files")
+    manifest = token_files.write_token_files(load(spark, sf_dir, "documents"), tokenizer_path(), out_dir)
+    return token_files.read_token_files(manifest, out_dir)
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op9_ngram_jaccard")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.jaccard_join(load(spark, sf_dir, "documents")).drop("text_hash", "set_digest")

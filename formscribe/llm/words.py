@@ -8,6 +8,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Stands for a null id on the way through pandas, which has no null among 64-bit integers.
+NULL_ID = -(2**63)
+
+
+def marked(id_col: Column) -> Column:
+    return F.coalesce(id_col.cast("long"), F.lit(NULL_ID))
+
+
+def unmarked(id_col: Column) -> Column:
+    return F.nullif(id_col, F.lit(NULL_ID))
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z only; other letters stay."""
     return F.translate(c, UPPER, LOWER)
