@@ -110,31 +110,51 @@ def signature_regex(sig: Column) -> Column:
 
 #: Java's matcher recurses once per pattern element; longer pattern texts would exhaust a task's stack.
 LONG_PATTERN = 8000
+#: One element of a learnt pattern, and how many of them are matched in one go when a pattern is long.
+PIECE = r"(?:\\d|\\s|\[\^\\w\\s\]|\[A-Za-z\\u0600-\\u06FF\])(?:\{\d+\}|[+*])?"
+PIECES = 400
 
 
-@F.pandas_udf(BooleanType())
-def _long_match(value: pd.Series, pattern: pd.Series) -> pd.Series:
-    import re
+def _java_classes(pattern: Column) -> Column:
+    java = F.replace(pattern, F.lit("[^\\w\\s]"), F.lit(f"[^{WORD}{SPACE}]"))
+    java = F.replace(java, F.lit("\\d"), F.lit("\\p{Nd}"))
+    java = F.replace(java, F.lit("\\s"), F.lit(f"[{SPACE}]"))
+    return F.replace(java, F.lit("\\w"), F.lit(f"[{WORD}]"))
 
-    compiled = {p: re.compile(p) for p in pattern.dropna().unique()}
-    return pd.Series(
-        [None if v is None or p is None else compiled[p].match(v) is not None for v, p in zip(value, pattern)],
-        dtype="object",
+
+def _matches_in_pieces(value: Column, pieces: Column) -> Column:
+    """Match PIECES elements after another, each where the last ones ended.
+
+    The classes of neighbouring elements have no character in common, so a greedy match never has to give one back.
+    """
+    last = F.floor((F.size(pieces) - 1) / PIECES).cast("int")
+    parts = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.concat(F.lit("^("), _java_classes(F.array_join(F.slice(pieces, i * PIECES + 1, PIECES), "")), F.lit(")")),
     )
 
+    def step(state: Column, part: Column) -> Column:
+        rest = state["rest"]
+        size = F.length(F.call_function("regexp_extract", rest, part, F.lit(1)))
+        left = F.substring(rest, size + 1, F.length(rest))
+        held = state["ok"] & F.rlike(rest, part)
+        return F.when(held, F.struct(left.alias("rest"), F.lit(True).alias("ok"))).otherwise(
+            F.struct(F.lit("").alias("rest"), F.lit(False).alias("ok"))
+        )
+
+    return F.aggregate(parts, F.struct(value.alias("rest"), F.lit(True).alias("ok")), step)["ok"]
+
 
 def matches_prefix(value: Column, pattern: Column) -> Column:
     """Does the value start with a match of the row's own pattern? Python classes, any pattern column.
 
-    Patterns are matched natively; only rows with a very long one send their texts to Python.
+    All native. A learnt pattern of more than LONG_PATTERN characters is matched a few hundred elements at a time; any
+    other pattern goes to the matcher whole.
     """
-    java = F.replace(pattern, F.lit("[^\\w\\s]"), F.lit(f"[^{WORD}{SPACE}]"))
-    java = F.replace(java, F.lit("\\d"), F.lit("\\p{Nd}"))
-    java = F.replace(java, F.lit("\\s"), F.lit(f"[{SPACE}]"))
-    java = F.replace(java, F.lit("\\w"), F.lit(f"[{WORD}]"))
-    is_long = F.length(pattern) > LONG_PATTERN
-    native = F.rlike(value, F.concat(F.lit("^(?:"), F.when(~is_long, java), F.lit(")")))
-    return F.coalesce(native, _long_match(F.when(is_long, value), F.when(is_long, pattern)))
+    pieces = F.regexp_extract_all(pattern, F.lit(PIECE), F.lit(0))
+    learnt = (F.length(pattern) > LONG_PATTERN) & (F.array_join(pieces, "") == pattern)
+    whole = F.rlike(value, F.concat(F.lit("^(?:"), _java_classes(pattern), F.lit(")")))
+    return F.when(value.isNotNull() & learnt, _matches_in_pieces(value, pieces)).otherwise(whole)
 
 
 def collapse_whitespace(value: Column) -> Column:
