@@ -93,6 +93,11 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(array, pa.ChunkedArray):
         array = pa.concat_arrays(array.chunks)
+    if array.null_count:
+        raise ValueError("a vector is NULL; leave such rows out first (see vectors.with_vectors)")
+    sizes = np.diff(array.offsets.to_numpy()) if len(array) else np.zeros(0, int)
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors of one key have different lengths")
     flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(array), -1) if len(array) else flat.reshape(0, 0)
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formscribe.config import Settings
 from formscribe.operators.blocks import (
-    add_blocks,
     block_counts,
     block_of,
     block_pairs,
@@ -22,7 +22,7 @@ from formscribe.operators.blocks import (
 )
 from formscribe.operators.profile import KEY
 from formscribe.operators.ranking import top_per_group
-from formscribe.operators.vectors import Encoder, embed_column, value_id
+from formscribe.operators.vectors import Encoder, embed_column, value_id, with_vectors
 from formscribe.session import cut_lineage
 
 _METRICS = {"cosine": "cosine", "l2": "l2", "euclidean": "l2"}
@@ -74,9 +74,10 @@ def search(
     """The k most similar stored vectors of the same key for every query (composite_key, id, vec).
 
     Exact. Query and candidate blocks meet pairwise; each meeting keeps at most k rows per query, and the
-    partial lists are merged. Keys without stored vectors give no rows.
+    partial lists are merged. Keys without stored vectors give no rows; rows without a vector neither ask nor answer.
     """
     kind = metric_name(metric)
+    queries, vectors = with_vectors(queries), with_vectors(vectors)
     group = tuple(group)
     # one row per key that has both queries and stored vectors
     counts = block_counts(vectors, group, settings.block_rows, "c").join(
@@ -114,31 +115,25 @@ def search(
     return top_per_group(partial, [*group, "query_id"], [F.col("similarity").desc(), F.col("id")], k)
 
 
-def similar_pairs(
-    vectors: DataFrame, threshold: float = 0.8, settings: Settings = Settings(), rows_per_cell: int = 8192, max_pivots: int = 64
-) -> DataFrame:
-    """All pairs (id1 < id2) of one key with cosine >= threshold.
+def similar_pairs(vectors: DataFrame, threshold: float = 0.8, settings: Settings = Settings()) -> DataFrame:
+    """All pairs (id1 < id2) of one key with cosine >= threshold. Rows without a vector are in no pair.
 
-    Exact. Larger keys are cut into cells around pivots. A row visits another cell only if the plane between
-    the two pivots is within the distance that the threshold allows, so pairs far apart never meet; within a
-    cell, blocks meet pairwise and only pairs above the threshold leave the task.
+    Exact: the blocks of a key meet pairwise, and only pairs above the threshold leave the task. The work grows with
+    the square of a key; `similar_pairs_approx` is the form for keys of millions of vectors.
     """
-    reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold))) + 1e-9
-    rows = vectors.select(KEY, "id", "vec")
-    sizes = rows.groupBy(KEY).agg(F.least(F.ceil(F.count(F.lit(1)) / rows_per_cell), F.lit(max_pivots)).alias("cells"))
-    pivots = top_per_group(rows.withColumn("_h", F.xxhash64("id")), [KEY], [F.col("_h"), F.col("id")], max_pivots, "cell")
-    pivots = pivots.join(sizes, KEY).where(F.col("cell") <= F.col("cells"))
-    placed = visit_cells(rows, pivots.select(KEY, "cell", F.col("vec")), reach, settings)
-    meeting = block_pairs(placed, [KEY, "cell"], "id", settings.block_rows)
+    meeting = block_pairs(with_vectors(vectors).select(KEY, "id", "vec"), [KEY], "id", settings.block_rows)
+    return _pairs_of(meeting, [KEY], threshold)
+
 
+def _pairs_of(meeting: DataFrame, group: list[str], threshold: float) -> DataFrame:
     def kernel(table: pa.Table) -> pa.Table | None:
-        block, ids, home = numbers(table, "b"), strings(table, "id"), numbers(table, "home").astype(bool)
+        block, ids = numbers(table, "b"), strings(table, "id")
         units = unit_rows(matrix(table.column("vec")))
         first = block == numbers(table, "lo")[0]
         same = numbers(table, "lo")[0] == numbers(table, "hi")[0]
         second = first if same else ~first
         scores = units[first] @ units[second].T
-        found = (scores >= threshold) & (home[first][:, None] | home[second][None, :])
+        found = scores >= threshold
         if same:
             found &= np.triu(np.ones_like(found), 1)
         r, c = np.nonzero(found)
@@ -151,41 +146,41 @@ def similar_pairs(
             {KEY: key, "id1": pa.array(np.where(swap, b, a)), "id2": pa.array(np.where(swap, a, b)), "similarity": scores[r, c]}
         )
 
-    return map_groups(meeting, [KEY, "cell", "lo", "hi"], kernel, f"{KEY} string, id1 string, id2 string, similarity double")
+    return map_groups(meeting, [*group, "lo", "hi"], kernel, f"{KEY} string, id1 string, id2 string, similarity double")
 
 
-def visit_cells(rows: DataFrame, pivots: DataFrame, reach: float, settings: Settings) -> DataFrame:
-    """Rows once in their home cell (nearest pivot) and once in every lower cell within reach."""
-    blocked = add_blocks(rows, [KEY], "id", settings.block_rows)
-    blocks = blocked.select(KEY, "b").distinct()
-    spread = pivots.join(blocks, KEY).select(KEY, "b", F.col("cell").cast("int").alias("cell"), F.lit("").alias("id"), "vec")
-    both = blocked.select(KEY, "b", F.lit(0).alias("cell"), "id", "vec").unionByName(spread)
+def plane_bands(threshold: float, recall: float, bits: int) -> int:
+    """Bands of `bits` random planes after which a pair at the threshold has shared one with the wanted recall."""
+    agree = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - agree))))
 
-    def kernel(table: pa.Table) -> pa.Table | None:
-        cell = numbers(table, "cell")
-        is_pivot = cell > 0
-        units = unit_rows(matrix(table.column("vec")))
-        points = units[~is_pivot]
-        order = np.argsort(cell[is_pivot])
-        centres, names = units[is_pivot][order], cell[is_pivot][order]
-        squares = np.maximum(2.0 - 2.0 * (points @ centres.T), 0.0)
-        nearest = squares.argmin(axis=1)
-        apart = np.sqrt(np.maximum(2.0 - 2.0 * (centres @ centres.T), 0.0))
-        own = squares[np.arange(len(points)), nearest]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = (squares - own[:, None]) / (2.0 * apart[nearest])
-        plane = np.where(apart[nearest] > 0, plane, 0.0)
-        lower = np.arange(len(centres))[None, :] < nearest[:, None]
-        r, c = np.nonzero((lower & (plane <= reach)))
-        source = np.flatnonzero(~is_pivot)
-        take = np.concatenate([source, source[r]])
-        cells = np.concatenate([names[nearest], names[c]]).astype(np.int32)
-        home = np.concatenate([np.ones(len(source), bool), np.zeros(len(r), bool)])
-        picked = table.select([KEY, "id", "vec"]).take(pa.array(take))
-        return picked.append_column("cell", pa.array(cells)).append_column("home", pa.array(home))
-
-    schema = f"{KEY} string, id string, vec {rows.schema['vec'].dataType.simpleString()}, cell int, home boolean"
-    return map_groups(both, [KEY, "b"], kernel, schema)
+
+def similar_pairs_approx(
+    vectors: DataFrame, threshold: float = 0.8, recall: float = 0.95, bits: int = 8, settings: Settings = Settings()
+) -> DataFrame:
+    """Pairs of one key with cosine >= threshold, each found with probability `recall` or more.
+
+    Every vector gets one code per band from the sides of random planes; rows of a key that share a band's code meet in
+    blocks, and the exact cosine decides, so no wrong pair comes out. A row is moved once per band.
+    """
+    bands = plane_bands(threshold, recall, bits)
+    seed = settings.seed
+
+    @F.pandas_udf("array<long>")
+    def codes(column: pd.Series) -> pd.Series:
+        if not len(column):
+            return pd.Series([], dtype=object)
+        rows = np.stack([np.asarray(v, dtype=np.float64) for v in column])
+        planes = np.random.default_rng(seed).normal(size=(rows.shape[1], bands * bits))
+        sides = (rows @ planes > 0).reshape(len(rows), bands, bits)
+        return pd.Series(list((sides << np.arange(bits)).sum(axis=2).astype(np.int64)))
+
+    rows = with_vectors(vectors).select(KEY, "id", "vec")
+    banded = rows.select(KEY, "id", "vec", F.posexplode(codes("vec")).alias("band", "code"))
+    group = [KEY, "band", "code"]
+    found = _pairs_of(block_pairs(banded, group, "id", settings.block_rows, at_least=2), group, threshold)
+    # blocks of other shapes may differ in the last digits
+    return found.groupBy(KEY, "id1", "id2").agg(F.max("similarity").alias("similarity"))
 
 
 def duplicate_check(
@@ -194,15 +189,17 @@ def duplicate_check(
     encoder: Callable[[], Encoder] | None = None,
     settings: Settings = Settings(),
     centres: DataFrame | None = None,
+    on_error: str = "fail",
 ) -> DataFrame:
     """(key, normalised value) pairs with a stored neighbour at or above the threshold: best similarity and
     the first three examples.
 
     Each distinct text is encoded once and the vectors are stored, because the search reads them twice. With
-    `centres`, `vectors` is a cell index and only the nearest cells are searched.
+    `centres`, `vectors` is a cell index and only the nearest cells are searched. An encoder that raises fails the job;
+    with `on_error="status"` the values it failed on have no vector and are no duplicates.
     """
     asked = values.where(F.col("normalized").isNotNull()).select(KEY, "normalized").distinct()
-    texts = asked.select("normalized").distinct().withColumn("vec", embed_column(F.col("normalized"), encoder))
+    texts = asked.select("normalized").distinct().withColumn("vec", embed_column(F.col("normalized"), encoder, on_error=on_error))
     queries = asked.join(texts, "normalized").where(F.col("vec").isNotNull())
     queries = cut_lineage(queries.select(KEY, value_id(F.col("normalized")).alias("id"), "normalized", "vec"))
     limits = (settings.top_k, settings.similarity_threshold)

@@ -87,9 +87,16 @@ def char_ngram_encoder(dimension: int = Settings.dimension, sizes: tuple[int, ..
     return load
 
 
-def embed_column(value: Column, encoder: Callable[[], Encoder] | None = None, batch: int = 1024) -> Column:
-    """Vector of each text. `encoder` is a factory that loads the model once per task; a failing batch gives
-    NULL vectors instead of silent zeros."""
+def embed_column(
+    value: Column, encoder: Callable[[], Encoder] | None = None, batch: int = 1024, on_error: str = "fail"
+) -> Column:
+    """Vector of each text. `encoder` is a factory that loads the model once per task.
+
+    An encoder that raises fails the job. With `on_error="status"` its batch gets NULL vectors; operators leave those
+    rows out, and `failed_vectors` lists them.
+    """
+    if on_error not in ("fail", "status"):
+        raise ValueError("on_error must be fail or status")
     factory = encoder or char_ngram_encoder()
 
     @F.arrow_udf(ArrayType(FloatType()))
@@ -105,6 +112,8 @@ def embed_column(value: Column, encoder: Callable[[], Encoder] | None = None, ba
                     offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * rows.shape[1])
                     pieces.append(pa.ListArray.from_arrays(offsets, pa.array(rows.ravel(), pa.float32())))
                 except Exception:
+                    if on_error == "fail":
+                        raise
                     pieces.append(pa.nulls(len(part), pa.list_(pa.float32())))
             yield pa.concat_arrays(pieces) if pieces else pa.array([], pa.list_(pa.float32()))
 
@@ -112,11 +121,21 @@ def embed_column(value: Column, encoder: Callable[[], Encoder] | None = None, ba
     return run.asNondeterministic()(text.embedding_text(value))
 
 
-def embed_values(df: DataFrame, encoder: Callable[[], Encoder] | None = None) -> DataFrame:
+def with_vectors(vectors: DataFrame) -> DataFrame:
+    """The rows that have a vector."""
+    return vectors.where(F.col("vec").isNotNull())
+
+
+def failed_vectors(vectors: DataFrame) -> DataFrame:
+    """(key, id, status) of the rows whose encoder failed; no search, pair or index holds them."""
+    return vectors.where(F.col("vec").isNull()).select(KEY, "id", F.lit("no_vector").alias("status"))
+
+
+def embed_values(df: DataFrame, encoder: Callable[[], Encoder] | None = None, on_error: str = "fail") -> DataFrame:
     """Vector table of the distinct values of every key. Each distinct text is encoded once, whatever the
     number of keys that hold it."""
     keyed = df.where(F.col("value").isNotNull()).select(KEY, "value").distinct()
-    texts = keyed.select("value").distinct().withColumn("vec", embed_column(F.col("value"), encoder))
+    texts = keyed.select("value").distinct().withColumn("vec", embed_column(F.col("value"), encoder, on_error=on_error))
     return keyed.join(texts, "value").select(KEY, value_id(F.col("value")).alias("id"), "value", "vec")
 
 

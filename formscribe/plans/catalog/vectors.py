@@ -4,9 +4,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formscribe.config import Settings
 from formscribe.operators import neighbours as N
 from formscribe.operators import vectors as V
 from formscribe.operators.profile import KEY
+from formscribe.operators.ranking import number_items
 from formscribe.plans.catalog import query
 from formscribe.plans.views import load, view
 from formscribe.session import cut_lineage
@@ -49,10 +51,42 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from p where q < c and sim >= 0.35""",
 )
 def similar_pairs_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with small cells and blocks, so that rows visit several cells."""
-    from formscribe.config import Settings
+    """The same with small blocks, so that a key meets itself in many pairs of blocks."""
+    return _pairs(N.similar_pairs(vectors(spark, sf_dir), 0.35, Settings(block_rows=16)))
+
+
+@query(
+    "similar_pairs_approx_recall",
+    f"""{_E} select true as reached, true as exact from p limit 1""",
+)
+def similar_pairs_approx_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Do the bands find the wanted share of all pairs, and only pairs of the exact result with its cosine?"""
+    every, wanted = N.similar_pairs(vectors(spark, sf_dir), 0.3), F.lit(0.9)
+    found = N.similar_pairs_approx(vectors(spark, sf_dir), 0.3, recall=0.95, bits=4)
+    named = [F.col(c).alias(f"f_{c}") for c in (KEY, "id1", "id2", "similarity")]
+    both = every.join(found.select(*named), [F.col(c) == F.col(f"f_{c}") for c in (KEY, "id1", "id2")], "full")
+    wrong = F.count_if(F.col(KEY).isNull() | (F.abs(F.col("similarity") - F.col("f_similarity")) > 1e-9))
+    return both.agg((F.count("f_id1") >= wanted * F.count("id1")).alias("reached"), (wrong == 0).alias("exact"))
 
-    return _pairs(N.similar_pairs(vectors(spark, sf_dir), 0.35, Settings(block_rows=16), rows_per_cell=12))
+
+_FAILED = _E.replace("from embeddings)", "from embeddings where vec_id % 10 <> 0)", 1)
+
+
+def half_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors after an encoder failed on every tenth row."""
+    return vectors(spark, sf_dir).withColumn("vec", F.when(F.col("id").cast("long") % 10 != 0, F.col("vec")))
+
+
+@query(
+    "similar_pairs_failed_vectors",
+    f"""{_FAILED} select cast(label as varchar) as composite_key, q as id1, c as id2, round(sim, 6) as similarity, 'ok' as status
+    from p where q < c and sim >= 0.3
+    union all select cast(label as varchar), vec_id, null, null, 'no_vector' from embeddings where vec_id % 10 = 0""",
+)
+def similar_pairs_failed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = half_encoded(spark, sf_dir)
+    failed = V.failed_vectors(rows).withColumnRenamed("id", "id1").withColumn("id1", F.col("id1").cast("long"))
+    return _pairs(N.similar_pairs(rows, 0.3)).withColumn("status", F.lit("ok")).unionByName(failed, allowMissingColumns=True)
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -62,14 +96,17 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 @query(
     "sorted_pairs",
-    f"""{_E} select q as id1, c as id2, round(sim, 6) as similarity from p where q < c and sim >= 0.3 order by sim desc, q, c limit 50""",
+    f"""{_E} select q as id1, c as id2, round(sim, 6) as similarity, row_number() over (order by sim desc, q, c) as place
+    from p where q < c and sim >= 0.3""",
 )
 def sorted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fifty most similar pairs."""
+    """All pairs in the order of their similarity, with their place in it."""
     found = N.similar_pairs(vectors(spark, sf_dir), 0.3)
     a, b = F.col("id1").cast("long"), F.col("id2").cast("long")
     pairs = found.select(F.least(a, b).alias("id1"), F.greatest(a, b).alias("id2"), "similarity")
-    return pairs.orderBy(F.col("similarity").desc(), "id1", "id2").limit(50).withColumn("similarity", F.round("similarity", 6))
+    ordered = pairs.withColumn("order", F.struct((-F.col("similarity")).alias("s"), "id1", "id2"))
+    placed = number_items(ordered, [], "order", "place")
+    return placed.select("id1", "id2", F.round("similarity", 6).alias("similarity"), (F.col("place") + 1).alias("place"))
 
 
 def _search_sql(score: str, extra: str = "") -> str:
@@ -87,6 +124,17 @@ def _found(df: DataFrame) -> DataFrame:
     )
 
 
+@query(
+    "search_failed_vectors",
+    _search_sql("sim").replace(_E, _FAILED) + " union all select cast(label as varchar), vec_id, null, null, null from embeddings where vec_id % 10 = 0",
+)
+def search_failed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a vector find nothing and are nobody's neighbour; they come back without one."""
+    rows = half_encoded(spark, sf_dir)
+    failed = V.failed_vectors(rows).select(KEY, F.col("id").cast("long").alias("query_id"))
+    return _found(N.search(rows, rows, 5, skip_same_id=True)).unionByName(failed, allowMissingColumns=True)
+
+
 @query("search_cosine", _search_sql("sim"))
 def search_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
