@@ -31,6 +31,10 @@ class Settings:
     density_eps: float = 0.5
     kmeans_k: int = 8
     numeric_k: int = 5
+    # passes over all rows at most; the loop ends before when nothing moves
+    kmeans_rounds: int = 20
+    # distance of the silhouette, for keys of every size: euclidean (exact, square in a key) or squared (linear)
+    silhouette_measure: str = "euclidean"
     seed: int = 42
     # vectors
     dimension: int = 384

@@ -13,7 +13,7 @@ from formscribe.operators.kmeans import assign_centres, train_centres
 from formscribe.operators.neighbours import search
 from formscribe.operators.profile import KEY
 from formscribe.operators.ranking import top_per_group
-from formscribe.operators.vectors import cosine, unit
+from formscribe.operators.vectors import cosine, unit, with_vectors
 
 
 def _entries(vector: Column) -> list[Column]:
@@ -25,19 +25,19 @@ def _entries(vector: Column) -> list[Column]:
 
 
 def _unit_rows(vectors: DataFrame) -> DataFrame:
-    units = vectors.select(KEY, "id", F.lit(1).cast("long").alias("n"), unit(F.col("vec")).alias("_u"))
+    units = with_vectors(vectors).select(KEY, "id", F.lit(1).cast("long").alias("n"), unit(F.col("vec")).alias("_u"))
     return units.select(KEY, "id", "n", *_entries(F.col("_u")))
 
 
 def train_cells(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Centres (key, cell, vec): nlist per key that has that many vectors, else one.
 
-    Training sees at most 256 vectors per cell; every vector is assigned.
+    All vectors take part in the training.
     """
     sizes = vectors.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
     k = F.when(F.col("_n") >= settings.nlist, F.lit(settings.nlist)).otherwise(F.lit(1))
     rows = _unit_rows(vectors).join(sizes.select(KEY, k.alias("k")), KEY)
-    centres = train_centres(rows, [KEY], "k", sample_rows=256 * settings.nlist, whole=True)
+    centres = train_centres(rows, [KEY], "k", whole=True, settings=settings)
     return centres.select(KEY, F.col("cluster").alias("cell"), F.col("w").alias("vec"))
 
 
@@ -80,7 +80,7 @@ def _parts(vectors: DataFrame, m: int) -> DataFrame:
         F.sequence(F.lit(0), F.lit(m - 1)),
         lambda j: F.struct(j.cast("int").alias("part"), F.slice("_u", j.cast("int") * width + 1, width).alias("v")),
     )
-    units = vectors.select(KEY, "id", unit(F.col("vec")).alias("_u"))
+    units = with_vectors(vectors).select(KEY, "id", unit(F.col("vec")).alias("_u"))
     rows = units.select(KEY, "id", F.explode(pieces).alias("_p")).select(KEY, "id", "_p.part", "_p.v")
     return rows.select(KEY, "part", "id", F.lit(1).cast("long").alias("n"), *_entries(F.col("v")))
 
@@ -88,7 +88,7 @@ def _parts(vectors: DataFrame, m: int) -> DataFrame:
 def train_codebook(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(key, part, code, v): up to 2^bits centres for each of the m sub-vectors."""
     rows = _parts(vectors, settings.pq_m).withColumn("k", F.lit(2**settings.pq_bits))
-    centres = train_centres(rows, [KEY, "part"], "k", sample_rows=16 * 2**settings.pq_bits, whole=True)
+    centres = train_centres(rows, [KEY, "part"], "k", whole=True, settings=settings)
     return centres.select(KEY, "part", F.col("cluster").alias("code"), F.col("w").alias("v"))
 
 

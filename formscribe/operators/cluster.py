@@ -13,7 +13,7 @@ from formscribe.operators.density import density_labels
 from formscribe.operators.kmeans import kmeans_labels
 from formscribe.operators.profile import KEY
 from formscribe.operators.ranking import most_common, top_per_group
-from formscribe.operators.silhouette import silhouette, silhouette_by_size
+from formscribe.operators.silhouette import silhouette_of
 from formscribe.operators.terms import term_weights, tfidf_rows, term_counts, vocabulary
 from formscribe.operators.vectors import embed_column, value_id
 from formscribe.session import cut_lineage
@@ -22,7 +22,7 @@ from formscribe.session import cut_lineage
 @dataclass(frozen=True)
 class Clustering:
     """labels: composite_key, id, value, n, first_pos, sig, cluster (-1 noise), idx, w.
-    summary: composite_key, method, n_clusters, silhouette, exact (is the silhouette exact)."""
+    summary: composite_key, method, n_clusters, silhouette."""
 
     labels: DataFrame
     summary: DataFrame
@@ -112,7 +112,7 @@ def cluster_all(
     labels = cut_lineage(numeric.select(*columns).unionByName(by_text.select(*columns)))
 
     found = labels.groupBy(KEY).agg(F.first("method").alias("_found"), F.count_distinct("cluster").alias("_c"))
-    scores = silhouette_by_size(labels.where(F.col("method") != "numeric_unit"), [KEY], settings)
+    scores = silhouette_of(labels.where(F.col("method") != "numeric_unit"), [KEY], settings)
     failed = F.when(F.col("method") == "numeric_unit", F.lit("insufficient_numeric_data")).otherwise(F.lit("error"))
     method = F.when(F.col("method") == "insufficient_data", F.col("method")).otherwise(F.coalesce("_found", failed))
     summary = routes.join(found, KEY, "left").join(scores, KEY, "left")
@@ -123,7 +123,6 @@ def cluster_all(
             method.alias("method"),
             F.coalesce("_c", F.lit(0)).alias("n_clusters"),
             F.coalesce("silhouette", F.lit(0.0)).alias("silhouette"),
-            F.coalesce("exact", F.lit(True)).alias("exact"),
         ),
     )
 
@@ -234,7 +233,7 @@ def search_kmeans(rows: DataFrame, settings: Settings = Settings(), most: int =
     cells = cut_lineage(rows.select(KEY, "id", "n", "idx", "w").join(grid.where(F.col("k") <= F.col("_d")), KEY))
     group = [KEY, "k"]
     labelled = cells.join(kmeans_labels(cells, group, "k", settings), [*group, "id"])
-    scores = silhouette(labelled, group, settings)
+    scores = silhouette_of(labelled, group, settings)
     best = F.max_by(F.struct("k", "silhouette"), F.struct("silhouette", (-F.col("k")).alias("_o")))
     return scores.groupBy(KEY).agg(best.alias("_b")).select(KEY, F.col("_b.k").alias("k"), F.col("_b.silhouette").alias("score"))
 
@@ -260,7 +259,7 @@ def search_density(
     group = [KEY, "cell"]
     labelled = cells.join(density_labels(cells, group, settings), [*group, "id"])
     several = labelled.groupBy(*group).agg(F.count_distinct("cluster").alias("_c")).where(F.col("_c") > 1)
-    scores = silhouette(labelled.join(several.select(*group), group, "left_semi"), group, settings)
+    scores = silhouette_of(labelled.join(several.select(*group), group, "left_semi"), group, settings)
     best = F.max_by(F.struct("cell", "silhouette"), F.struct("silhouette", (-F.col("cell")).alias("_o")))
     chosen = scores.groupBy(KEY).agg(best.alias("_b"))
     option = F.get(options, F.col("_b.cell"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from formscribe.config import Settings
 from formscribe.operators.blocks import add_blocks, constants, group_schema, map_groups, numbers, sparse_rows, strings
 from formscribe.operators.profile import KEY
-from formscribe.operators.ranking import top_per_group
+from formscribe.session import cut_lineage
 
 
 def fit_centres(rows: np.ndarray, weights: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
@@ -41,43 +41,113 @@ def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return squares.argmin(axis=1)
 
 
-def train_centres(
-    rows: DataFrame,
-    group: Sequence[str] = (KEY,),
-    k: str = "k",
-    sample_rows: int = 1000,
-    whole: bool = False,
-) -> DataFrame:
-    """Centres (group, cluster, idx, w) from a mini-batch of at most `sample_rows` rows per group.
+def seed_centres(rows: DataFrame, group: Sequence[str], k: str, settings: Settings, whole: bool = False) -> DataFrame:
+    """At most k starting centres (group, cluster, idx, w) per group, from all of its rows.
 
-    The batch bounds what one task holds; groups below it are used whole. Every row is assigned afterwards.
-    With `whole` the arrays also keep zero entries, so that w is the dense centre.
+    Each block is reduced to its own k centres, weighted by the rows nearest to them; those are rows of the next level,
+    until a group is one block. Every level divides the rows by the block size over k.
     """
     group = list(group)
-    # ids are ranked alone; the wide rows are fetched for the chosen ones only
-    ids = rows.select(*group, "id").withColumn("_h", F.xxhash64("id"))
-    chosen = top_per_group(ids, group, [F.col("_h"), F.col("id")], sample_rows).select(*group, "id")
-    batch = rows.join(chosen, [*group, "id"], "left_semi")
+    most = rows.agg(F.max(k)).first()[0] or 1
+    size = max(settings.block_rows, 4 * int(most))
 
     def kernel(table: pa.Table) -> pa.Table:
         order = np.argsort(strings(table, "id"), kind="stable")
         table = table.take(pa.array(order))
-        dense = sparse_rows(table)
-        centres = fit_centres(dense, numbers(table, "n").astype(float), int(numbers(table, k)[0]))
+        dense, weight = sparse_rows(table), numbers(table, "n").astype(float)
+        centres = fit_centres(dense, weight, int(numbers(table, k)[0]))
         centres = centres[np.lexsort(centres.T[::-1])]
+        mass = np.bincount(nearest(dense, centres), weights=weight, minlength=len(centres))
         entries = [np.arange(len(c)) if whole else np.flatnonzero(c) for c in centres]
+        block = int(numbers(table, "b")[0])
         return pa.table(
             {
                 **constants(table, group, len(centres)),
-                "cluster": pa.array(np.arange(len(centres), dtype=np.int32)),
+                "id": pa.array([f"{block:09d}-{i:06d}" for i in range(len(centres))]),
+                "n": pa.array(np.maximum(mass, 1).astype(np.int64)),
+                k: pa.array(np.full(len(centres), numbers(table, k)[0], dtype=np.int32)),
                 "idx": pa.array([e.astype(np.int32) for e in entries], pa.list_(pa.int32())),
                 "w": pa.array([c[e] for c, e in zip(centres, entries)], pa.list_(pa.float64())),
             }
         )
 
-    schema = group_schema(rows, group, "cluster int, idx array<int>, w array<double>")
-    columns = dict.fromkeys([*group, "id", "n", k, "idx", "w"])
-    return map_groups(batch.select(*columns), group, kernel, schema)
+    schema = group_schema(rows, group, f"id string, n bigint, {k} int, idx array<int>, w array<double>")
+    current = rows.select(*dict.fromkeys([*group, "id", "n", k, "idx", "w"]))
+    while True:
+        blocked = add_blocks(current, group, "id", size)
+        blocks = blocked.agg(F.max("nb")).first()[0]
+        current = cut_lineage(map_groups(blocked.drop("nb"), [*group, "b"], kernel, schema))
+        if blocks is None or blocks <= 1:
+            return current.select(*group, F.substring("id", 11, 6).cast("int").alias("cluster"), "idx", "w")
+
+
+def _moved(rows: DataFrame, centres: DataFrame, group: list[str], settings: Settings, whole: bool) -> DataFrame:
+    """One Lloyd round over all rows: centres (group, cluster, idx, w) as the means of their rows, and `moved`.
+
+    Blocks send a weighted sum per cluster and entry; a centre without rows stays where it is.
+    """
+    blocked = add_blocks(rows.select(*group, "id", "n", "idx", "w"), group, "id", settings.block_rows)
+    places = blocked.select(*group, "b").distinct()
+    spread = centres.join(places, group).select(*group, "b", F.col("cluster").alias("c"), F.lit(0).cast("long").alias("n"), "idx", "w")
+    both = blocked.select(*group, "b", F.lit(-1).alias("c"), "n", "idx", "w").unionByName(spread)
+
+    def kernel(table: pa.Table) -> pa.Table | None:
+        c = numbers(table, "c")
+        dense, weight = sparse_rows(table), numbers(table, "n").astype(float)
+        is_centre = c >= 0
+        order = np.argsort(c[is_centre])
+        names, x, n = c[is_centre][order], dense[~is_centre], weight[~is_centre]
+        label = nearest(x, dense[is_centre][order])
+        present = np.unique(label)
+        sums = np.stack([(x[label == p] * n[label == p][:, None]).sum(0) for p in present])
+        entries = [np.arange(len(r)) if whole else np.flatnonzero(r) for r in sums]
+        return pa.table(
+            {
+                **constants(table, group, len(present)),
+                "cluster": pa.array(names[present].astype(np.int32)),
+                "n": pa.array([float(n[label == p].sum()) for p in present]),
+                "idx": pa.array([e.astype(np.int32) for e in entries], pa.list_(pa.int32())),
+                "w": pa.array([r[e] for r, e in zip(sums, entries)], pa.list_(pa.float64())),
+            }
+        )
+
+    key = [*group, "cluster"]
+    parts = cut_lineage(map_groups(both, [*group, "b"], kernel, group_schema(rows, group, "cluster int, n double, idx array<int>, w array<double>")))
+    mass = parts.groupBy(*key).agg(F.sum("n").alias("mass"))
+    entries = parts.select(*key, F.explode(F.arrays_zip("idx", "w")).alias("e")).groupBy(*key, F.col("e.idx").alias("i")).agg(F.sum("e.w").alias("s"))
+    # one entry per term or dimension of the group
+    packed = entries.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("e"))
+    means = mass.join(packed, key, "left").select(
+        *key,
+        F.coalesce(F.col("e.i"), F.array().cast("array<int>")).alias("m_idx"),
+        # sums of blocks may arrive in any order; the last digits are cut off
+        F.coalesce(F.transform("e", lambda x: F.round(x["s"] / F.col("mass"), 12)), F.array().cast("array<double>")).alias("m_w"),
+    )
+    joined = centres.join(means, key, "left")
+    return joined.select(
+        *key,
+        F.coalesce("m_idx", "idx").alias("idx"),
+        F.coalesce("m_w", "w").alias("w"),
+        (F.col("m_w").isNotNull() & ((F.col("m_w") != F.col("w")) | (F.col("m_idx") != F.col("idx")))).alias("moved"),
+    )
+
+
+def train_centres(
+    rows: DataFrame, group: Sequence[str] = (KEY,), k: str = "k", whole: bool = False, settings: Settings = Settings()
+) -> DataFrame:
+    """Centres (group, cluster, idx, w) by Lloyd rounds over all rows, from `seed_centres`.
+
+    A round is one pass in blocks; the loop ends when no centre moves, or after `kmeans_rounds`. With `whole` the arrays
+    also keep zero entries, so that w is the dense centre of rows that have all entries.
+    """
+    group = list(group)
+    centres = seed_centres(rows, group, k, settings, whole)
+    for _ in range(settings.kmeans_rounds):
+        moved = cut_lineage(_moved(rows, centres, group, settings, whole))
+        centres = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            break
+    return centres
 
 
 def assign_centres(
@@ -111,4 +181,5 @@ def kmeans_labels(
     rows: DataFrame, group: Sequence[str] = (KEY,), k: str = "k", settings: Settings = Settings()
 ) -> DataFrame:
     """(group, id, cluster) with the column `k` as the wanted number of clusters of the group."""
-    return assign_centres(rows, train_centres(rows, group, k), group, settings)
+    rows = cut_lineage(rows)
+    return assign_centres(rows, train_centres(rows, group, k, settings=settings), group, settings)

@@ -114,15 +114,13 @@ def silhouette_from_moments(labelled: DataFrame, group: Sequence[str] = (KEY,),
     return labelled.select(*group).distinct().join(scored, group, "left").fillna(0.0, subset=["silhouette"])
 
 
-def silhouette_by_size(
-    labelled: DataFrame, group: Sequence[str] = (KEY,), settings: Settings = Settings(), exact_rows: int = 20000
-) -> DataFrame:
-    """(group, silhouette, exact): exact for groups of up to `exact_rows` rows, from moments above."""
-    group = list(group)
-    large = labelled.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > exact_rows).select(*group)
-    small = silhouette(labelled.join(large, group, "left_anti"), group, settings).withColumn("exact", F.lit(True))
-    rest = silhouette_from_moments(labelled.join(large, group, "left_semi"), group, settings)
-    return small.unionByName(rest.withColumn("exact", F.lit(False)))
+def silhouette_of(labelled: DataFrame, group: Sequence[str] = (KEY,), settings: Settings = Settings()) -> DataFrame:
+    """(group, silhouette) by the measure that the settings name, the same for groups of every size."""
+    if settings.silhouette_measure == "euclidean":
+        return silhouette(labelled, group, settings)
+    if settings.silhouette_measure == "squared":
+        return silhouette_from_moments(labelled, group, settings)
+    raise ValueError("silhouette_measure must be euclidean or squared")
 
 
 def _sums(gaps: np.ndarray, ids: np.ndarray, own: np.ndarray, n: np.ndarray, clusters: np.ndarray, weights: np.ndarray) -> dict:

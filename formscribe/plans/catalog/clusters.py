@@ -18,6 +18,7 @@ from formscribe.plans import duck
 from formscribe.plans.catalog import query
 from formscribe.plans.catalog.profiles import profile_cte
 from formscribe.plans.views import load, view, with_views
+from formscribe.session import cut_lineage
 
 
 def _terms_sql(name: str, low: int, high: int, features: int) -> str:
@@ -288,6 +289,34 @@ def kmeans_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels(rows.withColumn("k", F.lit(8)))
 
 
+def _number_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of parts per type, as one-dimensional rows of at most three clusters."""
+    numbers = C.numeric_rows(value_table(view(spark, sf_dir, "v_sizes")))
+    most = numbers.groupBy(KEY).agg(F.least(F.lit(3), F.count(F.lit(1))).cast("int").alias("k"))
+    return numbers.join(most, KEY)
+
+
+@query(
+    "kmeans_invariants",
+    f"""{with_views('v_sizes')}, k as (select {duck.key()} as composite_key, value from v_sizes)
+    select composite_key, count(distinct value) as labelled, true as nearest, true as better from k group by 1""",
+)
+def kmeans_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value is labelled, none is nearer to another cluster's mean, and clusters cost no more than one would."""
+    from formscribe.operators.kmeans import kmeans_labels as labels
+
+    rows = cut_lineage(_number_rows(spark, sf_dir))
+    found = rows.join(labels(rows), [KEY, "id"]).withColumn("x", F.get("w", F.lit(0)))
+    means = found.groupBy(KEY, "cluster").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("m"))
+    whole = found.groupBy(KEY).agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("one"))
+    gaps = found.join(means.select(KEY, F.col("cluster").alias("c"), "m"), KEY).withColumn("gap", F.abs(F.col("x") - F.col("m")))
+    best = gaps.groupBy(KEY, "id", "n", "x").agg(F.min("gap").alias("least"), F.max(F.when(F.col("c") == F.col("cluster"), F.col("gap"))).alias("own"))
+    cost = F.sum(F.col("own") * F.col("own") * F.col("n")) <= F.sum(F.pow(F.col("x") - F.col("one"), 2) * F.col("n")) + 1e-6
+    return best.join(whole, KEY).groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("labelled"), F.min(F.col("own") <= F.col("least") + 1e-6).alias("nearest"), cost.alias("better")
+    )
+
+
 @query("cluster_keys_names")
 def cluster_keys_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clustered(spark, sf_dir, "v_names", WORDS)
@@ -316,7 +345,7 @@ def search_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("search_density")
 def search_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.training_rows(value_table(view(spark, sf_dir, "v_names")), WORDS)
-    return C.search_density(rows, grid=((0.35, 1, 2), (0.35, 2, 3), (0.5, 1, 2), (0.5, 3, 3)))
+    return C.search_density(rows)
 
 
 @query(
