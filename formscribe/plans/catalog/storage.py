@@ -30,6 +30,16 @@ def read_csv_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good
 
 
+@query(
+    "read_csv_docs",
+    f"""{with_views('v_docs')} select cast(row_id as varchar) as row_id, key_part1, key_part2, key_part3, md5(value) as digest, length(value) as chars from v_docs""",
+)
+def read_csv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with commas, quotes and line breaks come back as they were."""
+    good, _ = T.split_corrupt(T.read_items(spark, _csv(spark, sf_dir, "v_docs")))
+    return good.withColumn("digest", F.md5("value")).withColumn("chars", F.length("value").cast("long")).drop("value")
+
+
 @query(
     "ingest_csv",
     f"""{with_views('v_orders')}, {duck.keyed('v_orders')} select composite_key, count(*) as "count", count(distinct value) as unique_values,
@@ -53,7 +63,8 @@ def missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "quarantine",
-    """select case when o_orderstatus = 'P' then 'bad' else 'good' end as kind, count(*) as "count" from orders group by 1""",
+    """select case when o_orderstatus = 'P' then 'bad' else 'good' end as kind,
+      o_orderstatus || ',' || o_orderkey || ',x,' || o_orderpriority || case when o_orderstatus = 'P' then ',extra,cells' else '' end as line from orders""",
 )
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with too many cells are set aside, the others are kept."""
@@ -63,8 +74,8 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     load(spark, sf_dir, "orders").select(broken.alias("line")).write.text(path)
     columns = ("key_part1", "key_part2", "key_part3", "value")
     good, bad = T.split_corrupt(T.read_items(spark, path, columns=columns, header=False))
-    both = good.select(F.lit("good").alias("kind")).unionByName(bad.select(F.lit("bad").alias("kind")))
-    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("count"))
+    kept = good.select(F.lit("good").alias("kind"), F.concat_ws(",", *columns).alias("line"))
+    return kept.unionByName(bad.select(F.lit("bad").alias("kind"), F.col(bad.columns[0]).alias("line")))
 
 
 @query(
