@@ -41,7 +41,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _complete(spark: SparkSession, stream: DataFrame, label: str, mode: str) -> DataFrame:
     out = scratch_path(spark, label)
     R.write_table(stream, f"{out}/table", f"{out}/progress", mode).awaitTermination()
-    return spark.read.parquet(f"{out}/table")
+    return spark.read.parquet(f"{out}/table") if mode == "append" else R.read_latest(spark, f"{out}/table")
 
 
 def _windows(hours: int, step_hours: int, count: int) -> str:

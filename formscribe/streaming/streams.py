@@ -41,14 +41,27 @@ def write_batches(stream: DataFrame, work: Batch, out: str, checkpoint: str, **t
     )
 
 
+def _write_version(batch: DataFrame, number: int, out: str) -> None:
+    batch.write.mode("overwrite").parquet(f"{out}/data/version={number}")
+    marker = batch.sparkSession.range(1).select(F.lit(number).cast("long").alias("complete"))
+    marker.write.mode("overwrite").parquet(f"{out}/markers/version={number}")
+
+
+def read_latest(spark: SparkSession, out: str) -> DataFrame:
+    """The newest complete version of a table that `write_table` keeps in complete mode."""
+    newest = spark.read.parquet(f"{out}/markers").agg(F.max("complete")).first()[0]
+    return spark.read.parquet(f"{out}/data/version={newest}")
+
+
 def write_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", **trigger) -> StreamingQuery:
-    """Append mode goes to the exactly-once file sink; complete mode replaces the table with every batch."""
+    """Append mode goes to the exactly-once file sink. Complete mode writes every batch as a version of its own, then a
+    marker; `read_latest` reads the newest version that has one, so a failed write never costs the table."""
     trigger = trigger or {"availableNow": True}
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", out).outputMode("append")
     else:
         writer = stream.writeStream.outputMode(mode).foreachBatch(
-            lambda batch, number: batch.write.mode("overwrite").parquet(out)
+            lambda batch, number: _write_version(batch, number, out)
         )
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
