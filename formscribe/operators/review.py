@@ -16,8 +16,13 @@ from formscribe.operators.ranking import top_per_group
 
 
 def review_items(validated: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Verdicts that need a human. The id is a hash of key, value and time, so a re-run makes equal ids."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (KEY, "original_value", "ts")]
+    """Verdicts that need a human. The id is a hash of the request's own id, else of key, value and time.
+
+    A repeated micro-batch makes equal ids if requests bring `request_id` or `requested_at`, or `as_of` was given; with
+    the time of the run instead, the same request gets another id.
+    """
+    named = ["request_id"] if "request_id" in validated.columns else [KEY, "original_value", "ts"]
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in named]
     wanted = validated.where(F.col("verdict") == "needs_review")
     return wanted.withColumn("id", F.md5(F.concat_ws("\x1f", *parts)))
 

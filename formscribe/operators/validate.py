@@ -107,8 +107,11 @@ def validate_values(
 
     `duplicates` has composite_key, normalized, similarity, nearest_examples for the (key, normalised value)
     pairs with a neighbour at or above the threshold; see `neighbours.duplicate_check`. Malformed keys are
-    rejected, unknown keys go to review.
+    rejected, unknown keys go to review. The time `ts` is the request's `requested_at` where it has one, else `as_of`,
+    else the time of the run.
     """
+    now = as_of if as_of is not None else F.current_timestamp()
+    stamp = F.coalesce(F.col("requested_at").cast("timestamp"), now) if "requested_at" in requests.columns else now
     prepared = prepare_requests(requests, profiles, rules)
     if duplicates is None:
         prepared = prepared.withColumns(
@@ -143,7 +146,7 @@ def validate_values(
         "_v.*",
         F.when(unknown, nothing).otherwise(nearest).alias("nearest_examples"),
         F.when(unknown, nothing).otherwise(F.col("applied_rules")).alias("rules_applied"),
-        (as_of if as_of is not None else F.current_timestamp()).alias("ts"),
+        stamp.alias("ts"),
     )
 
 

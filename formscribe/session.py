@@ -17,6 +17,8 @@ def build_session(app: str = "formscribe", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
+        # lists per key stay hashed for this many keys of a task before the aggregation falls back to sorting
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
