@@ -25,12 +25,17 @@ def con():
     connection.close()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_query_without_sql(spark, name):
+    """Runs and gives rows; what they have to be is checked by the tests of its operator."""
+    df = QUERIES[name](spark, SF_DIR)
+    assert df.columns and df.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) & set(ORACLES)))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF_DIR)
     rows = [r.asDict() for r in df.collect()]
-    if name not in ORACLES:
-        return
     cursor = con.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     want = [dict(zip(columns, r)) for r in cursor.fetchall()]

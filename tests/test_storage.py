@@ -28,6 +28,27 @@ def test_read_items(spark, csv_path):
     assert [r[0] for r in bad.collect()] == ["B,Y,2,v,extra,cells"]
 
 
+def test_cells_with_line_breaks(spark, tmp_path):
+    text = 'key_part1,key_part2,key_part3,value\na,b,c,"two\nlines"\r\na,b,c,"x, ""y""\r\nz"\na,b,c,plain\n'
+    (tmp_path / "m.csv").write_bytes(text.encode())
+    good, bad = tables.split_corrupt(tables.read_items(spark, str(tmp_path / "m.csv")))
+    assert [r.value.replace("\r\n", "\n") for r in good.collect()] == ["two\nlines", 'x, "y"\nz', "plain"] and bad.count() == 0
+
+
+def test_an_open_last_quote_is_never_good(spark, tmp_path):
+    (tmp_path / "o.csv").write_text('key_part1,key_part2,key_part3,value\na,b,c,fine\na,b,c,"cut\nhere\n')
+    good, bad = tables.split_corrupt(tables.read_items(spark, str(tmp_path / "o.csv")))
+    assert [r.value for r in good.collect()] == ["fine"] and bad.count() == 1
+
+
+def test_complete_tables_survive_a_failed_batch(spark, tmp_path):
+    out = str(tmp_path / "t")
+    streams._write_version(spark.range(3), 0, out)
+    streams._write_version(spark.range(5), 1, out)
+    spark.range(9).write.parquet(f"{out}/data/version=2")  # a write that ended before its marker
+    assert streams.read_latest(spark, out).count() == 5
+
+
 def test_ingest(spark, csv_path):
     rows, stats = tables.ingest_checked(spark, csv_path)
     assert rows.count() == 4

@@ -9,7 +9,7 @@ from formscribe.config import Settings
 from formscribe.operators import ann, cluster, density, mining, neighbours, vectors
 from formscribe.operators.kmeans import kmeans_labels
 from formscribe.operators.profile import KEY
-from formscribe.operators.silhouette import silhouette, silhouette_by_size
+from formscribe.operators.silhouette import silhouette, silhouette_of
 
 TINY = Settings(block_rows=7)
 
@@ -43,7 +43,7 @@ def test_similar_pairs(points, threshold):
         for b in rows[i + 1 :]
         if a[0] == b[0] and cos(f32(a[2]), f32(b[2])) >= threshold
     }
-    found = neighbours.similar_pairs(df, threshold, TINY, rows_per_cell=5).collect()
+    found = neighbours.similar_pairs(df, threshold, TINY).collect()
     assert len(found) == len(want)
     assert {(r.id1, r.id2) for r in found} == want
 
@@ -124,7 +124,9 @@ def test_encoder(spark):
     assert np.allclose(direct[1], got[("k", "Hello World")], atol=1e-6)
 
 
-def test_failing_encoder_gives_null_vectors(spark):
+def test_failing_encoder(spark):
+    """It fails the job, or leaves NULL vectors that no operator takes part in."""
+
     def load():
         def encode(texts):
             raise RuntimeError("no model")
@@ -132,7 +134,56 @@ def test_failing_encoder_gives_null_vectors(spark):
         return encode
 
     df = spark.createDataFrame([("k", "a")], f"{KEY} string, value string")
-    assert vectors.embed_values(df, load).first().vec is None
+    with pytest.raises(Exception, match="no model"):
+        vectors.embed_values(df, load).collect()
+    lost = vectors.embed_values(df, load, on_error="status").cache()
+    assert lost.first().vec is None
+    assert [r.status for r in vectors.failed_vectors(lost).collect()] == ["no_vector"]
+    asked = spark.createDataFrame([("k", "a")], f"{KEY} string, normalized string")
+    assert neighbours.duplicate_check(asked, lost, load, on_error="status").count() == 0
+    with pytest.raises(Exception, match="no model"):
+        neighbours.duplicate_check(asked, lost, load).collect()
+
+
+def test_null_vectors_change_no_similarity(spark):
+    rows = [("k", "a", [1.0, 0.0, 0.0, 0.0]), ("k", "b", None), ("k", "c", [0.0, 1.0, 0.0, 0.0]), ("k", "d", [1.0, 1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, f"{KEY} string, id string, vec array<float>")
+    found = {(r.query_id, r.id): round(r.similarity, 6) for r in neighbours.search(df, df, 3).collect()}
+    assert found[("a", "a")] == 1.0 and found[("a", "c")] == 0.0 and found[("a", "d")] == 0.707107
+    assert all("b" not in pair for pair in found)
+    assert {(r.id1, r.id2) for r in neighbours.similar_pairs(df, 0.5).collect()} == {("a", "d"), ("c", "d")}
+
+
+def test_matrix_refuses_null_and_ragged_vectors():
+    import pyarrow as pa
+
+    from formscribe.operators.blocks import matrix
+
+    for bad in ([[1.0], None], [[1.0], [1.0, 2.0]]):
+        with pytest.raises(ValueError):
+            matrix(pa.chunked_array([pa.array(bad)]))
+
+
+def test_kmeans_uses_every_row_of_a_large_key(spark):
+    """Two thirds of the values lie far from the first thousand by hash; their clusters are found all the same."""
+    df = spark.range(50000).select(
+        F.lit("k").alias(KEY), F.format_string("%06d", "id").alias("id"), F.lit(1).cast("long").alias("n"), F.lit(3).alias("k"),
+        F.array(F.lit(0)).alias("idx"), F.array((F.col("id") % 3) * 1000.0 + F.col("id") * 0.001).alias("w"),
+    )
+    labels = kmeans_labels(df, settings=Settings(block_rows=512)).cache()
+    assert labels.count() == 50000
+    sizes = {(r.third, r.cluster): r["count"] for r in labels.groupBy((F.col("id").cast("long") % 3).alias("third"), "cluster").count().collect()}
+    assert len(sizes) == 3 and sum(sizes.values()) == 50000
+
+
+def test_approximate_pairs_reach_the_recall(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(60, 32))
+    rows = [("k", f"{i}-{j}", [float(x) for x in base[i] + rng.normal(size=32) * 0.25]) for i in range(60) for j in range(3)]
+    df = spark.createDataFrame(rows, f"{KEY} string, id string, vec array<float>")
+    every = {(r.id1, r.id2) for r in neighbours.similar_pairs(df, 0.8).collect()}
+    found = [(r.id1, r.id2) for r in neighbours.similar_pairs_approx(df, 0.8, settings=TINY).collect()]
+    assert len(found) == len(set(found)) and set(found) <= every and len(found) >= 0.95 * len(every) > 100
 
 
 def sparse(n=80, terms=30, seed=3, keys=2):
@@ -237,7 +288,7 @@ def test_silhouette_from_moments(spark):
     rows = sparse(40)
     labelled = [(*r, i % 3) for i, r in enumerate(rows)]
     df = spark.createDataFrame(labelled, f"{KEY} string, id string, n long, idx array<int>, w array<double>, cluster int")
-    got = {r[KEY]: r for r in silhouette_by_size(df, settings=Settings(block_rows=6), exact_rows=5).collect()}
+    got = {r[KEY]: r for r in silhouette_of(df, settings=Settings(block_rows=6, silhouette_measure="squared")).collect()}
     for key in ("k0", "k1"):
         x = np.array([dense(r) for r in labelled if r[0] == key for _ in range(r[2])])
         c = np.array([r[5] for r in labelled if r[0] == key for _ in range(r[2])])
@@ -247,8 +298,11 @@ def test_silhouette_from_moments(spark):
             a = d[i][c == c[i]].sum() / ((c == c[i]).sum() - 1)
             b = min(d[i][c == o].mean() for o in set(c) - {c[i]})
             s.append((b - a) / max(a, b))
-        assert got[key].silhouette == pytest.approx(np.mean(s), abs=1e-9) and not got[key].exact
-    assert all(r.exact for r in silhouette_by_size(df).collect())
+        assert got[key].silhouette == pytest.approx(np.mean(s), abs=1e-9)
+    plain = {r[KEY]: r.silhouette for r in silhouette(df).collect()}
+    assert {r[KEY]: r.silhouette for r in silhouette_of(df).collect()} == pytest.approx(plain)
+    with pytest.raises(ValueError):
+        silhouette_of(df, settings=Settings(silhouette_measure="other"))
 
 
 def test_kmeans_labels_every_row_and_separates(spark):
