@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from formscribe.llm.hashing import chunks, mix, randoms, window_hashes, word_hashes
+from formscribe.llm.stages import stored
 from formscribe.llm.words import marked, unmarked
 from formscribe.operators.density import connected
-from formscribe.session import cut_lineage, scratch_path
 
 #: Words of an n-gram, the similarity of a link, and the recall wanted of a single pair at that similarity.
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -83,9 +83,7 @@ def signature_table(documents: DataFrame, id_col: str, text_col: str, bands: int
 
     given = documents.select(marked(F.col(id_col)).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     schema = "doc_id long, text_hash long, node binary, bands array<long>"
-    path = scratch_path(documents.sparkSession, "signatures")
-    given.mapInPandas(run, schema).withColumn("doc_id", unmarked(F.col("doc_id"))).write.parquet(path)
-    return documents.sparkSession.read.schema(schema).parquet(path)
+    return stored(given.mapInPandas(run, schema).withColumn("doc_id", unmarked(F.col("doc_id"))), "signatures")
 
 
 def _compare(table: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -194,7 +192,7 @@ def jaccard_join(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("one"),
         F.min("bands").alias("bands"),
     )
-    nodes = cut_lineage(nodes)
+    nodes = stored(nodes, "nodes")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     heads = banded.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = banded.join(heads.drop("n"), ["band", "key"]).where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
@@ -205,7 +203,7 @@ def jaccard_join(
     )
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     members = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash"))).dropDuplicates(["node"])
-    verified = cut_lineage(verify_groups(members.select("grp", "size", "node", "copies", "text"), threshold))
+    verified = stored(verify_groups(members.select("grp", "size", "node", "copies", "text"), threshold), "links")
     edges = verified.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
     classes = connected(edges, []).select(F.col("id").alias("node"), "root")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
