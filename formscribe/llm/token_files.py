@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from formscribe.llm.hashing import chunks
 from formscribe.llm.ranges import id_bounds, id_range
+from formscribe.llm.stages import early_cleanup
 from formscribe.llm.words import marked, unmarked
 
 #: Words that a worker remembers with their ids; beyond that it forgets all of them.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 
 _SPACES = re.compile(r"[\x00\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -49,9 +50,21 @@ class Encoder:
         return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
 
     def learn(self, words: list[str]) -> None:
-        """Encode unseen pieces in one go: each begins with a blank or line break, so they stand one after another."""
+        """Encode unseen pieces in one go: each begins with a blank or line break, so they stand one after another.
+
+        The tokenizer also never joins a letter to a mark, so a word with a last comma or stop is its ids and the mark's.
+        """
         if len(self.known) + len(words) > REMEMBERED:
             self.known = {"": b""}
+        marked = [w for w in words if w[-1] in ",." and w[-2:-1].isalpha()]
+        plain = dict.fromkeys(w for w in words if not (w[-1] in ",." and w[-2:-1].isalpha()))
+        plain.update((w[:-1], None) for w in marked if w[:-1] not in self.known)
+        self._learn(list(plain))
+        marks = {m: self.whole(m) for m in ",."}
+        for w in marked:
+            self.known[w] = self.known[w[:-1]] + marks[w[-1]]
+
+    def _learn(self, words: list[str]) -> None:
         joined = [w for w in words if w[0] in " \n"]
         for w in words:
             if w[0] not in " \n":
@@ -157,7 +170,8 @@ def write_token_files(
     store, base = pafs.FileSystem.from_uri(out_dir)
     store.create_dir(base, recursive=True)
     schema = "part int, name string, docs long, tokens long, width int"
-    rows.mapInPandas(write, schema).write.mode("overwrite").parquet(f"{out_dir}/parts")
+    with early_cleanup(spark):
+        rows.mapInPandas(write, schema).write.mode("overwrite").parquet(f"{out_dir}/parts")
     before = F.sum("tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     manifest = spark.read.schema(schema).parquet(f"{out_dir}/parts").withColumn("base", F.coalesce(before, F.lit(0)))
     manifest.write.mode("overwrite").parquet(f"{out_dir}/manifest")
