@@ -10,17 +10,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from formscribe.llm.hashing import chunks, mix, randoms
+from formscribe.llm.stages import stored
 from formscribe.llm.words import marked, unmarked
-from formscribe.session import scratch_path
 
 #: Share of an item's words that may be edited, and the recall wanted for passages at that distance.
 MAX_EDITS = 0.2
 TARGET_RECALL = 0.95
 #: Items of fewer words are no passages.
 LEAST_WORDS = 5
-#: Words that the walk of one key samples, and the bits of the filter that benchmark keys set.
+#: Words that the walk of one key samples, the bits of the filter, and how many of them each benchmark key sets.
 SAMPLED = 5
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 27
+PROBES = 3
 
 _TOKEN = re.compile(r"\w+")
 _KINDS = (4, 8, 16, 32)  # at most 48 steps, so the 64 bits of a word are enough
@@ -32,16 +33,16 @@ def tokens(text: str | None) -> list[str]:
 
 
 def window_of(words: int) -> int:
-    """Words of the windows that an item is cut into: the largest of 4, 8, 16 and 32 that is at most half the item."""
-    return max([k for k in _KINDS if 2 * k <= words], default=_KINDS[0])
+    """Words of the windows that an item is cut into: the largest of 4, 8, 16 and 32 within three fifths of the item."""
+    return max([k for k in _KINDS if 5 * k <= 3 * words], default=_KINDS[0])
 
 
 def repetitions(recall: float, max_edits: float) -> int:
     """Walks needed so that a passage with that share of edited words is met with the wanted recall.
 
     One key survives if its sampled words do: each is off with about the share of edits, and an edit shifts the walk for
-    about as long again, so a key agrees with (1 - 2 * edits) ^ SAMPLED. An item that is twice its window holds at least
-    four sampled windows; neighbours overlap, so they count as two.
+    about as long again, so a key agrees with (1 - 2 * edits) ^ SAMPLED. An item holds three sampled windows or more;
+    neighbours overlap, so they count as two.
     """
     agree = (1 - 2 * max_edits) ** SAMPLED
     return max(1, math.ceil(math.log(1 - recall) / math.log((1 - agree) ** 2)))
@@ -81,27 +82,42 @@ def _sampled(window: int, rep: int) -> np.ndarray:
     return np.sort(order[: min(SAMPLED, _steps(window))])
 
 
-def embed_keys(numbers: np.ndarray, starts: np.ndarray, window: int, rep: int) -> np.ndarray:
-    """LSH keys of the windows at `starts`.
+def embed_keys(numbers: np.ndarray, starts: np.ndarray, window: int, rep: int) -> tuple[np.ndarray, np.ndarray]:
+    """LSH keys of the windows at `starts`, and which windows they are.
 
     The CGK walk stands on a word at every step and moves on if that word's random bit of that step is set; the words it
-    stands on are its embedding, in which an edit costs a few places. The key hashes the words at the sampled steps.
+    stands on are its embedding, in which an edit costs a few places. The key hashes the words at the sampled steps. A
+    walk that stood still between more than one pair of them says too little and has no key; equal walks move alike.
     """
     coins = mix(numbers ^ randoms(77, rep + 1)[rep]).view(np.int64)
     wanted = set(_sampled(window, rep).tolist())
     at, key = starts.astype(np.int64), np.full(len(starts), window * 64 + rep, dtype=np.int64)
+    still, last = np.zeros(len(starts), dtype=np.int8), np.full(len(starts), -1, dtype=np.int64)
     for step in range(max(wanted) + 1):
         here = coins[at]
         if step in wanted:
             key = (key ^ here) * np.int64(0x1E3779B97F4A7C15)
             key ^= key >> 32
+            still += at == last
+            last[:] = at
         at += (here >> step) & 1
-    return key.view(np.uint64)
+    moved = np.flatnonzero(still <= 1)
+    return key.view(np.uint64)[moved], moved
 
 
-def _bits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bit = (key >> np.uint64(7)) % np.uint64(FILTER_BITS)
-    return bit >> np.uint64(3), np.left_shift(1, (bit & np.uint64(7)).astype(np.int64)).astype(np.uint8)
+def _bits(key: np.ndarray, probe: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of the filter that a key sets at one of its probes."""
+    bit = (mix(key + np.uint64(probe)) if probe else key >> np.uint64(7)) & np.uint64(FILTER_BITS - 1)
+    return (bit >> np.uint64(3)).astype(np.int64), np.left_shift(1, (bit & np.uint64(7)).astype(np.uint8), dtype=np.uint8)
+
+
+def _may_occur(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Numbers of the keys whose probes are all set."""
+    left = np.arange(len(key))
+    for probe in range(PROBES):
+        byte, bit = _bits(key[left], probe)
+        left = left[bits[byte] & bit != 0]
+    return left
 
 
 def _padded(numbers: np.ndarray) -> np.ndarray:
@@ -118,7 +134,7 @@ def _item_keys(items: pd.DataFrame, reps: int) -> pd.DataFrame:
         window = window_of(len(words))
         numbers, starts = _padded(_WORDS.numbers(words)), np.arange(len(words) - window + 1)
         for rep in range(reps):
-            keys = np.unique(embed_keys(numbers, starts, window, rep)).view(np.int64)
+            keys = np.unique(embed_keys(numbers, starts, window, rep)[0]).view(np.int64)
             out.append(pd.DataFrame({"item_id": item, "words": len(words), "window": window, "key": keys}))
     columns = ["item_id", "words", "window", "key"]
     return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
@@ -132,8 +148,9 @@ def _filters(keys: DataFrame) -> np.ndarray:
 
     def setting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            byte, bit = _bits(pdf["key"].to_numpy(np.int64).view(np.uint64))
-            yield pd.DataFrame({"byte": byte.astype(np.int64), "bit": bit.astype(np.int32)})
+            for probe in range(PROBES):
+                byte, bit = _bits(pdf["key"].to_numpy(np.int64).view(np.uint64), probe)
+                yield pd.DataFrame({"byte": byte, "bit": bit.astype(np.int32)})
 
     merged = keys.select("key").mapInPandas(setting, "byte long, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bit"))
     table = merged.toPandas()
@@ -185,9 +202,8 @@ def find_leaks(
     items = benchmark.select(marked(F.col(item_id_col)).alias("item_id"), F.col(item_text_col).alias("text"))
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     key_schema = "item_id long, words int, window int, key long"
-    path = scratch_path(spark, "benchmark-keys")
-    items.repartition(spread, "item_id").mapInPandas(lambda batches: (_item_keys(pdf, reps) for pdf in batches), key_schema).write.parquet(path)
-    keys = spark.read.schema(key_schema).parquet(path)
+    keys = items.repartition(spread, "item_id").mapInPandas(lambda batches: (_item_keys(pdf, reps) for pdf in batches), key_schema)
+    keys = stored(keys, "benchmark-keys")
     kinds = {r["window"]: r["most"] for r in keys.groupBy("window").agg(F.max("words").alias("most")).collect()}
     shared = spark.sparkContext.broadcast(_filters(keys))
 
@@ -216,11 +232,11 @@ def find_leaks(
             stride, reach = max(1, window // 4), most + math.ceil(max_edits * most)
             starts = np.flatnonzero((inside % stride == 0) & (inside + window <= counts[owner]))
             for rep in range(reps):
-                key = embed_keys(numbers, starts, window, rep)
-                byte, bit = _bits(key)
-                for i in np.flatnonzero(bits[byte] & bit):
-                    at = int(inside[starts[i]])
-                    hits.setdefault(int(owner[starts[i]]), []).append((max(0, at - reach), at + reach, int(key[i : i + 1].view(np.int64)[0])))
+                key, moved = embed_keys(numbers, starts, window, rep)
+                for i in _may_occur(key, bits):
+                    start = starts[moved[i]]
+                    at = int(inside[start])
+                    hits.setdefault(int(owner[start]), []).append((max(0, at - reach), at + reach, int(key[i : i + 1].view(np.int64)[0])))
         found = []
         for doc, around in hits.items():
             merged: list[list] = []
@@ -234,9 +250,7 @@ def find_leaks(
 
     rows = documents.select(marked(F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
     schema = "doc_id long, passage long, words string, keys array<long>"
-    path = scratch_path(spark, "passages")
-    rows.mapInPandas(search, schema).write.parquet(path)
-    passages = spark.read.schema(schema).parquet(path).withColumn("digest", F.xxhash64("words"))
+    passages = stored(rows.mapInPandas(search, schema), "passages").withColumn("digest", F.xxhash64("words"))
     hits = passages.select("doc_id", "passage", "digest", F.explode("keys").alias("key"))
     place = ["doc_id", "passage", "digest"]
     pairs = hits.join(keys.select("key", "item_id"), "key").select(*place, "item_id").distinct()
