@@ -62,16 +62,17 @@ def seed_centres(rows: DataFrame, group: Sequence[str], k: str, settings: Settin
         block = int(numbers(table, "b")[0])
         return pa.table(
             {
-                **constants(table, group, len(centres)),
+                **constants(table, kept, len(centres)),
                 "id": pa.array([f"{block:09d}-{i:06d}" for i in range(len(centres))]),
                 "n": pa.array(np.maximum(mass, 1).astype(np.int64)),
-                k: pa.array(np.full(len(centres), numbers(table, k)[0], dtype=np.int32)),
                 "idx": pa.array([e.astype(np.int32) for e in entries], pa.list_(pa.int32())),
                 "w": pa.array([c[e] for c, e in zip(centres, entries)], pa.list_(pa.float64())),
             }
         )
 
-    schema = group_schema(rows, group, f"id string, n bigint, {k} int, idx array<int>, w array<double>")
+    # the wanted number may be one of the group columns
+    kept = [*group, *([] if k in group else [k])]
+    schema = group_schema(rows, kept, "id string, n bigint, idx array<int>, w array<double>")
     current = rows.select(*dict.fromkeys([*group, "id", "n", k, "idx", "w"]))
     while True:
         blocked = add_blocks(current, group, "id", size)
