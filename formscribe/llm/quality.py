@@ -23,26 +23,41 @@ HELD_OUT = 0.3
 SOURCES, LANGS = 64, 16
 
 
-def text_features(text: Column) -> dict[str, Column]:
-    """What the text itself tells, over its whole length: shares of kinds of characters and words."""
+def text_counts(text: Column) -> dict[str, Column]:
+    """What is counted in the whole text; each count reads it once."""
     t = F.coalesce(text, F.lit(""))
-    chars = F.greatest(F.length(t), F.lit(1)).cast("double")
-    words = F.greatest(n_words(t), F.lit(1)).cast("double")
-    distinct = F.size(F.array_distinct(words_of(t))) / words
 
     def left(pattern: str) -> Column:
         return F.length(F.regexp_replace(t, pattern, ""))
 
-    size = F.log1p(words)
+    return {
+        "n_chars": F.length(t),
+        "n_words": n_words(t),
+        "n_distinct": F.size(F.array_distinct(words_of(t))),
+        "n_solid": left(r"\s+"),
+        "n_not_upper": left(r"\p{Lu}+"),
+        "n_not_digit": left(r"\p{N}+"),
+        "n_not_symbol": left(r"[^\p{L}\p{N}\s]+"),
+        "n_lone": F.regexp_count(t, F.lit(r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)")),
+        "n_ends": F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s]{2,}(?!\S)")),
+        "n_lines": F.regexp_count(t, F.lit(r"\n")),
+    }
+
+
+def text_features(n: dict[str, Column]) -> dict[str, Column]:
+    """What the text itself tells, from its counts: shares of kinds of characters and words."""
+    chars = F.greatest(n["n_chars"], F.lit(1)).cast("double")
+    words = F.greatest(n["n_words"], F.lit(1)).cast("double")
+    size, distinct = F.log1p(words), n["n_distinct"] / words
     return {
         "size": size,
-        "word_length": F.log1p(left(r"\s+") / words),
-        "upper": 1 - left(r"\p{Lu}+") / chars,
-        "digits": 1 - left(r"\p{N}+") / chars,
-        "symbols": 1 - left(r"[^\p{L}\p{N}\s]+") / chars,
-        "lone_symbols": F.regexp_count(t, F.lit(r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)")) / words,
-        "symbol_ends": F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s]{2,}(?!\S)")) / words,
-        "lines": F.regexp_count(t, F.lit(r"\n")) / words,
+        "word_length": F.log1p(n["n_solid"] / words),
+        "upper": 1 - n["n_not_upper"] / chars,
+        "digits": 1 - n["n_not_digit"] / chars,
+        "symbols": 1 - n["n_not_symbol"] / chars,
+        "lone_symbols": n["n_lone"] / words,
+        "symbol_ends": n["n_ends"] / words,
+        "lines": n["n_lines"] / words,
         "distinct": distinct,
         "distinct_by_size": distinct * size,
         "size_squared": size * size,
@@ -205,7 +220,7 @@ def co_train(labelled: pd.DataFrame, pool: pd.DataFrame, seed: int = 0) -> Quali
 
 def feature_table(documents: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, chars_col: str) -> DataFrame:
     """doc_id and all features of every document, stored: texts are read once."""
-    columns = text_features(F.col(text_col)) | meta_features(F.col(lang_col), F.col(source_col), F.col(chars_col))
+    columns = text_features(text_counts(F.col(text_col))) | meta_features(F.col(lang_col), F.col(source_col), F.col(chars_col))
     return cut_lineage(documents.select(F.col(id_col).cast("long").alias("doc_id"), *[c.alias(n) for n, c in columns.items()]))
 
 
@@ -250,6 +265,9 @@ def keep_good(
     """The documents that the classifier keeps, with all their columns; a filter without a shuffle of texts."""
     features = feature_table(documents, id_col, text_col, lang_col, source_col, chars_col)
     model = train_quality(features, labels, id_col, label_col)
-    text = text_features(F.col(text_col))
+    counts = text_counts(F.col(text_col))
     meta = meta_features(F.col(lang_col), F.col(source_col), F.col(chars_col))
-    return documents.where(model.scores(text, meta)[2] >= threshold)
+    # a filter does not share common parts, so the counts are bound once and the score is taken from them
+    bound = F.array(F.struct(*[c.alias(n) for n, c in (counts | meta).items()]))
+    scores = F.transform(bound, lambda b: model.scores(text_features({n: b[n] for n in counts}), {n: b[n] for n in meta})[2])
+    return documents.where(F.get(scores, F.lit(0)) >= threshold)
