@@ -117,10 +117,12 @@ def _capacity(blocks: int, shards: int) -> np.ndarray:
 
 
 def deal_blocks(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 0) -> DataFrame:
-    """All draws of blocks: source, epoch, block, shard, place (a random place in the shard), words.
+    """All draws of blocks: source, epoch, block, shard, place (a random place in the shard), words, and rest, the words
+    of the source's last epoch if this is a draw of it, null in whole epochs.
 
-    A source of n blocks whose target is t words gives whole epochs and, in the last, as many blocks of a random order
-    as reach t; the last block is cut so that the words are exact to one. The tree splits all quotas between two halves
+    A source of n blocks whose target is t words gives whole epochs, each in a random order of the blocks, and in the last
+    its first blocks as far as t reaches: documents stand in random order, so these are a random choice of documents and
+    only one of them meets the end. The last block is cut so that the words are exact to one. The tree splits all quotas between two halves
     of the shards by multivariate hypergeometric draws, again and again; half of the levels in one group, the others in
     one group per node, so a group has as many numbers as sources times the root of the shards. A leaf takes its count
     of blocks as a run of places in the source's order: runs are disjoint, and the random order makes them random.
@@ -138,16 +140,11 @@ def deal_blocks(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_words:
         for pdf in batches:
             n, size, quota = (pdf[c].to_numpy(np.int64) for c in ("blocks", "source_size", "quota"))
             epochs, rest = quota // size, quota % size
-            tail = size - (n - 1) * block_words  # words of the last block of the source
             first = -(-rest // block_words)
-            place = _walk(n - 1, n, _seeds(pdf["seed"].to_numpy(np.int64), epochs), back=True)
-            short = (place < first) & (rest > 0)
-            reach = first * block_words - np.where(short, block_words - tail, 0)
-            first = np.where(reach < rest, first + 1, first)
-            reach = np.where(reach < rest, first * block_words - (block_words - tail), reach)
-            yield pdf.assign(draws=epochs * n + first, cut=reach - rest)
-
-    schema = "source string, source_size long, quota long, blocks long, seed long, draws long, cut long"
+            reach = np.minimum(first * block_words, size)
+            yield pdf.assign(draws=epochs * n + first, cut=reach - rest, rest=rest)
+
+    schema = "source string, source_size long, quota long, blocks long, seed long, draws long, cut long, rest long"
     quotas = counted.mapInPandas(count, schema)
 
     def top(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -175,9 +172,9 @@ def deal_blocks(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_words:
         for leaf, _, q in _tree(pdf["q"].to_numpy(np.int64), lo, hi, capacity, 64, seed):
             out.append(pdf.assign(shard=leaf, q=q, before=before)[q > 0])
             before = before + q
-        return pd.concat(out)[["source", "source_size", "blocks", "seed", "draws", "cut", "shard", "q", "before"]]
+        return pd.concat(out)[["source", "source_size", "blocks", "seed", "draws", "cut", "rest", "shard", "q", "before"]]
 
-    leaf = "source string, source_size long, blocks long, seed long, draws long, cut long, shard long, q long, before long"
+    leaf = "source string, source_size long, blocks long, seed long, draws long, cut long, rest long, shard long, q long, before long"
     leaves = nodes.groupBy("lo").applyInPandas(bottom, leaf)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,13 +183,15 @@ def deal_blocks(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_words:
                 for lo in range(0, r.q, 1 << 17):
                     slot = np.arange(r.before + lo, r.before + min(r.q, lo + (1 << 17)))
                     n, epoch = np.full(len(slot), r.blocks), slot // r.blocks
-                    block = _walk(slot % r.blocks, n, _seeds(np.full(len(slot), r.seed), epoch))
+                    last = (epoch == (r.draws - 1) // r.blocks) & (r.rest > 0)
+                    block = np.where(last, slot % r.blocks, _walk(slot % r.blocks, n, _seeds(np.full(len(slot), r.seed), epoch)))
                     words = np.where(block == r.blocks - 1, r.source_size - (r.blocks - 1) * block_words, block_words)
                     words = words - np.where(slot == r.draws - 1, r.cut, 0)
                     place = _seeds(np.full(len(slot), r.seed + 1), slot).view(np.int64)
-                    yield pd.DataFrame({"source": r.source, "epoch": epoch, "block": block, "shard": r.shard, "place": place, "words": words})
+                    out = {"source": r.source, "epoch": epoch, "block": block, "shard": r.shard, "place": place, "words": words}
+                    yield pd.DataFrame(out).assign(rest=pd.Series(np.where(last, r.rest, 0)).astype("Int64").mask(~last))
 
-    return leaves.mapInPandas(draw, "source string, epoch long, block long, shard long, place long, words long")
+    return leaves.mapInPandas(draw, "source string, epoch long, block long, shard long, place long, words long, rest long")
 
 
 def _seeds(seed: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -202,66 +201,68 @@ def _seeds(seed: np.ndarray, n: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(30))
 
 
-def place_documents(sizes: DataFrame, block_words: int = BLOCK_WORDS, buckets: int = BUCKETS) -> DataFrame:
-    """Which words of which documents each block of a source holds: one row per document and block.
+def place_documents(sizes: DataFrame, block_words: int = BLOCK_WORDS, buckets: int = BUCKETS, seed: int = 0) -> DataFrame:
+    """Where every document with words begins in its source, and the block that holds it: the one in which it begins.
 
     A source's documents stand in hash order. Positions are prefix sums in two steps, over the sums of `buckets` hash
     buckets and inside each bucket, so no task holds a whole source.
     """
-    rows = sizes.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(buckets)))
+    rows = sizes.where("size > 0").withColumn("hash", F.xxhash64("doc_id", "digest", F.lit(seed)))
+    rows = rows.withColumn("bucket", F.pmod(F.col("hash"), F.lit(buckets)))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     offset = F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     offsets = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(offset, F.lit(0)).alias("offset"))
     inside = F.sum("size").over(
-        W.partitionBy("source", "bucket").orderBy("doc_id", "digest").rowsBetween(W.unboundedPreceding, -1)
+        W.partitionBy("source", "bucket").orderBy("hash", "doc_id", "digest").rowsBetween(W.unboundedPreceding, -1)
     )
     placed = (
         rows.withColumn("inside", F.coalesce(inside, F.lit(0)))
         .join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
         .withColumn("begin", F.col("offset") + F.col("inside"))
     )
-    end = F.col("begin") + F.col("size")
-    block = F.sequence(F.floor(F.col("begin") / block_words), F.floor((end - 1) / block_words))
-    pieces = placed.select("source", "doc_id", "digest", "size", "begin", F.explode(block).alias("block"))
-    lo = F.greatest(F.col("block") * block_words, F.col("begin"))
-    hi = F.least((F.col("block") + 1) * block_words, F.col("begin") + F.col("size"))
-    return pieces.select(
-        "source", "doc_id", "digest", "size", "block",
-        (lo - F.col("block") * block_words).alias("at"),  # where in the block the piece begins
-        (lo - F.col("begin")).alias("word"),  # its first word in the document
-        (hi - lo).alias("words"),
-    )
+    block = F.floor(F.col("begin") / block_words)
+    return placed.select("source", "doc_id", "digest", "size", "begin", block.alias("block"), (F.col("begin") - block * block_words).alias("at"))
 
 
-def mix_pieces(sizes: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 0) -> DataFrame:
-    """The mix as drawn pieces: shard, place, at, source, doc_id, digest, epoch, word (first, from 0) and words.
+def mix_pieces(
+    sizes: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 0,
+    whole: bool = False,
+) -> DataFrame:
+    """The mix as drawn documents: shard, place, at, source, doc_id, digest, epoch and words, the first of the document.
 
-    Inside a shard, blocks stand by `place`, pieces by `at`.
+    A row per document and epoch. Only the document that meets the end of its source's last epoch may have fewer words
+    than its size, so that targets are met to one word; with `whole` it is taken as it is if at least half of it lies
+    before that end and left out otherwise, so no document is cut and targets are met to half of one document. Inside a
+    shard, blocks stand by `place`, documents by `at`.
     """
     draws = deal_blocks(targets, block_words, shard_words, seed).select(
-        F.col("source").alias("s"), F.col("block").alias("b"), "epoch", "shard", "place", F.col("words").alias("drawn")
+        F.col("source").alias("s"), F.col("block").alias("b"), "epoch", "shard", "place", "rest"
     )
-    joined = place_documents(sizes, block_words).join(draws, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    words = F.least(F.col("words"), F.col("drawn") - F.col("at"))
+    joined = place_documents(sizes, block_words, seed=seed).join(
+        draws, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
+    )
+    left = F.col("rest") - F.col("begin")
+    some = F.when(left * 2 >= F.col("size"), F.col("size")).otherwise(0) if whole else F.least(F.col("size"), left)
+    words = F.when(F.col("rest").isNull(), F.col("size")).otherwise(some)
     return joined.select(
-        "shard", "place", "at", "source", "doc_id", "digest", "epoch", "word", words.alias("words")
+        "shard", "place", "at", "source", "doc_id", "digest", "epoch", words.alias("words")
     ).where("words > 0")
 
 
 def mix_documents(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 0,
+    block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 0, whole: bool = False,
 ) -> DataFrame:
     """Per document: doc_id, size, source_size, target and taken, the words that the mix takes of it.
 
     Null texts have no words; null sources are one source; null ids and repeated rows are documents of their own, and
-    rows that are equal in id, source and text share their draws evenly to one word. A source without words has target 0.
-    Reruns agree. An empty table gives no rows.
+    rows that are equal in id, source and text share their draws evenly to one draw. A source without words has target 0.
+    With `whole`, taken is a multiple of size. Reruns agree. An empty table gives no rows.
     """
     sizes = sized_documents(documents, id_col, text_col, source_col)
     targets = cut_lineage(source_targets(sizes))
     key = ["source", "doc_id", "digest"]
-    taken = mix_pieces(sizes, targets, block_words, shard_words, seed).groupBy(*key).agg(F.sum("words").alias("taken"))
+    taken = mix_pieces(sizes, targets, block_words, shard_words, seed, whole).groupBy(*key).agg(F.sum("words").alias("taken"))
     taken = taken.select(*[F.col(c).alias(f"t_{c}") for c in key], "taken")
     copies = W.partitionBy(*key)
     joined = (
@@ -270,7 +271,9 @@ def mix_documents(
         .join(taken, [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in key], "left")
         .join(targets.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s")), "left")
     )
-    share: Column = F.floor(F.col("k") * F.col("taken") / F.col("n")) - F.floor((F.col("k") - 1) * F.col("taken") / F.col("n"))
+    draws = F.floor(F.col("taken") / F.col("size"))
+    share: Column = F.floor(F.col("k") * draws / F.col("n")) - F.floor((F.col("k") - 1) * draws / F.col("n"))
+    share = share * F.col("size") + F.when(F.col("k") == 1, F.col("taken") % F.col("size")).otherwise(0)
     return joined.select(
         F.col("doc_id").alias(id_col), "size", "source_size", "target", F.coalesce(share, F.lit(0)).cast("long").alias("taken")
     )
@@ -278,21 +281,19 @@ def mix_documents(
 
 def mixed_rows(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 0,
+    block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 0, whole: bool = False,
+    chars_col: str = "n_chars",
 ) -> DataFrame:
     """The mix as rows with the columns of `documents`: one per document and epoch that takes words of it.
 
-    A document that is taken whole keeps its text; of another the words of its drawn pieces stay, each with the white
-    space after it. Other columns stay as they are. Of rows that are equal in id, source and text one carries the draws
-    of all. Rows without words are not in a mix.
+    A document that is taken whole keeps its text, and with `whole` every one is. Otherwise one document of a source may
+    be cut so that the target is met to one word: it keeps its first words, and `chars_col`, if there is one, their
+    length. Other columns stay as they are; rows that are equal in id, source and text come once per copy and epoch, with
+    the other columns of one of them. Rows without words are not in a mix.
     """
     sizes = sized_documents(documents, id_col, text_col, source_col)
-    pieces = mix_pieces(sizes, cut_lineage(source_targets(sizes)), block_words, shard_words, seed)
-    epochs = pieces.groupBy("source", "doc_id", "digest", "epoch").agg(
-        F.array_sort(F.collect_list(F.struct("word", "words"))).alias("pieces"), F.sum("words").alias("words")
-    )
-    drawn = epochs.groupBy(F.col("source").alias("m_source"), F.col("doc_id").alias("m_id"), F.col("digest").alias("m_digest")).agg(
-        F.collect_list(F.struct("words", "pieces")).alias("m_epochs")
+    drawn = mix_pieces(sizes, cut_lineage(source_targets(sizes)), block_words, shard_words, seed, whole).select(
+        F.col("source").alias("m_source"), F.col("doc_id").alias("m_id"), F.col("digest").alias("m_digest"), F.col("words").alias("m_words")
     )
     rows = documents.withColumn("m_text", F.xxhash64(text_col))
     match = (
@@ -300,10 +301,14 @@ def mixed_rows(
         & F.col(source_col).cast("string").eqNullSafe(F.col("m_source"))
         & (F.col("m_text") == F.col("m_digest"))
     )
-    rows = rows.join(drawn, match).dropDuplicates([id_col, source_col, "m_text"]).withColumn("m_epoch", F.explode("m_epochs"))
+    rows = rows.dropDuplicates([id_col, source_col, "m_text"]).join(drawn, match)
+    if whole:
+        return rows.select(*documents.columns)
     tokens = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1))
-    cut = F.array_join(
-        F.flatten(F.transform("m_epoch.pieces", lambda p: F.slice(tokens, (p["word"] + 1).cast("int"), p["words"].cast("int")))), ""
-    )
-    text = F.when(F.col("m_epoch.words") >= n_words(F.col(text_col)), F.col(text_col)).otherwise(cut)
-    return rows.withColumn(text_col, text).select(*documents.columns)
+    cut = F.array_join(F.slice(tokens, F.lit(1), F.col("m_words").cast("int")), "")
+    rows = rows.withColumn("m_cut", F.when(F.col("m_words") < n_words(F.col(text_col)), cut))
+    changed = {text_col: F.coalesce("m_cut", text_col)}
+    if chars_col in documents.columns:
+        kind = documents.schema[chars_col].dataType
+        changed[chars_col] = F.when(F.col("m_cut").isNull(), F.col(chars_col)).otherwise(F.length("m_cut").cast(kind))
+    return rows.withColumns(changed).select(*documents.columns)

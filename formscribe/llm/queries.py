@@ -111,7 +111,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_source_mix")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(load(spark, sf_dir, "documents"))
+    return mixing.mix_documents(load(spark, sf_dir, "documents"), whole=True)
 
 
 @query("op2_quality_classifier")

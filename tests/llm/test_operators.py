@@ -125,6 +125,28 @@ def test_mixed_rows_hold_the_taken_words(spark, docs):
     assert {i: n for i, n in taken.items() if n} == dict(held)
 
 
+def test_mix_keeps_texts(spark, docs, rows):
+    """Whole documents: multiples of their sizes, near the target. Else one document a source keeps its first words."""
+    texts, source = {i: t for i, t, _ in rows}, {i: s for i, _, s in rows}
+    want, longest, taken = brute.targets(rows), Counter(), Counter()
+    for r in queries.op1(spark, SF_DIR).collect():
+        assert r.taken == 0 or r.taken % r["size"] == 0
+        taken[source[r.doc_id]] += r.taken
+        longest[source[r.doc_id]] = max(longest[source[r.doc_id]], r["size"])
+    assert all(abs(taken[s] - t) <= longest[s] / 2 + 1 for s, (_, t) in want.items())
+    mixed = mixing.mixed_rows(docs).collect()
+    assert all(texts[r.doc_id].startswith(r.text) for r in mixed)
+    cut = [r for r in mixed if r.text != texts[r.doc_id]]
+    assert max(Counter(r.source for r in cut).values(), default=0) <= 1
+    assert all(r.n_chars == len(r.text) for r in cut)
+    assert all(r.text == texts[r.doc_id] for r in mixing.mixed_rows(docs, whole=True).collect())
+
+
+def test_mixed_rows_come_once_per_copy(spark):
+    twice = spark.createDataFrame([(1, "a b c d", "s"), (1, "a b c d", "s"), (2, "e f", "s")], "doc_id long, text string, source string")
+    assert sorted(r.text for r in mixing.mixed_rows(twice).collect()) == ["a b c d", "a b c d", "e f"]
+
+
 def test_quality_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
