@@ -1,6 +1,7 @@
 """Benchmark decontamination: CGK random walks over word windows, bit-sampling LSH, then exact edit distance."""
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -16,20 +17,27 @@ from formscribe.llm.words import marked, unmarked
 #: Share of an item's words that may be edited, and the recall wanted for passages at that distance.
 MAX_EDITS = 0.2
 TARGET_RECALL = 0.95
-#: Items of fewer words are no passages.
-LEAST_WORDS = 5
+#: Items of fewer words are met exactly, by their runs of words with a few left out; walks over so few words miss many.
+SHORT_WORDS = 10
 #: Words that the walk of one key samples, the bits of the filter, and how many of them each benchmark key sets.
 SAMPLED = 5
 FILTER_BITS = 1 << 27
 PROBES = 3
 
-_TOKEN = re.compile(r"\w+")
+#: Scripts without blanks between words: Thai, Lao, Tibetan, Burmese, Khmer, kana and Chinese characters.
+_DENSE = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u0f40-\u0fbc\u1000-\u1049\u1050-\u109d\u1780-\u17d3\u3005-\u3007\u3041-\u3096\u309d-\u309f" \
+    "\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af"
+_TOKEN, _ANY_DENSE = re.compile(r"\w+"), re.compile(f"[{_DENSE}]")
+_DENSE_TOKEN = re.compile(rf"[{_DENSE}]|[^\W{_DENSE}]+")
 _KINDS = (4, 8, 16, 32)  # at most 48 steps, so the 64 bits of a word are enough
 
 
 def tokens(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, digits and underscores."""
-    return _TOKEN.findall(text.lower()) if text else []
+    """Lower-cased runs of letters, digits and underscores; in scripts without blanks every character is a word."""
+    if not text:
+        return []
+    dense = not text.isascii() and _ANY_DENSE.search(text)
+    return (_DENSE_TOKEN if dense else _TOKEN).findall(text.lower())
 
 
 def window_of(words: int) -> int:
@@ -124,12 +132,50 @@ def _padded(numbers: np.ndarray) -> np.ndarray:
     return np.concatenate((numbers, np.zeros(_steps(_KINDS[-1]) + 1, dtype=np.uint64)))
 
 
-def _item_keys(items: pd.DataFrame, reps: int) -> pd.DataFrame:
-    """Keys of every window of every item, at every word: item_id, words (their number), window, key."""
+def edits_of(words: int, max_edits: float) -> int:
+    """Word edits that an item of so many words allows."""
+    return math.floor(words * max_edits + 1e-9)
+
+
+def short_patterns(words: int, max_edits: float) -> set[tuple[int, ...]]:
+    """Places of the words that a run of a document keeps, from its first, for items of so many words.
+
+    A run within k edits of an item gives the same words in the same order once at most k are left out on either side.
+    A run need not lose its first or last word, since a shorter run does the same.
+    """
+    k, out = edits_of(words, max_edits), set()
+    for gone, lost in itertools.product(range(min(k, words - 1) + 1), range(k + 1)):
+        span = words - gone + lost
+        for inner in itertools.combinations(range(1, span - 1), lost):
+            out.add(tuple(p for p in range(span) if p not in inner))
+    return out
+
+
+def _placed(numbers: np.ndarray, places: int) -> list[np.ndarray]:
+    """What a word adds to a key at each of the first places."""
+    return [mix(numbers ^ randoms(78, places)[j]) for j in range(places)]
+
+
+def _short_keys(words: list[str], max_edits: float) -> np.ndarray:
+    """Keys of an item with up to its allowed number of words left out, at any places."""
+    at, out = _placed(_WORDS.numbers(words), len(words)), set()
+    for lost in range(min(edits_of(len(words), max_edits), len(words) - 1) + 1):
+        for gone in itertools.combinations(range(len(words)), lost):
+            kept = [p for p in range(len(words)) if p not in gone]
+            out.add(sum(int(at[j][p]) for j, p in enumerate(kept)) % (1 << 64))
+    return np.array(sorted(out), dtype=np.uint64)
+
+
+def _item_keys(items: pd.DataFrame, reps: int, max_edits: float) -> pd.DataFrame:
+    """Keys of every window of every item, at every word: item_id, words (their number), window, key; short items have
+    window 0."""
     out = []
     for item, text in zip(items["item_id"], items["text"]):
         words = tokens(text)
-        if len(words) < LEAST_WORDS:
+        if not words:
+            continue
+        if len(words) < SHORT_WORDS:
+            out.append(pd.DataFrame({"item_id": item, "words": len(words), "window": 0, "key": _short_keys(words, max_edits).view(np.int64)}))
             continue
         window = window_of(len(words))
         numbers, starts = _padded(_WORDS.numbers(words)), np.arange(len(words) - window + 1)
@@ -194,7 +240,9 @@ def find_leaks(
     the keys meet the items in an equi-join, and the exact edit distance between item and passage decides, once per
     (document, passage, item). The documents' side is one pass without a shuffle of texts.
 
-    Null and empty texts and items of fewer than LEAST_WORDS words match nothing. Null document ids are one document;
+    Items of fewer than SHORT_WORDS words have no walks: all their runs with up to the allowed number of words left out
+    are keys, and so are a document's, so every passage of them is found. In scripts without blanks a character counts as
+    a word. Null and empty texts match nothing. Null document ids are one document;
     rows with equal ids are one document for the result. Empty tables give no rows.
     """
     spark = documents.sparkSession
@@ -202,9 +250,12 @@ def find_leaks(
     items = benchmark.select(marked(F.col(item_id_col)).alias("item_id"), F.col(item_text_col).alias("text"))
     spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     key_schema = "item_id long, words int, window int, key long"
-    keys = items.repartition(spread, "item_id").mapInPandas(lambda batches: (_item_keys(pdf, reps) for pdf in batches), key_schema)
+    keys = items.repartition(spread, "item_id").mapInPandas(lambda batches: (_item_keys(pdf, reps, max_edits) for pdf in batches), key_schema)
     keys = stored(keys, "benchmark-keys")
     kinds = {r["window"]: r["most"] for r in keys.groupBy("window").agg(F.max("words").alias("most")).collect()}
+    kinds, short = {w: most for w, most in kinds.items() if w}, kinds.get(0, 0)
+    lengths = [r["words"] for r in keys.where("window = 0").select("words").distinct().collect()]
+    patterns = sorted(set().union(*(short_patterns(n, max_edits) for n in lengths)))
     shared = spark.sparkContext.broadcast(_filters(keys))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,15 +279,26 @@ def find_leaks(
         owner = np.repeat(np.arange(len(docs)), counts)
         inside = np.arange(len(owner)) - begins[owner]
         hits: dict[int, list[tuple[int, int, int]]] = {}
+
+        def hit(start: int, reach: int, key: np.uint64) -> None:
+            at = int(inside[start])
+            hits.setdefault(int(owner[start]), []).append((max(0, at - reach), at + reach, int(key.view(np.int64))))
+
+        placed, reach = _placed(numbers, max(map(len, patterns), default=0)), short + edits_of(short, max_edits)
+        for pattern in patterns:
+            key = np.zeros(len(owner), dtype=np.uint64)
+            for j, p in enumerate(pattern):
+                key += placed[j][p : p + len(owner)]
+            for i in _may_occur(key, bits):
+                if inside[i] + pattern[-1] < counts[owner[i]]:
+                    hit(i, reach, key[i])
         for window, most in kinds.items():
             stride, reach = max(1, window // 4), most + math.ceil(max_edits * most)
             starts = np.flatnonzero((inside % stride == 0) & (inside + window <= counts[owner]))
             for rep in range(reps):
                 key, moved = embed_keys(numbers, starts, window, rep)
                 for i in _may_occur(key, bits):
-                    start = starts[moved[i]]
-                    at = int(inside[start])
-                    hits.setdefault(int(owner[start]), []).append((max(0, at - reach), at + reach, int(key[i : i + 1].view(np.int64)[0])))
+                    hit(starts[moved[i]], reach, key[i])
         found = []
         for doc, around in hits.items():
             merged: list[list] = []

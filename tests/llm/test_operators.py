@@ -248,6 +248,48 @@ def test_leaks_of_edited_passages(spark):
     assert exact <= set(got) and len(expected & set(real)) > 100
 
 
+def test_leaks_of_short_items(spark):
+    """Per length: every passage of a short item within the allowed edits is found, and nothing else."""
+    rng = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(500)]
+    items, docs = [], []
+    for n in range(1, 13):
+        for _ in range(25):
+            w = [f"i{len(items)}x{j}" for j in range(n)] if n < 10 else [rng.choice(vocabulary) for _ in range(n)]
+            items.append((len(items), w))
+    for i, w in items:
+        for edit in ("none", "change", "insert", "delete"):
+            w2, p = list(w), rng.randrange(len(w))
+            if edit == "change":
+                w2[p] = "zz"
+            elif edit == "insert":
+                w2.insert(p, "zz")
+            elif edit == "delete":
+                del w2[p]
+            host = [rng.choice(vocabulary) for _ in range(6)]
+            at = rng.choice([0, 3, 6])
+            docs.append((len(docs), " ".join(host[:at] + w2 + host[at:])))
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()
+    got = {(r.doc_id, r.item_id): r.edits for r in found}
+    texts, by_length = [t.split(" ") for _, t in docs], {}
+    for i, w in items:
+        for d in range(4 * i, 4 * i + 4):
+            e = brute.edits_in(w, texts[d])
+            if e <= math.floor(0.2 * len(w) + 1e-9):
+                by_length.setdefault(len(w), []).append(got.get((d, i)) == e)
+    assert all(brute.edits_in(items[i][1], texts[d]) == e for (d, i), e in got.items())
+    assert sorted(by_length) == list(range(1, 13))
+    assert all(all(hits) if n < 10 else sum(hits) / len(hits) >= 0.9 for n, hits in by_length.items())
+
+
+def test_leaks_without_blanks(spark):
+    b = spark.createDataFrame([(1, "東京は日本の首都である"), (2, "ภาษาไทยไม่มีช่องว่าง"), (3, "答え"), (4, "москва")], "item_id long, text string")
+    rows = [(1, "質問。東京は日本の首都でした。次"), (2, "xx ภาษาไทยไม่มีช่องว่างyy"), (3, "その答えは"), (4, "город Москва."), (5, "大阪")]
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), b).collect()
+    assert {(r.doc_id, r.item_id, r.edits) for r in found} == {(1, 1, 2), (2, 2, 0), (3, 3, 0), (4, 4, 0)}
+
+
 def test_leaks_awkward(spark, awkward):
     b = spark.createDataFrame([(1, SHARED, 5), (1, SHARED, 5), (2, LONG, 5), (3, None, 5)], "item_id long, text string, size int")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(awkward, b).collect()}
