@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import math
 import operator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,11 +14,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from formscribe.llm.words import n_words, words_of
 from formscribe.session import cut_lineage
 
-#: Bounds of what is fitted on: labelled rows, and rows without a label that the views may label for each other. Both are
-#: drawn in hash order of the id, so a rerun draws the same.
-LABELLED_ROWS, POOL_ROWS = 20_000, 20_000
-#: Rounds of the exchange, pseudo-labels that a view gives per round and class, and how sure it has to be.
-ROUNDS, GIVEN, SURE = 5, 500, 0.98
+#: Most labelled rows that are fitted on, drawn in hash order of the id, so a rerun draws the same. Unlabelled rows have
+#: no bound: all take part where they are.
+LABELLED_ROWS = 20_000
+#: Rounds of the exchange, and how sure a view has to be of a row to label it for the other.
+ROUNDS, SURE = 5, 0.98
 #: Share of the labelled rows that is kept for calibration.
 HELD_OUT = 0.3
 SOURCES, LANGS = 64, 16
@@ -108,6 +109,27 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> n
     return w
 
 
+def _parts(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian of the rows, without a ridge, in one vector; they add up over rows."""
+    p = _sigmoid(np.clip(x @ w, -30, 30))
+    return np.concatenate([x.T @ (p - y), ((x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x).ravel()])
+
+
+def _added(pool: pd.DataFrame | DataFrame, work: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
+    """The sum of work(rows) over all rows; of a Spark table, one vector a partition comes to the driver."""
+    if isinstance(pool, pd.DataFrame):
+        return work(pool) if len(pool) else np.zeros(size)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for pdf in batches:
+            if len(pdf):
+                total += work(pdf)
+        yield pd.DataFrame({"sums": [total.tobytes()]})
+
+    return sum((np.frombuffer(r["sums"]) for r in pool.mapInPandas(run, "sums binary").collect()), np.zeros(size))
+
+
 def _logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
@@ -164,50 +186,87 @@ def _constant(share: float) -> QualityModel:
     return QualityModel((0.0,) * n, (1.0,) * n, (0.0,) * (len(TEXT) + 1), meta, (0.0, z), (0.0, z), (0.5, 0.5, 0.0))
 
 
-def co_train(labelled: pd.DataFrame, pool: pd.DataFrame, seed: int = 0) -> QualityModel:
-    """Both views from labelled rows (columns TEXT, META, source, lang, y) and unlabelled ones.
+def _taught(views: Sequence[np.ndarray], past: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Per view the label of every row that the other view gave it: by the first round in which that one was sure, NaN if
+    none was."""
+    out = [np.full(len(views[0]), np.nan), np.full(len(views[0]), np.nan)]
+    for ws in past:
+        for v in (0, 1):
+            p, to = _sigmoid(_logit(views[v], ws[v])), out[1 - v]
+            sure = np.isnan(to) & ((p >= SURE) | (p <= 1 - SURE))
+            to[sure] = p[sure] >= SURE
+    return out
+
+
+def co_train(labelled: pd.DataFrame, pool: pd.DataFrame | DataFrame, seed: int = 0) -> QualityModel:
+    """Both views from labelled rows (columns TEXT, META, source, lang, y) and unlabelled ones, in pandas or Spark.
 
-    In each round both views are fitted, label the pool rows of which they are surest, as far as they are at least SURE,
-    and hand them to the other view. What one view gave is not given again. Then each view is calibrated on held-out
-    rows, and a last regression on both calibrated scores, on the same rows, weighs them.
+    In each round both views are fitted, label every pool row of which they are at least SURE, and hand it to the other
+    view. What one view gave stays as given. The pool is never moved: its rows' labels follow from the weights of the
+    rounds so far, and Newton steps need only their sums of gradient and Hessian. Then each view is calibrated on
+    held-out rows, and a last regression on both calibrated scores, on the same rows, weighs them.
     """
     y = labelled["y"].to_numpy(float)
     if len(y) < 20 or y.min() == y.max():
         return _constant(float(y.mean()) if len(y) else 1.0)
     dense = list(TEXT) + list(META)
-    everything = pd.concat([labelled, pool])
-    mean, scale = everything[dense].mean().to_numpy(), everything[dense].std(ddof=0).to_numpy()
+
+    def moments(table: pd.DataFrame) -> np.ndarray:
+        x = table[dense].to_numpy(float) - centre
+        return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+
+    centre = labelled[dense].mean().to_numpy()
+    sums = moments(labelled) + _added(pool, moments, 1 + 2 * len(dense))
+    off, square = sums[1 : 1 + len(dense)] / sums[0], sums[1 + len(dense) :] / sums[0]
+    mean, scale = centre + off, np.sqrt(np.maximum(square - off * off, 0))
     scale = np.where(scale > 1e-9, scale, 1.0)
 
     def views(table: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         z = (table[dense].to_numpy(float) - mean) / scale
         return z[:, : len(TEXT)], np.hstack([z[:, len(TEXT) :], _meta_matrix(table)])
 
-    own, other = views(labelled), views(pool)
+    own = views(labelled)
     held = np.random.default_rng(seed).random(len(y)) < HELD_OUT
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), dtype=bool)
     fit, check = ~held, held if held.any() else ~held
-    taught = [(np.zeros(0, dtype=int), np.zeros(0)), (np.zeros(0, dtype=int), np.zeros(0))]
-    given = [np.zeros(len(pool), dtype=bool), np.zeros(len(pool), dtype=bool)]
-
-    def weights(v: int) -> np.ndarray:
-        rows, labels = taught[v]
-        return _fit(np.vstack([own[v][fit], other[v][rows]]), np.concatenate([y[fit], labels]))
-
+    wide = [x.shape[1] + 1 for x in own]
+    ends = np.cumsum([2] + [n + n * n for n in wide])
+
+    def ones(x: np.ndarray) -> np.ndarray:
+        return np.hstack([x, np.ones((len(x), 1))])
+
+    def pooled(ws: list[np.ndarray], past: list[list[np.ndarray]]) -> np.ndarray:
+        """Rows taught to each view, then the parts of each view."""
+
+        def work(table: pd.DataFrame) -> np.ndarray:
+            both = views(table)
+            labels = _taught(both, past)
+            has = [~np.isnan(t) for t in labels]
+            return np.concatenate([[h.sum() for h in has], *[_parts(ones(both[v][has[v]]), labels[v][has[v]], ws[v]) for v in (0, 1)]])
+
+        return _added(pool, work, ends[-1]) if past else np.zeros(ends[-1])
+
+    def fitted(ws: list[np.ndarray], past: list[list[np.ndarray]]) -> tuple[list[np.ndarray], int]:
+        """Newton steps as in _fit, for both views at once, from the weights of the round before."""
+        for _ in range(30):
+            sums, moved, new = pooled(ws, past), 0.0, []
+            for v in (0, 1):
+                parts = sums[ends[v] : ends[v + 1]] + _parts(ones(own[v][fit]), y[fit], ws[v])
+                penalty = np.r_[np.ones(wide[v] - 1), 1e-6]
+                step = np.linalg.solve(parts[wide[v] :].reshape(wide[v], -1) + np.diag(penalty), parts[: wide[v]] + penalty * ws[v])
+                new.append(ws[v] - step * min(1.0, 5 / max(np.abs(step).max(), 1e-12)))
+                moved = max(moved, np.abs(step).max())
+            ws = new
+            if moved < 1e-6:
+                break
+        return ws, int(sums[:2].sum())
+
+    ws, exchanged = fitted([np.zeros(n) for n in wide], [])
+    past: list[list[np.ndarray]] = []
     for _ in range(ROUNDS):
-        ws = [weights(0), weights(1)]
-        for v in (0, 1):
-            p = _sigmoid(_logit(other[v], ws[v]))
-            p[given[v]] = 0.5
-            good, bad = np.argsort(-p, kind="stable")[:GIVEN], np.argsort(p, kind="stable")[:GIVEN]
-            good, bad = good[p[good] >= SURE], bad[p[bad] <= 1 - SURE]
-            good = good[: max(len(bad), 1) * 10]  # one class alone would only move the base rate
-            rows = np.concatenate([good, bad]) if len(bad) else bad
-            given[v][rows] = True
-            old, labels = taught[1 - v]
-            taught[1 - v] = np.concatenate([old, rows]), np.concatenate([labels, np.r_[np.ones(len(rows) - len(bad)), np.zeros(len(bad))]])
-    ws = [weights(0), weights(1)]
+        past.append(ws)
+        ws, exchanged = fitted(ws, past)
     slopes = [_fit(_logit(own[v][check], ws[v])[:, None], y[check]) for v in (0, 1)]
     calibrated = np.stack([_logit(own[v][check], ws[v]) * slopes[v][0] + slopes[v][1] for v in (0, 1)], axis=1)
     combined = _fit(calibrated, y[check])
@@ -215,7 +274,7 @@ def co_train(labelled: pd.DataFrame, pool: pd.DataFrame, seed: int = 0) -> Quali
     def plain(x: np.ndarray) -> tuple[float, ...]:
         return tuple(float(v) for v in x)
 
-    return QualityModel(plain(mean), plain(scale), plain(ws[0]), plain(ws[1]), plain(slopes[0]), plain(slopes[1]), plain(combined), sum(len(t[0]) for t in taught))
+    return QualityModel(plain(mean), plain(scale), plain(ws[0]), plain(ws[1]), plain(slopes[0]), plain(slopes[1]), plain(combined), exchanged)
 
 
 def feature_table(documents: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, chars_col: str) -> DataFrame:
@@ -226,18 +285,21 @@ def feature_table(documents: DataFrame, id_col: str, text_col: str, lang_col: st
 
 def train_quality(
     features: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality",
-    labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS,
+    labelled_rows: int = LABELLED_ROWS,
 ) -> QualityModel:
     """A model from the features and 0/1 labels. Null labels and ids are left out; of several labels the mean counts,
-    a half as good. At most `labelled_rows` and `pool_rows` rows, first by hash of the id, come to the driver."""
+    a half as good. At most `labelled_rows` rows, first by hash of the id, come to the driver; all unlabelled ones, those
+    with a null id too, take part in Spark."""
     given = labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull()).groupBy(F.col(label_id).cast("long").alias("l_id")).agg(
         (F.avg(label_col) >= 0.5).cast("double").alias("y")
     )
     drawn = F.xxhash64("doc_id", F.lit(11))
     unique = features.where("doc_id is not null")
     known = unique.join(given, F.col("doc_id") == F.col("l_id")).orderBy(drawn, "doc_id", *TEXT).limit(labelled_rows).toPandas()
-    pool = unique.join(given, F.col("doc_id") == F.col("l_id"), "left_anti").orderBy(drawn, "doc_id", *TEXT).limit(pool_rows).toPandas()
-    return co_train(known, pool)
+    pool = unique.join(given, F.col("doc_id") == F.col("l_id"), "left_anti").unionByName(features.where("doc_id is null"))
+    if known["y"].nunique() < 2:
+        return co_train(known, known.iloc[:0])
+    return co_train(known, cut_lineage(pool.select(*TEXT, *META, "source", "lang")))
 
 
 def score_quality(

@@ -174,6 +174,26 @@ def test_quality_views_teach_each_other(spark):
     assert model.exchanged > 100
 
 
+def test_quality_learns_from_every_sure_row(spark):
+    """More than 500 rows a class and round, also of one class alone, and the same from pandas and from Spark."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+
+    def table(y):
+        out = {f: rng.normal(size=len(y)) for f in (*quality.TEXT, *quality.META)}
+        return pd.DataFrame(out | {"symbols": out["symbols"] + 2 * y, "source": y * 7, "lang": 0, "y": y})
+
+    labelled = table(rng.integers(0, 2, 400))
+    for y in (rng.integers(0, 2, 30_000), np.ones(30_000, dtype=int)):
+        pool = table(y).drop(columns="y")
+        local = quality.co_train(labelled, pool)
+        assert local.exchanged >= 30_000
+        spread = quality.co_train(labelled, spark.createDataFrame(pool).repartition(5))
+        assert spread.exchanged == local.exchanged
+        assert np.allclose(spread.text, local.text, atol=1e-4) and np.allclose(spread.mean, local.mean)
+
+
 def test_quality_awkward(spark, awkward):
     labels = spark.createDataFrame([(1, 1, 9), (1, 0, 9), (None, 1, 9), (5, None, 9)], "doc_id long, quality int, text int")
     got = quality.score_quality(awkward, labels).collect()
