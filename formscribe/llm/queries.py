@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from formscribe.llm import chat, decontaminate, licenses, mixing, near, parsing, quality, spans, token_files, urls
+from formscribe.llm import chat, decontaminate, divergence, importance, licenses, mixing, near, parsing, prefix_forest, quality, spans, token_files, urls
 from formscribe.plans.views import load
 from formscribe.session import scratch_path
 
@@ -170,3 +170,92 @@ def tokenizer_path() -> str:
 @query("op9_ngram_jaccard")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.jaccard_join(load(spark, sf_dir, "documents")).drop("text_hash", "set_digest")
+
+
+DIVERGENCE_SQL = rf"""
+with docs as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents),
+words as (select r, lang, source, unnest(w) as term from docs),
+kept as (select lang, term, count(*) as n from words group by lang, term having count(distinct r) >= {divergence.LEAST_DOCS}),
+langs as (select lang, count(*) as v, sum(n) as total from kept group by lang),
+found as (select lang, source, term, count(*) as n from words semi join kept using (lang, term) group by all),
+named as (select distinct lang, source from docs),
+cells as (
+  select g.lang, g.source, k.term, coalesce(f.n, 0) as n, k.n as lang_n,
+         sum(coalesce(f.n, 0)) over (partition by g.lang, g.source) as total
+  from named g join kept k on k.lang = g.lang
+  left join found f on f.lang = g.lang and f.source = g.source and f.term = k.term),
+shares as (
+  select c.lang, source, term, n, (1 + (1000000000::hugeint * (n + 2)) // (c.total + 2 * v)::hugeint)::bigint as p,
+         (1 + (1000000000::hugeint * (lang_n + 2)) // (l.total + 2 * v)::hugeint)::bigint as q
+  from cells c join langs l on l.lang = c.lang),
+apart as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::bigint as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+parts as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0) as value
+  from named a join named b on a.lang = b.lang and a.source <> b.source
+  left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all
+  select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from shares where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from parts)
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= {divergence.SHOWN}"""
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(load(spark, sf_dir, "documents"))
+
+
+RESAMPLING_SQL = r"""
+with crc as (
+  select list(list_reduce(list_prepend(i, range(8)),
+    lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as tab from range(256) t(i)),
+words as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+target as (
+  select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark),
+found as (select r, unnest(w) as word from words),
+wanted as (select unnest(w) as word from target),
+hexed as (select word, hex(encode(word)) as h from (select distinct word from found union select distinct word from wanted)),
+buckets as (
+  select word,
+         xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+             lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 as bucket
+  from hexed, crc),
+have as (select bucket, count(*) as n from found join buckets using (word) group by bucket),
+want as (select bucket, count(*) as n from wanted join buckets using (word) group by bucket),
+gains as (
+  select b.bucket,
+         floor(1000 * ln((coalesce(t.n, 0) + 1)::double * (coalesce((select sum(n) from have), 0) + 10000)
+                         / ((coalesce(s.n, 0) + 1)::double * (coalesce((select sum(n) from want), 0) + 10000))))::bigint as gain
+  from range(10000) b(bucket) left join have s on s.bucket = b.bucket left join want t on t.bucket = b.bucket),
+sums as (select r, count(*) as n, sum(gain)::bigint as total from found join buckets using (word) join gains using (bucket) group by r),
+scored as (
+  select w.r, doc_id, coalesce(n, 0) as n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::bigint as weight,
+         ('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h
+  from words w left join sums s on s.r = w.r),
+final as (select r, doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::bigint as score from scored),
+drawn as (
+  select r, row_number() over (order by score desc, doc_id nulls last, n_features) as place, count(*) over () as n
+  from final where n_features >= 20)
+select doc_id, n_features, weight, score, place as rank
+from final left join (select * from drawn where place <= 10 * n // 100) d on d.r = final.r"""
+
+
+@query("op12_importance_resampling", RESAMPLING_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query("op13_prefix_forest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest_neighbours(load(spark, sf_dir, "embeddings"))
