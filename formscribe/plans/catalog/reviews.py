@@ -226,12 +226,12 @@ def key_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "enqueue_reviews",
-    f"""with v_customers as ({sql_view('v_customers')}), k as (select key_part1 || '||' || key_part2 || '||' || key_part3 as composite_key, value from v_customers)
-    select md5(composite_key || chr(31) || value || chr(31) || '2024-01-25 12:00:00') as id, composite_key, value as original_value,
-      cast(0.0 as double) as confidence from k""",
+    f"""with v_customers as ({sql_view('v_customers')})
+    select md5('customers-' || row_id) as id, key_part1 || '||' || key_part2 || '||' || key_part3 as composite_key,
+      value as original_value, cast(0.0 as double) as confidence from v_customers""",
 )
 def enqueue_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of unknown keys all go to review."""
+    """Requests of unknown keys all go to review, under the id of their request."""
     from formscribe.operators.validate import validate_values
     from formscribe.plans.catalog.validation import learnt, requests
 

@@ -40,6 +40,29 @@ def read_csv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.withColumn("digest", F.md5("value")).withColumn("chars", F.length("value").cast("long")).drop("value")
 
 
+@query(
+    "read_csv_ranges",
+    f"""{with_views('v_docs')} select cast(row_id as varchar) as row_id, key_part1, key_part2, key_part3, md5(value) as digest, length(value) as chars from v_docs""",
+)
+def read_csv_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts out of one file that is cut into ranges of 64 KiB, so that records cross them."""
+    path = scratch_path(spark, "csv-one-file")
+    A.write_csv(view(spark, sf_dir, "v_docs").coalesce(1), path)
+    small = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        good, _ = T.split_corrupt(T.read_items(spark, path))
+        out = scratch_path(spark, "csv-read")
+        good.write.parquet(out)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    read = spark.read.parquet(out)
+    return read.withColumn("digest", F.md5("value")).withColumn("chars", F.length("value").cast("long")).drop("value")
+
+
 @query(
     "ingest_csv",
     f"""{with_views('v_orders')}, {duck.keyed('v_orders')} select composite_key, count(*) as "count", count(distinct value) as unique_values,

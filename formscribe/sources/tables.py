@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from formscribe.config import Settings
 from formscribe.operators.keys import add_composite_key, check_table
 from formscribe.operators.profile import key_stats
+from formscribe.sources.csv_ranges import read_records
 
 # Cell texts that count as missing.
 MISSING = (
@@ -39,39 +40,29 @@ def read_items(
     """A CSV table with all columns as text, missing-value texts as NULL and unreadable rows kept aside in
     `_corrupt_record` (see `split_corrupt`).
 
-    Quoted cells may hold line breaks; a file is then one task, files are read in parallel. `multi_line=False` splits
-    large files, and is right only for files that are known to have no line break inside a cell. A row whose last quote
-    is never closed is unreadable.
+    Quoted cells may hold line breaks, and files are read in ranges all the same (see `csv_ranges`). A row whose quote is
+    never closed is unreadable, alone. `multi_line=False` leaves out the pass that finds such cells, and is right only for
+    files that are known to have no line break inside a cell. Line breaks are \\n or \\r\\n.
     """
     names = list(columns or _header(spark, path, settings.encoding))
     schema = StructType([StructField(n, StringType()) for n in [*names, CORRUPT]])
     options = {
-        "header": header,
-        "encoding": settings.encoding,
         "escape": '"',
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": CORRUPT,
-        # with pruning, a line with too many cells would pass as long as the needed ones parse
-        "columnPruning": False,
-        "multiLine": multi_line,
         # a cell may hold far more than the parser's usual bound
-        "maxCharsPerColumn": -1,
+        "maxCharsPerColumn": "-1",
     }
-    raw = spark.read.options(**options).schema(schema).csv(path)
     if multi_line:
-        raw = _set_open_quotes_aside(spark, raw, path, names)
-    return raw.select(*[missing_to_null(F.col(n)).alias(n) for n in names], CORRUPT)
-
-
-def _set_open_quotes_aside(spark: SparkSession, raw: DataFrame, path: str, names: Sequence[str]) -> DataFrame:
-    """A quote that is never closed takes all lines to the end of its file into one cell. In files whose quotes do not
-    pair up, rows with a line break in their last cell are unreadable."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_odd"))
-    odd = lines.groupBy("_odd").agg((F.sum(quotes) % 2).alias("_rest")).where("_rest = 1").select("_odd")
-    joined = raw.select("*", F.col("_metadata.file_path").alias("_file")).join(odd, F.col("_file") == F.col("_odd"), "left")
-    cut = F.col("_odd").isNotNull() & F.col(names[-1]).contains("\n")
-    return joined.withColumn(CORRUPT, F.coalesce(F.col(CORRUPT), F.when(cut, F.concat_ws(",", *names)))).drop("_file", "_odd")
+        types = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, CORRUPT])
+        records = read_records(spark, path, len(names), settings.encoding, header)
+        parsed = records.select("record", "readable", F.from_csv(F.when(F.col("readable"), F.col("record")), types, options).alias("r"))
+        broken = F.coalesce(F.col("r").getField(CORRUPT), F.when(~F.col("readable"), F.col("record")))
+        raw = parsed.select(*[F.col("r").getField(n).alias(n) for n in names], broken.alias(CORRUPT))
+    else:
+        # with pruning, a line with too many cells would pass as long as the needed ones parse
+        raw = spark.read.options(header=header, encoding=settings.encoding, columnPruning=False, **options).schema(schema).csv(path)
+    return raw.select(*[missing_to_null(F.col(f"`{n}`")).alias(n) for n in names], CORRUPT)
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:

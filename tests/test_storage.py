@@ -1,5 +1,9 @@
 """Sources, sinks and streams."""
+import csv
+import io
 import json
+import random
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +45,77 @@ def test_an_open_last_quote_is_never_good(spark, tmp_path):
     assert [r.value for r in good.collect()] == ["fine"] and bad.count() == 1
 
 
+HEADER = "key_part1,key_part2,key_part3,value\n"
+
+
+@contextmanager
+def ranges_of(spark, size):
+    """Files are cut into ranges of so many bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def read_back(spark, path, text):
+    path.write_text(text, encoding="utf-8", newline="")
+    good, bad = tables.split_corrupt(tables.read_items(spark, str(path)))
+    return [tuple(r) for r in good.collect()], [r[0] for r in bad.collect()]
+
+
+@pytest.mark.parametrize("size", [64, 1000, 1 << 20])
+def test_open_quotes_cost_their_own_row(spark, tmp_path, size):
+    """Two open quotes far apart, and one behind rows with proper line breaks; whatever the ranges."""
+    far = [f'a,b,c,{chr(34) if i in (20, 70) else ""}v{i}' for i in range(100)]
+    last = [f'a,b,c,"x\ny{i}"' if i % 10 == 3 else f"a,b,c,v{i}" for i in range(99)] + ['a,b,c,"open']
+    with ranges_of(spark, size):
+        good, bad = read_back(spark, tmp_path / "far.csv", HEADER + "\n".join(far) + "\n")
+        assert sorted(g[3] for g in good) == sorted(f"v{i}" for i in range(100) if i not in (20, 70))
+        assert sorted(bad) == ['a,b,c,"v20', 'a,b,c,"v70']
+        good, bad = read_back(spark, tmp_path / "last.csv", HEADER + "\n".join(last) + "\n")
+        assert sorted(g[3] for g in good) == sorted(f"x\ny{i}" if i % 10 == 3 else f"v{i}" for i in range(99))
+        assert bad == ['a,b,c,"open']
+
+
+@pytest.mark.parametrize("size", [80, 700, 1 << 20])
+def test_csv_ranges_against_the_csv_module(spark, tmp_path, size):
+    """Random cells of quotes, separators and line breaks, also longer than several ranges."""
+    rng = random.Random(size)
+    rows = []
+    for i in range(300):
+        longest = 400 if i % 50 == 0 else 40
+        value = "".join(rng.choice(['"', ",", "\n", "a", "bc", " ", "é"]) for _ in range(rng.randrange(longest))) + str(i)
+        rows.append((f"k{i % 3}", "p,2" if i % 2 else "p", "z\nz" if i % 7 == 0 else "z", value))
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows([HEADER.strip().split(","), *rows])
+    with ranges_of(spark, size):
+        good, bad = read_back(spark, tmp_path / "r.csv", out.getvalue())
+    assert sorted(good) == sorted(rows) and not bad
+
+
+def test_csv_ranges_run_in_many_tasks(spark, tmp_path):
+    text = HEADER + "".join(f'a,b,c,"two\nlines {i}"\na,b,c,plain {i}\n' for i in range(2000))
+    (tmp_path / "m.csv").write_text(text)
+    with ranges_of(spark, 4096):
+        good, _ = tables.split_corrupt(tables.read_items(spark, str(tmp_path / "m.csv")))
+        assert good.rdd.getNumPartitions() > 10 and good.count() == 4000
+        empty, _ = tables.split_corrupt(tables.read_items(spark, str(tmp_path / "m.csv")))
+        assert {r.value for r in empty.where("value like 'two%'").collect()} == {f"two\nlines {i}" for i in range(2000)}
+
+
+def test_csv_cells_without_quotes_at_their_start(spark, tmp_path):
+    """Quotes inside plain cells are text; a file without header; blank lines; a header alone."""
+    good, bad = read_back(spark, tmp_path / "q.csv", HEADER + 'a,b,c,5" pipe\n\na,b,c,say "hi"\r\n')
+    assert [g[3] for g in good] == ['5" pipe', 'say "hi"'] and not bad
+    (tmp_path / "n.csv").write_text('a,b,c,"x\ny"\nd,e,f,g\n')
+    read = tables.read_items(spark, str(tmp_path / "n.csv"), columns=["key_part1", "key_part2", "key_part3", "value"], header=False)
+    assert [r.value for r in tables.split_corrupt(read)[0].collect()] == ["x\ny", "g"]
+    assert read_back(spark, tmp_path / "h.csv", HEADER) == ([], [])
+
+
 def test_complete_tables_survive_a_failed_batch(spark, tmp_path):
     out = str(tmp_path / "t")
     streams._write_version(spark.range(3), 0, out)
