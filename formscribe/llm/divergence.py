@@ -20,8 +20,10 @@ LEAST_DOCS, SHOWN = 10, 10
 UNIT, PRIOR = 1_000_000_000, 2
 #: Bytes that one round of the sort looks at, and rounds after which the few terms left are compared as Python bytes.
 WIDTH, ROUNDS = 8, 8
+#: Bytes of text whose pointers are sorted together: more put equal terms together before they are shuffled.
+SORTED_BYTES = 1 << 22
 #: Cells of the (term, source) table that one task holds when two sources are compared.
-CELLS = 1 << 21
+CELLS = 1 << 17
 
 _MASKS = np.array([0, *[(0xFFFFFFFFFFFFFFFF << (64 - 8 * i)) & 0xFFFFFFFFFFFFFFFF for i in range(1, 9)]], dtype=np.uint64)
 
@@ -93,7 +95,7 @@ def term_counts(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             named = pd.DataFrame({"lang": batch["lang"].to_pandas(), "source": batch["source"].to_pandas()})
-            for row, data, offsets in text_slices(batch["text"]):
+            for row, data, offsets in text_slices(batch["text"], SORTED_BYTES):
                 part = named.iloc[row : row + len(offsets) - 1]
                 group = part.groupby(["lang", "source"], sort=False).ngroup().to_numpy()
                 names = part.iloc[np.unique(group, return_index=True)[1]]

@@ -93,6 +93,13 @@ def feature_table(documents: DataFrame, columns: dict[str, Column], text_col: st
     return given.mapInArrow(run, types + "n_words long, n_features long, buckets binary")
 
 
+def _flat(column: pa.Array, width: str) -> np.ndarray:
+    """The packed numbers of all rows, one row after another."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].view(width) if data is not None and len(column) else np.zeros(0, dtype=width)
+
+
 def bucket_counts(features: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Features in each bucket. Tasks add up their own rows; the driver gets one number per bucket, whatever the input."""
     width = "<u2" if buckets <= 1 << 16 else "<u4"
@@ -100,8 +107,7 @@ def bucket_counts(features: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
-            for packed in batch["buckets"]:
-                total += np.bincount(np.frombuffer(packed.as_buffer(), dtype=width), minlength=buckets)
+            total += np.bincount(_flat(batch["buckets"], width), minlength=buckets)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "n": pa.array(total[some], pa.int64())})
 
@@ -125,8 +131,9 @@ def weighed(features: DataFrame, gain: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch["n_features"].to_numpy()
-            sums = np.array([gain[np.frombuffer(x.as_buffer(), dtype=width)].sum() for x in batch["buckets"]], dtype=np.int64)
-            weight = np.where(n > 0, sums // np.maximum(n, 1), 0)
+            before = np.concatenate(([0], np.cumsum(gain[_flat(batch["buckets"], width)])))
+            ends = np.cumsum(n)
+            weight = np.where(n > 0, (before[ends] - before[ends - n]) // np.maximum(n, 1), 0)
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], pa.array(weight, pa.int64())], names=[*kept, "weight"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema.fields if f.name != "buckets")

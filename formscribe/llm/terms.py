@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on together; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 20
 
 #: A-Z to a-z, every other byte to itself.
 LOWERED = np.arange(256, dtype=np.uint8)
