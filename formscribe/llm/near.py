@@ -6,19 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from formscribe.llm.hashing import chunks, mix, randoms, window_hashes, word_hashes
 from formscribe.llm.stages import stored
-from formscribe.llm.words import marked, unmarked
+from formscribe.llm.words import free_name, marked, unmarked
 from formscribe.operators.density import connected
 
 #: Words of an n-gram, the similarity of a link, and the recall wanted of a single pair at that similarity.
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Minima of a band. More keep unlike texts apart; the number of bands follows from the recall.
 ROWS = 6
-#: Texts of a block; two blocks of one candidate group are compared in one go.
-BLOCK = 256
+#: Texts of a block, and blocks of a segment: a task holds one block of a candidate group while a segment streams by.
+BLOCK, SEGMENT = 256, 32
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -86,78 +86,140 @@ def signature_table(documents: DataFrame, id_col: str, text_col: str, bands: int
     return stored(given.mapInPandas(run, schema).withColumn("doc_id", unmarked(F.col("doc_id"))), "signatures")
 
 
-def _compare(table: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links between two blocks of a candidate group (or inside one): per node its linked documents and a root.
-
-    Only n-grams of two or more texts matter for the overlap; they become a 0/1 matrix, a slice of columns at a time.
-    """
-    table = table.sort_values("node").reset_index(drop=True)
-    grams, counts = shingles(table["text"].tolist())
-    size = len(table)
-    owner = np.repeat(np.arange(size), counts)
-    values, column, times = np.unique(grams, return_inverse=True, return_counts=True)
-    shared = np.cumsum(times > 1) - 1
-    keep = times[column] > 1
-    owner, column = owner[keep], shared[column[keep]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    both = np.zeros((size, size), dtype=np.float32)
-    width = 1 << 13
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, (lo, lo + width))
-        part = np.zeros((size, width), dtype=np.float32)
-        part[owner[a:b], column[a:b] - lo] = 1
-        both += part @ part.T
-    union = counts[:, None] + counts[None, :] - both
-    near = both >= threshold * union - 1e-6
-    np.fill_diagonal(near, False)
-    block = table["block"].to_numpy()
-    if block.min() != block.max():
-        near &= block[:, None] != block[None, :]
-    links = near @ table["copies"].to_numpy(np.int64)
-    label = np.arange(size)
-    while True:
-        low = np.minimum(label, np.where(near, label[None, :], size).min(axis=1))
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
-    return pd.DataFrame({"node": table["node"], "links": links, "root": table["node"].to_numpy()[label]})[links > 0]
-
-
-def verify_groups(members: DataFrame, threshold: float) -> DataFrame:
-    """node, links, root of every block pair, from members (grp, size, node, copies, text).
-
-    A group of `size` texts is cut into blocks by hash; a text goes to each pair of blocks that holds its own, so a task
-    has two blocks at a time. Nothing is emitted per pair: a text's links are counted, and one edge leads to the smallest
-    text that it reaches inside the pair.
+class _Texts:
+    """N-grams of a block's distinct texts, ready to be met with another block."""
+
+    def __init__(self, table: pd.DataFrame):
+        self.node = table["node"].to_numpy()
+        self.copies = table["copies"].to_numpy(np.int64)
+        self.label = table["label"].to_numpy()
+        self.grams, self.counts = shingles(table["text"].tolist())
+        self.owner = np.repeat(np.arange(len(table)), self.counts)
+
+    def near(self, other: _Texts, threshold: float) -> np.ndarray:
+        """Which own texts (rows) are linked to which of the other block (columns).
+
+        Only n-grams of both blocks matter for the overlap; they become two 0/1 matrices, a slice of columns at a time.
+        """
+        shared = np.intersect1d(self.grams, other.grams)
+        both = np.zeros((len(self.node), len(other.node)), dtype=np.float32)
+        sides = []
+        for texts in (self, other):
+            at = np.searchsorted(shared, texts.grams)
+            hit = shared[np.minimum(at, len(shared) - 1)] == texts.grams if len(shared) else np.zeros(len(at), dtype=bool)
+            order = np.argsort(at[hit], kind="stable")
+            sides.append((texts.owner[hit][order], at[hit][order]))
+        width = 1 << 13
+        for lo in range(0, len(shared), width):
+            parts = []
+            for (owner, column), texts in zip(sides, (self, other)):
+                a, b = np.searchsorted(column, (lo, lo + width))
+                part = np.zeros((len(texts.node), min(width, len(shared) - lo)), dtype=np.float32)
+                part[owner[a:b], column[a:b] - lo] = 1
+                parts.append(part)
+            both += parts[0] @ parts[1].T
+        union = self.counts[:, None] + other.counts[None, :] - both
+        return (both >= threshold * union - 1e-6) & (self.node[:, None] != other.node[None, :])
+
+
+class _Roots:
+    """Labels that links have joined, each with the smallest label it is joined to."""
+
+    def __init__(self) -> None:
+        self.up: dict[bytes, bytes] = {}
+
+    def root(self, x: bytes) -> bytes:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, own: np.ndarray, other: np.ndarray, near: np.ndarray) -> None:
+        one, one_code = np.unique(own, return_inverse=True)
+        two, two_code = np.unique(other, return_inverse=True)
+        met = np.zeros((len(one), len(two)), dtype=bool)
+        i, j = np.nonzero(near)
+        met[one_code[i], two_code[j]] = True
+        for a, b in zip(*np.nonzero(met)):
+            x, y = self.root(one[a]), self.root(two[b])
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+
+
+def compare_blocks(members: DataFrame, threshold: float, others: Column) -> DataFrame:
+    """node, links, root from members (grp, size, node, copies, label, text): every text of a group against those of
+    the blocks `others`, an array of block numbers.
+
+    A group is cut into blocks by hash. A task holds one block while a segment of the others streams by, one block at a
+    time. It gives a row per held text, with the number of its links and its label, and a row per label that links join
+    to another, so rows stay in proportion to the texts: nothing is emitted per pair or per pair of blocks.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    pairs = (
-        members.withColumn("blocks", blocks)
-        .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "copies", "text")
-        .repartition("grp", "lo", "hi")
-        .sortWithinPartitions("grp", "lo", "hi")
-    )
+    cut = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("others", others)
+    segments = F.array_distinct(F.transform("others", lambda o: F.floor(o / SEGMENT).cast("int")))
+    columns = ["grp", "own", "segment", "other", "node", "copies", "label", "text"]
+    held = cut.withColumn("segment", F.explode(segments)).withColumn("own", F.col("block")).withColumn("other", F.lit(-1))
+    passing = (
+        cut.where(F.array_contains("others", F.col("block"))).withColumn("segment", F.floor(F.col("block") / SEGMENT).cast("int"))
+        .withColumn("own", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("other", F.col("block"))
+    )
+    rows = held.select(*columns).unionByName(passing.select(*columns))
+    order = ["grp", "own", "segment"]
+    dealt = rows.repartition(*order).sortWithinPartitions(*order, "other", "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = part = own = roots = links = None
         held: list[pd.DataFrame] = []
+
+        def meet() -> None:
+            nonlocal own, links
+            texts = _Texts(pd.concat(held))
+            if own is None:
+                own, links = texts, np.zeros(len(texts.node), dtype=np.int64)
+            else:
+                near = own.near(texts, threshold)
+                links += near @ texts.copies
+                roots.join(own.label, texts.label, near & (own.label[:, None] != texts.label[None, :]))
+
+        def told() -> pd.DataFrame:
+            joined = [(x, 0, roots.root(x)) for x in roots.up]
+            some = (links > 0) | (own.label != own.node)
+            mine = zip(own.node[some], links[some], own.label[some])
+            return pd.DataFrame([*mine, *joined], columns=["node", "links", "root"])
+
         for pdf in batches:
-            key = list(zip(pdf["grp"], pdf["lo"], pdf["hi"]))
-            cuts = [0, *[i for i in range(1, len(key)) if key[i] != key[i - 1]], len(key)]
+            keys = list(zip(pdf["grp"], pdf["own"], pdf["segment"], pdf["other"]))
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
             for lo, hi in zip(cuts, cuts[1:]):
-                part = pdf.iloc[lo:hi]
-                if held and (held[-1]["grp"].iloc[0], held[-1]["lo"].iloc[0], held[-1]["hi"].iloc[0]) != key[lo]:
-                    yield _compare(pd.concat(held), threshold)
-                    held = []
-                held.append(part)
+                if part != keys[lo]:
+                    if held:
+                        meet()
+                        held = []
+                    part = keys[lo]
+                if key != part[:3]:
+                    if own is not None:
+                        yield told()
+                    key, own, roots = part[:3], None, _Roots()
+                held.append(pdf.iloc[lo:hi])
         if held:
-            yield _compare(pd.concat(held), threshold)
+            meet()
+            yield told()
+
+    return dealt.mapInPandas(run, "node binary, links long, root binary")
+
 
-    return pairs.mapInPandas(run, "node binary, links long, root binary")
+def verify_groups(members: DataFrame, threshold: float) -> DataFrame:
+    """node, links, root from members (grp, size, node, copies, text): all links of each group, exactly.
+
+    Groups of several blocks are first compared with their first block alone; what that joins has one label, and the
+    full comparison names only links between different labels. So a large group of near copies gives a few rows a text.
+    """
+    alone = members.withColumn("label", F.col("node"))
+    large = alone.where(F.col("size") > BLOCK)
+    first = stored(compare_blocks(large, threshold, F.array(F.lit(0))), "first-links")
+    joined = connected(first.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct(), [])
+    labels = joined.select(F.col("id").alias("node"), F.col("root").alias("new"))
+    known = alone.join(labels, "node", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
+    return compare_blocks(known, threshold, F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1))
 
 
 def jaccard_join(
@@ -177,7 +239,8 @@ def jaccard_join(
     Documents of equal sets are one node first, so thousands of copies cost one. Nodes of a band go to the smallest of
     them, and what hangs together is a candidate group; all pairs of a group are compared, so a pair is missed only if
     bands connect it in no way. A group of n texts is compared in blocks: n / BLOCK copies of each text are moved, and no
-    pair is ever a row. That work grows with the square of a group of different near copies; link counts ask for it.
+    pair is ever a row. That work grows with the square of a group of different near copies, as link counts ask for it;
+    the rows that come out grow with n.
 
     Null and empty texts have no n-grams, no links and a class of their own; texts of fewer than five words are one
     n-gram. Null ids come last: a class has a null id only if all its documents have. Repeated rows are copies. An empty
@@ -195,7 +258,10 @@ def jaccard_join(
     nodes = stored(nodes, "nodes")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     heads = banded.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = banded.join(heads.drop("n"), ["band", "key"]).where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    # a node meets its least head, and its other heads (at most one a band) meet that one: as many edges as nodes and pairs of heads
+    met = banded.join(heads.drop("n"), ["band", "key"]).groupBy("node").agg(F.array_sort(F.collect_set("head")).alias("heads"))
+    ends = F.array_union(F.array("node"), F.slice("heads", 2, bands))
+    stars = met.select(F.explode(ends).alias("a"), F.col("heads")[0].alias("b")).where("a != b").distinct()
     groups = connected(stars, []).select(F.col("id").alias("node"), F.col("root").alias("grp"))
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     wanted = groups.join(sizes, "grp").join(nodes.select("node", "copies", "one"), "node").select(
@@ -234,6 +300,8 @@ def keep_one_per_class(documents: DataFrame, classes: DataFrame, id_col: str = "
     grouped = classes.where("set_digest is not null").groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("set_digest")).alias("lone"))
     kept = grouped.agg(first.alias("f")).select(F.col("f.doc_id").alias("k_id"), F.col("f.text_hash").alias("k_hash"))
     alone = classes.where("set_digest is null").select(F.col(id_col).alias("k_id"), F.col("text_hash").alias("k_hash"))
-    hashed = documents.withColumn("k_text", F.xxhash64(text_col))
-    match = F.col(id_col).eqNullSafe(F.col("k_id")) & (F.col("k_text") == F.col("k_hash"))
-    return hashed.join(kept.unionByName(alone), match, "left_semi").dropDuplicates([id_col, "k_text"]).drop("k_text")
+    digest, key, other = free_name(documents, "digest"), free_name(documents, "key"), free_name(documents, "other")
+    kept = kept.unionByName(alone).toDF(key, other)
+    match = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(digest) == F.col(other))
+    hashed = documents.withColumn(digest, F.xxhash64(text_col))
+    return hashed.join(kept, match, "left_semi").dropDuplicates([id_col, digest]).drop(digest)

@@ -1,7 +1,7 @@
 """Word rules and small expressions that several operators of this package share."""
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: A word is a run of anything but blanks, tabs, line breaks, vertical tabs and form feeds.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,3 +34,11 @@ def n_words(c: Column) -> Column:
     """Number of words without building them: every word shrinks to one character, blanks go."""
     shrunk = F.regexp_replace(F.coalesce(c, F.lit("")), f"{WORD}[\\x20\\x09-\\x0D]*", "w")
     return F.length(F.regexp_replace(shrunk, r"^[\x20\x09-\x0D]+", "")).cast("long")
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that the table does not have, whatever its letter case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
