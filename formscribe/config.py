@@ -28,11 +28,16 @@ class Settings:
     # clustering
     min_cluster_size: int = 5
     min_samples: int = 2
+    # how density clusters are found: cut (one distance, density_eps) or hierarchy (no distance, square in a key)
+    density_method: str = "cut"
+    density_metric: str = "cosine"
     density_eps: float = 0.5
     kmeans_k: int = 8
     numeric_k: int = 5
     # passes over all rows at most; the loop ends before when nothing moves
     kmeans_rounds: int = 20
+    # first centres that are tried; the cheapest result is taken
+    kmeans_starts: int = 1
     # distance of the silhouette, for keys of every size: euclidean (exact, square in a key) or squared (linear)
     silhouette_measure: str = "euclidean"
     seed: int = 42

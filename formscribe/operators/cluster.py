@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from formscribe.config import Settings
 from formscribe.functions import text
 from formscribe.operators.density import density_labels
+from formscribe.operators.hierarchy import hierarchy_labels
 from formscribe.operators.kmeans import kmeans_labels
 from formscribe.operators.profile import KEY
 from formscribe.operators.ranking import most_common, top_per_group
@@ -75,12 +76,18 @@ def _numeric_k(rows: DataFrame, settings: Settings) -> DataFrame:
 
 def density_or_kmeans(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(key, id, cluster, method): density labels, or k-means for keys where density finds one label only."""
-    dense = cut_lineage(density_labels(rows, [KEY], settings))
+    if settings.density_method == "hierarchy":
+        found = hierarchy_labels(rows, [KEY], settings.density_metric, settings).drop("strength")
+    elif settings.density_method == "cut":
+        found = density_labels(rows, [KEY], settings)
+    else:
+        raise ValueError("density_method must be cut or hierarchy")
+    dense = cut_lineage(found)
     verdict = dense.groupBy(KEY).agg((F.count_distinct("cluster") <= 1).alias("flat"), F.count(F.lit(1)).alias("_d"))
     flat = verdict.where("flat").select(KEY, F.least(F.lit(settings.kmeans_k), F.col("_d")).cast("int").alias("k"))
     regrouped = kmeans_labels(rows.join(flat, KEY), [KEY], "k", settings)
-    found = dense.join(verdict.where(~F.col("flat")).select(KEY), KEY, "left_semi")
-    return found.withColumn("method", F.lit("density")).unionByName(regrouped.withColumn("method", F.lit("kmeans")))
+    several = dense.join(verdict.where(~F.col("flat")).select(KEY), KEY, "left_semi")
+    return several.withColumn("method", F.lit("density")).unionByName(regrouped.withColumn("method", F.lit("kmeans")))
 
 
 def cluster_all(

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formscribe.config import Settings
@@ -133,16 +133,86 @@ def _moved(rows: DataFrame, centres: DataFrame, group: list[str], settings: Sett
     )
 
 
-def train_centres(
-    rows: DataFrame, group: Sequence[str] = (KEY,), k: str = "k", whole: bool = False, settings: Settings = Settings()
-) -> DataFrame:
-    """Centres (group, cluster, idx, w) by Lloyd rounds over all rows, from `seed_centres`.
+def _nearest_gaps(rows: DataFrame, centres: DataFrame, group: list[str], settings: Settings) -> DataFrame:
+    """(group, id, n, cluster, gap): the nearest centre of every row and the squared distance to it."""
+    blocked = add_blocks(rows.select(*group, "id", "n", "idx", "w"), group, "id", settings.block_rows)
+    places = blocked.select(*group, "b").distinct()
+    spread = centres.join(places, group).select(*group, "b", F.col("cluster").alias("c"), F.lit("").alias("id"), F.lit(0).cast("long").alias("n"), "idx", "w")
+    both = blocked.select(*group, "b", F.lit(-1).alias("c"), "id", F.col("n").cast("long").alias("n"), "idx", "w").unionByName(spread)
+
+    def kernel(table: pa.Table) -> pa.Table | None:
+        c, dense = numbers(table, "c"), sparse_rows(table)
+        is_centre = c >= 0
+        order = np.argsort(c[is_centre])
+        x, m = dense[~is_centre], dense[is_centre][order]
+        label = nearest(x, m)
+        return pa.table(
+            {
+                **constants(table, group, len(x)),
+                "id": pa.array(strings(table, "id")[~is_centre]),
+                "n": pa.array(numbers(table, "n")[~is_centre].astype(np.int64)),
+                "cluster": pa.array(c[is_centre][order][label].astype(np.int32)),
+                "gap": pa.array(((x - m[label]) ** 2).sum(1)),
+            }
+        )
+
+    return map_groups(both, [*group, "b"], kernel, group_schema(rows, group, "id string, n long, cluster int, gap double"))
+
+
+#: Rounds of drawing, and rows drawn in a round for each wanted centre, about.
+DRAW_ROUNDS, DRAWN = 4, 2
 
-    A round is one pass in blocks; the loop ends when no centre moves, or after `kmeans_rounds`. With `whole` the arrays
-    also keep zero entries, so that w is the dense centre of rows that have all entries.
+
+def drawn_centres(rows: DataFrame, group: Sequence[str], k: str, settings: Settings = Settings()) -> DataFrame:
+    """At most k starting centres (group, cluster, idx, w) per group, drawn from all of its rows.
+
+    From one row on, every round draws rows with a chance in proportion to their squared distance from what is drawn so
+    far, about `DRAWN` times k of them. The candidates, weighted by the rows nearest to them, are then reduced to k. Draws
+    follow from group, id and seed, so they are the same whatever the partitions. Rounds are passes in blocks; a group has
+    some `DRAW_ROUNDS * DRAWN * k` candidates however many rows it has.
     """
     group = list(group)
-    centres = seed_centres(rows, group, k, settings, whole)
+    rows = cut_lineage(rows.select(*dict.fromkeys([*group, "id", "n", k, "idx", "w"])))
+
+    def chance(salt: int) -> Column:
+        named = [F.coalesce(F.col(g).cast("string"), F.lit("")) for g in group]
+        return F.pmod(F.xxhash64(*named, F.col("id"), F.lit(settings.seed), F.lit(salt)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+    first = rows.groupBy(*group).agg(F.min_by("id", F.struct(chance(0).alias("u"), "id")).alias("id"))
+    chosen = first
+    numbered = Window.partitionBy(*group).orderBy("id")
+
+    def candidates() -> DataFrame:
+        return rows.join(chosen, [*group, "id"]).withColumn("cluster", F.row_number().over(numbered) - 1)
+
+    for turn in range(1, DRAW_ROUNDS + 1):
+        gaps = cut_lineage(_nearest_gaps(rows, candidates(), group, settings))
+        total = gaps.groupBy(*group).agg(F.sum(F.col("n") * F.col("gap")).alias("total")).where("total > 0")
+        wanted = rows.select(*dict.fromkeys([*group, "id", k])).join(gaps, [*group, "id"]).join(total, group)
+        drawn = wanted.where(chance(turn) * F.col("total") < F.col("n") * F.col("gap") * F.col(k) * DRAWN).select(*group, "id")
+        chosen = cut_lineage(chosen.unionByName(drawn).distinct())
+    mass = _nearest_gaps(rows, candidates(), group, settings).groupBy(*group, "cluster").agg(F.sum("n").alias("mass"))
+    weighted = candidates().drop("n").join(mass, [*group, "cluster"]).withColumnRenamed("mass", "n")
+
+    def kernel(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(strings(table, "id"), kind="stable")))
+        centres = fit_centres(sparse_rows(table), numbers(table, "n").astype(float), int(numbers(table, k)[0]))
+        centres = centres[np.lexsort(centres.T[::-1])]
+        entries = [np.flatnonzero(c) for c in centres]
+        return pa.table(
+            {
+                **constants(table, group, len(centres)),
+                "cluster": pa.array(np.arange(len(centres), dtype=np.int32)),
+                "idx": pa.array([e.astype(np.int32) for e in entries], pa.list_(pa.int32())),
+                "w": pa.array([c[e] for c, e in zip(centres, entries)], pa.list_(pa.float64())),
+            }
+        )
+
+    return map_groups(weighted, group, kernel, group_schema(rows, group, "cluster int, idx array<int>, w array<double>"))
+
+
+def _rounds(rows: DataFrame, centres: DataFrame, group: list[str], whole: bool, settings: Settings) -> DataFrame:
+    """Lloyd rounds until no centre moves, `kmeans_rounds` at most."""
     for _ in range(settings.kmeans_rounds):
         moved = cut_lineage(_moved(rows, centres, group, settings, whole))
         centres = moved.drop("moved")
@@ -151,6 +221,48 @@ def train_centres(
     return centres
 
 
+def centre_costs(rows: DataFrame, centres: DataFrame, group: Sequence[str], settings: Settings = Settings()) -> DataFrame:
+    """(group, cost): the sum of squared distances of all occurrences to their nearest centre."""
+    group = list(group)
+    return _nearest_gaps(rows, centres, group, settings).groupBy(*group).agg(F.sum(F.col("n") * F.col("gap")).alias("cost"))
+
+
+def train_starts(
+    rows: DataFrame, group: Sequence[str] = (KEY,), k: str = "k", whole: bool = False, settings: Settings = Settings()
+) -> tuple[DataFrame, DataFrame]:
+    """Centres (group, start, cluster, idx, w) of `kmeans_starts` runs and their costs (group, start, cost).
+
+    The start is one more group column, so all runs take the same rounds at once. Start 0 begins with `seed_centres`, the
+    others with `drawn_centres`.
+    """
+    group, per_start = list(group), [*group, "start"]
+    rows = rows.select(*dict.fromkeys([*group, "id", "n", k, "idx", "w"]))
+    begun = seed_centres(rows, group, k, settings, whole).withColumn("start", F.lit(0))
+    copied = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(settings.kmeans_starts - 1))))
+    copied = cut_lineage(copied)
+    if settings.kmeans_starts > 1:
+        begun = begun.unionByName(drawn_centres(copied.where("start > 0"), per_start, k, settings).select(*begun.columns))
+    centres = _rounds(copied, cut_lineage(begun), per_start, whole, settings)
+    return centres, centre_costs(copied, centres, per_start, settings)
+
+
+def train_centres(
+    rows: DataFrame, group: Sequence[str] = (KEY,), k: str = "k", whole: bool = False, settings: Settings = Settings()
+) -> DataFrame:
+    """Centres (group, cluster, idx, w) by Lloyd rounds over all rows.
+
+    A round is one pass in blocks; the loop ends when no centre moves, or after `kmeans_rounds`. With several
+    `kmeans_starts` the cheapest run is taken, the earlier one of equal runs. With `whole` the arrays also keep zero
+    entries, so that w is the dense centre of rows that have all entries.
+    """
+    group = list(group)
+    if settings.kmeans_starts <= 1:
+        return _rounds(rows, seed_centres(rows, group, k, settings, whole), group, whole, settings)
+    centres, costs = train_starts(rows, group, k, whole, settings)
+    best = costs.groupBy(*group).agg(F.min_by("start", F.struct("cost", "start")).alias("start"))
+    return cut_lineage(centres.join(best, [*group, "start"]).drop("start"))
+
+
 def assign_centres(
     rows: DataFrame, centres: DataFrame, group: Sequence[str] = (KEY,), settings: Settings = Settings()
 ) -> DataFrame:

@@ -20,6 +20,45 @@ def batch_stats(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
 
 
+#: Size of a quantile sketch; ranks are off by `RANK_ERROR` at most with 99 % confidence, however many batches are merged.
+SKETCH_K, RANK_ERROR = 400, 0.01
+
+
+def length_sketches(df: DataFrame) -> DataFrame:
+    """Mergeable length statistics of one batch, one row per key: count, sum, min, max and a sketch of all lengths."""
+    length = F.length("value").cast("long")
+    return df.where(F.col("value").isNotNull()).groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("count"),
+        F.sum(length).alias("length_sum"),
+        F.min(length).alias("length_min"),
+        F.max(length).alias("length_max"),
+        F.kll_sketch_agg_bigint(length, F.lit(SKETCH_K)).alias("length_sketch"),
+    )
+
+
+def merge_length_sketches(batches: DataFrame) -> DataFrame:
+    """One row per key of the same form, from any number of batches."""
+    return batches.groupBy(KEY).agg(
+        F.sum("count").alias("count"),
+        F.sum("length_sum").alias("length_sum"),
+        F.min("length_min").alias("length_min"),
+        F.max("length_max").alias("length_max"),
+        F.kll_merge_agg_bigint("length_sketch", F.lit(SKETCH_K)).alias("length_sketch"),
+    )
+
+
+def merged_length_stats(batches: DataFrame) -> DataFrame:
+    """(key, count, mean, min, max, median) over all batches; the median is a length whose rank is within `RANK_ERROR`."""
+    return merge_length_sketches(batches).select(
+        KEY,
+        "count",
+        (F.col("length_sum") / F.col("count")).alias("mean"),
+        F.col("length_min").alias("min"),
+        F.col("length_max").alias("max"),
+        F.kll_sketch_get_quantile_bigint("length_sketch", F.lit(0.5)).alias("median"),
+    )
+
+
 def merge_batch_stats(batches: DataFrame, settings: Settings = Settings(), mode: str = "sketch") -> DataFrame:
     """Merged per-key statistics. `sum` adds the distinct counts of the batches, which counts a value again
     for every batch that holds it; `sketch` unions the sketches."""

@@ -34,6 +34,8 @@ def load_all() -> None:
         reports,
         vectors,
         clusters,
+        hierarchy,
+        neighbours,
         training,
         approximate,
         streams,

@@ -317,6 +317,23 @@ def kmeans_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "kmeans_starts",
+    f"""{with_views('v_sizes')}, k as (select {duck.key()} as composite_key, value from v_sizes)
+    select composite_key, 5 as starts, true as cheapest from k group by 1""",
+)
+def kmeans_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of five starts per key, what is kept costs no more than any."""
+    from formscribe.operators import kmeans as K
+
+    settings = Settings(kmeans_starts=5)
+    rows = cut_lineage(_number_rows(spark, sf_dir).select(KEY, "id", "n", "k", "idx", "w"))
+    _, costs = K.train_starts(rows, settings=settings)
+    kept = K.centre_costs(rows, K.train_centres(rows, settings=settings), [KEY])
+    single = costs.groupBy(KEY).agg(F.count(F.lit(1)).cast("int").alias("starts"), F.min("cost").alias("least"))
+    return single.join(kept, KEY).select(KEY, "starts", (F.col("cost") <= F.col("least") + 1e-9).alias("cheapest"))
+
+
 @query("cluster_keys_names")
 def cluster_keys_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clustered(spark, sf_dir, "v_names", WORDS)

@@ -120,6 +120,31 @@ def stream_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/table").select("row_id", KEY, "verdict", "confidence")
 
 
+@query(
+    "merged_medians",
+    f"""with v_orders as ({sql_view('v_orders')}), k as (select {duck.key()} as composite_key, length(value) as n from v_orders where value is not null)
+    select composite_key, count(*) as "count", round(avg(n), 6) as mean, cast(min(n) as bigint) as min, cast(max(n) as bigint) as max, true as near from k group by 1""",
+)
+def merged_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length statistics of several batches, some of them folded; the median's true rank is within the stated error."""
+    from formscribe.operators.keys import add_composite_key
+    from formscribe.operators.merge import RANK_ERROR, merge_length_sketches
+    from formscribe.plans.views import view
+
+    out, path = scratch_path(spark, "lengths"), scratch_path(spark, "items")
+    items = view(spark, sf_dir, "v_orders")
+    items.repartition(5).write.parquet(path)
+    stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    R.length_stream(stream, f"{out}/table", f"{out}/progress").awaitTermination()
+    R.compact_batches(spark, f"{out}/table", merge_length_sketches)
+    merged = R.merged_lengths(spark, f"{out}/table")
+    each = add_composite_key(items).where("value is not null").join(merged.select(KEY, "median"), KEY)
+    length = F.length("value")
+    ranks = each.groupBy(KEY).agg(F.avg((length < F.col("median")).cast("double")).alias("below"), F.avg((length <= F.col("median")).cast("double")).alias("upto"))
+    near = (F.col("below") <= 0.5 + RANK_ERROR) & (F.col("upto") >= 0.5 - RANK_ERROR)
+    return merged.join(ranks, KEY).select(KEY, "count", F.round("mean", 6).alias("mean"), "min", "max", near.alias("near"))
+
+
 @query("review_outcomes")
 def review_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items and their decisions as two streams. Items without a decision are held until the watermark

@@ -5,9 +5,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType, StructType
+from pyspark.sql.types import StructType
 
 from formscribe.operators.profile import KEY
+from formscribe.sources.json_ranges import read_members
 
 BUCKETS = 64
 
@@ -29,11 +30,10 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataF
 
 
 def read_json_map(spark: SparkSession, path: str, entry: StructType) -> DataFrame:
-    """A file holding one object that maps composite keys to records, as one row per key. For importing such
-    files; tables written here have one record per line instead."""
-    whole = spark.read.text(path, wholetext=True)
-    parsed = whole.select(F.from_json("value", MapType(StringType(), entry)).alias("m"))
-    return parsed.select(F.explode("m").alias(KEY, "e")).select(KEY, "e.*")
+    """Files that hold one object which maps composite keys to records, as one row per key; large files are read in
+    ranges. For importing such files; tables written here have one record per line instead."""
+    parsed = read_members(spark, path).select(F.col("name").alias(KEY), F.from_json("body", entry).alias("e"))
+    return parsed.select(KEY, "e.*")
 
 
 def write_keyed(df: DataFrame, path: str, mode: str = "overwrite") -> None:

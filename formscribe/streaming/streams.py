@@ -9,10 +9,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from formscribe.config import Settings
 from formscribe.operators.keys import add_composite_key
-from formscribe.operators.merge import batch_stats, merge_batch_stats
+from formscribe.operators.merge import batch_stats, length_sketches, merge_batch_stats, merged_length_stats
 from formscribe.operators.profile import KEY
+from formscribe.sources.artefacts import is_complete
 
 Batch = Callable[[DataFrame], DataFrame]
+#: Versions of a complete-mode table that stay: the newest, and the one that a reader may still be reading.
+KEPT_VERSIONS = 2
 
 
 def read_files(spark: SparkSession, pattern: str, like: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
@@ -45,6 +48,19 @@ def _write_version(batch: DataFrame, number: int, out: str) -> None:
     batch.write.mode("overwrite").parquet(f"{out}/data/version={number}")
     marker = batch.sparkSession.range(1).select(F.lit(number).cast("long").alias("complete"))
     marker.write.mode("overwrite").parquet(f"{out}/markers/version={number}")
+    _drop_versions_before(batch.sparkSession, out, number - KEPT_VERSIONS + 1)
+
+
+def _drop_versions_before(spark: SparkSession, out: str, number: int) -> None:
+    """Markers first, so that no reader takes a version whose data is going."""
+    jvm = spark.sparkContext._jvm
+    for part in ("markers", "data"):
+        folder = jvm.org.apache.hadoop.fs.Path(f"{out}/{part}")
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            if name.startswith("version=") and int(name.removeprefix("version=")) < number:
+                fs.delete(status.getPath(), True)
 
 
 def read_latest(spark: SparkSession, out: str) -> DataFrame:
@@ -55,7 +71,8 @@ def read_latest(spark: SparkSession, out: str) -> DataFrame:
 
 def write_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", **trigger) -> StreamingQuery:
     """Append mode goes to the exactly-once file sink. Complete mode writes every batch as a version of its own, then a
-    marker; `read_latest` reads the newest version that has one, so a failed write never costs the table."""
+    marker; `read_latest` reads the newest version that has one, so a failed write never costs the table. The newest two
+    versions are kept."""
     trigger = trigger or {"availableNow": True}
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", out).outputMode("append")
@@ -90,6 +107,47 @@ def statistics_stream(items: DataFrame, out: str, checkpoint: str, settings: Set
     return write_batches(items, lambda batch: batch_stats(add_composite_key(batch, settings), settings), out, checkpoint, **trigger)
 
 
+def length_stream(items: DataFrame, out: str, checkpoint: str, settings: Settings = Settings(), **trigger) -> StreamingQuery:
+    """Mergeable length statistics of every micro-batch; read them with `merged_lengths`, fold them with `compact_batches`."""
+    return write_batches(items, lambda batch: length_sketches(add_composite_key(batch, settings)), out, checkpoint, **trigger)
+
+
+def _numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix) and is_complete(spark, f"{folder}/{n}"))
+
+
+def read_batches(spark: SparkSession, out: str) -> DataFrame:
+    """What `write_batches` stored: the newest folded version and the batches behind it."""
+    folded = _numbers(spark, f"{out}-folded", "upto=")
+    later = [n for n in _numbers(spark, out, "batch=") if not folded or n > folded[-1]]
+    paths = [f"{out}/batch={n}" for n in later] + [f"{out}-folded/upto={n}" for n in folded[-1:]]
+    return spark.read.parquet(*paths)
+
+
+def compact_batches(spark: SparkSession, out: str, merge: Callable[[DataFrame], DataFrame]) -> int | None:
+    """Fold all batches but the newest, which a restarted stream may write again, into one table of the same form; the
+    folded batches and older folds are then removed. Gives the last folded batch, or None if there was nothing to do."""
+    folded, batches = _numbers(spark, f"{out}-folded", "upto="), _numbers(spark, out, "batch=")
+    wanted = [n for n in batches[:-1] if not folded or n > folded[-1]]
+    if not wanted:
+        return None
+    paths = [f"{out}/batch={n}" for n in wanted] + [f"{out}-folded/upto={n}" for n in folded[-1:]]
+    merge(spark.read.parquet(*paths)).write.parquet(f"{out}-folded/upto={wanted[-1]}")
+    jvm = spark.sparkContext._jvm
+    for gone in [f"{out}/batch={n}" for n in batches if n <= wanted[-1]] + [f"{out}-folded/upto={n}" for n in folded]:
+        path = jvm.org.apache.hadoop.fs.Path(gone)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return wanted[-1]
+
+
+def merged_lengths(spark: SparkSession, out: str) -> DataFrame:
+    return merged_length_stats(read_batches(spark, out))
+
+
 def merged_statistics(spark: SparkSession, out: str, settings: Settings = Settings()) -> DataFrame:
     return merge_batch_stats(spark.read.parquet(out).drop("batch"), settings)
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from formscribe.config import Settings
-from formscribe.operators import profile
+from formscribe.operators import merge, profile
 from formscribe.operators.profile import KEY
-from formscribe.sources import artefacts, tables
+from formscribe.sources import artefacts, json_ranges, tables
 from formscribe.streaming import streams
 
 CSV = 'key_part1,key_part2,key_part3,value\nA,X,1,"va,l1"\nA,X,1,NA\nB,Y,2,"say ""hi"""\nB,Y,2,v,extra,cells\nC,,3,v5\n'
@@ -124,6 +124,14 @@ def test_complete_tables_survive_a_failed_batch(spark, tmp_path):
     assert streams.read_latest(spark, out).count() == 5
 
 
+def test_only_the_newest_versions_stay(spark, tmp_path):
+    out = str(tmp_path / "t")
+    for number in range(4):
+        streams._write_version(spark.range(number + 1), number, out)
+        assert streams.read_latest(spark, out).count() == number + 1
+    assert sorted(p.name for p in (tmp_path / "t" / "data").iterdir() if not p.name.startswith(".")) == ["version=2", "version=3"]
+
+
 def test_ingest(spark, csv_path):
     rows, stats = tables.ingest_checked(spark, csv_path)
     assert rows.count() == 4
@@ -155,6 +163,47 @@ def test_json_map(spark, tmp_path):
     assert [tuple(r) for r in got] == [("A||B", 2, "x"), ("C||D", 1, None)]
 
 
+@pytest.mark.parametrize("size", [40, 300, 1 << 20])
+def test_json_members_in_ranges(spark, tmp_path, size):
+    """Commas, quotes, braces and backslashes in names and values, nested values, members longer than ranges."""
+    rng = random.Random(size)
+    odd = ["a,b", 'say "x", {y', "back\\\\,slash\\\\", "}]", "\\u00e9,é", ", "]
+
+    def value(depth=0):
+        kind = rng.randrange(5 if depth < 3 else 2)
+        if kind == 0:
+            return rng.choice([1, 2.5, None, True])
+        if kind == 1:
+            return rng.choice(odd) * rng.randrange(1, 40)
+        return [value(depth + 1) for _ in range(rng.randrange(4))] if kind == 2 else {rng.choice(odd): value(depth + 1) for _ in range(rng.randrange(4))}
+
+    members = {f"{rng.choice(odd)}{i}": value() for i in range(60)}
+    for indent in (None, 2):
+        path = tmp_path / f"m{indent}.json"
+        path.write_text(json.dumps(members, indent=indent, ensure_ascii=indent is None), encoding="utf-8")
+        with ranges_of(spark, size):
+            got = {r.name: json.loads(r.body) for r in json_ranges.read_members(spark, str(path)).collect()}
+        assert got == members
+    (tmp_path / "e.json").write_text("{}")
+    assert json_ranges.read_members(spark, str(tmp_path / "e.json")).count() == 0
+
+
+def test_batches_are_folded(spark, tmp_path):
+    out = str(tmp_path / "table")
+    rows = [[("k", "x" * (n % 50)) for n in range(b, 400, 4)] for b in range(4)]
+    for b, values in enumerate(rows):
+        merge.length_sketches(spark.createDataFrame(values, f"{KEY} string, value string")).write.parquet(f"{out}/batch={b}")
+    want = merge.merged_length_stats(streams.read_batches(spark, out)).collect()
+    assert streams.compact_batches(spark, out, merge.merge_length_sketches) == 2
+    assert sorted(p.name for p in (tmp_path / "table").iterdir()) == ["batch=3"]
+    assert [r[:5] for r in streams.merged_lengths(spark, out).collect()] == [r[:5] for r in want]
+    assert streams.compact_batches(spark, out, merge.merge_length_sketches) is None
+    merge.length_sketches(spark.createDataFrame([("k", "abc")], f"{KEY} string, value string")).write.parquet(f"{out}/batch=4")
+    assert streams.compact_batches(spark, out, merge.merge_length_sketches) == 3
+    got = streams.merged_lengths(spark, out).first()
+    assert got["count"] == 401 and got["max"] == 49 and abs(got["median"] - 24.5) <= 1
+
+
 def test_csv_sink_writes_nested_as_json(spark, tmp_path):
     df = spark.createDataFrame([("k", ["a", "b"])], f"{KEY} string, v array<string>")
     artefacts.write_csv(df, str(tmp_path / "out"))
