@@ -7,7 +7,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from formscribe.llm.words import WORD, n_words
+from formscribe.llm.stages import stored
+from formscribe.llm.words import WORD, free_name, n_words
 from formscribe.session import cut_lineage
 
 #: Words of a block, the unit that is dealt; words of an output shard, about.
@@ -121,8 +122,8 @@ def deal_blocks(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_words:
     of the source's last epoch if this is a draw of it, null in whole epochs.
 
     A source of n blocks whose target is t words gives whole epochs, each in a random order of the blocks, and in the last
-    its first blocks as far as t reaches: documents stand in random order, so these are a random choice of documents and
-    only one of them meets the end. The last block is cut so that the words are exact to one. The tree splits all quotas between two halves
+    its first blocks as far as t reaches, again in a random order: documents stand in random order, so these are a random
+    choice of documents and only one of them meets the end. The last of these blocks is cut so that the words are exact to one. The tree splits all quotas between two halves
     of the shards by multivariate hypergeometric draws, again and again; half of the levels in one group, the others in
     one group per node, so a group has as many numbers as sources times the root of the shards. A leaf takes its count
     of blocks as a run of places in the source's order: runs are disjoint, and the random order makes them random.
@@ -184,14 +185,18 @@ def deal_blocks(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_words:
                     slot = np.arange(r.before + lo, r.before + min(r.q, lo + (1 << 17)))
                     n, epoch = np.full(len(slot), r.blocks), slot // r.blocks
                     last = (epoch == (r.draws - 1) // r.blocks) & (r.rest > 0)
-                    block = np.where(last, slot % r.blocks, _walk(slot % r.blocks, n, _seeds(np.full(len(slot), r.seed), epoch)))
+                    some = (r.draws - 1) % r.blocks + 1
+                    block = _walk(slot % r.blocks, np.where(last, some, n), _seeds(np.full(len(slot), r.seed), epoch))
                     words = np.where(block == r.blocks - 1, r.source_size - (r.blocks - 1) * block_words, block_words)
-                    words = words - np.where(slot == r.draws - 1, r.cut, 0)
+                    words = words - np.where(last & (block == some - 1), r.cut, 0)
                     place = _seeds(np.full(len(slot), r.seed + 1), slot).view(np.int64)
                     out = {"source": r.source, "epoch": epoch, "block": block, "shard": r.shard, "place": place, "words": words}
                     yield pd.DataFrame(out).assign(rest=pd.Series(np.where(last, r.rest, 0)).astype("Int64").mask(~last))
 
-    return leaves.mapInPandas(draw, "source string, epoch long, block long, shard long, place long, words long, rest long")
+    # leaves are few and small, draws are many: a stated number of tasks, which adaptive execution does not merge
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = leaves.repartition(tasks, "shard", "source")
+    return dealt.mapInPandas(draw, "source string, epoch long, block long, shard long, place long, words long, rest long")
 
 
 def _seeds(seed: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -238,6 +243,8 @@ def mix_pieces(
     draws = deal_blocks(targets, block_words, shard_words, seed).select(
         F.col("source").alias("s"), F.col("block").alias("b"), "epoch", "shard", "place", "rest"
     )
+    # stored, so that the join goes by how many draws there are, not by a guess from the leaves
+    draws = stored(draws, "block-draws")
     joined = place_documents(sizes, block_words, seed=seed).join(
         draws, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))
     )
@@ -253,7 +260,9 @@ def mix_documents(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 0, whole: bool = False,
 ) -> DataFrame:
-    """Per document: doc_id, size, source_size, target and taken, the words that the mix takes of it.
+    """Per document: doc_id, size, source_size, target and taken, the words that the mix takes of it; shard, place and at,
+    where it first stands in the output (shards are dealt by the tree, blocks stand by place in their shard, documents by
+    at in their block), null if it is not taken.
 
     Null texts have no words; null sources are one source; null ids and repeated rows are documents of their own, and
     rows that are equal in id, source and text share their draws evenly to one draw. A source without words has target 0.
@@ -262,8 +271,9 @@ def mix_documents(
     sizes = sized_documents(documents, id_col, text_col, source_col)
     targets = cut_lineage(source_targets(sizes))
     key = ["source", "doc_id", "digest"]
-    taken = mix_pieces(sizes, targets, block_words, shard_words, seed, whole).groupBy(*key).agg(F.sum("words").alias("taken"))
-    taken = taken.select(*[F.col(c).alias(f"t_{c}") for c in key], "taken")
+    pieces = mix_pieces(sizes, targets, block_words, shard_words, seed, whole)
+    taken = pieces.groupBy(*key).agg(F.sum("words").alias("taken"), F.min(F.struct("shard", "place", "at")).alias("first"))
+    taken = taken.select(*[F.col(c).alias(f"t_{c}") for c in key], "taken", "first")
     copies = W.partitionBy(*key)
     joined = (
         sizes.withColumn("n", F.count(F.lit(1)).over(copies))
@@ -274,9 +284,9 @@ def mix_documents(
     draws = F.floor(F.col("taken") / F.col("size"))
     share: Column = F.floor(F.col("k") * draws / F.col("n")) - F.floor((F.col("k") - 1) * draws / F.col("n"))
     share = share * F.col("size") + F.when(F.col("k") == 1, F.col("taken") % F.col("size")).otherwise(0)
-    return joined.select(
-        F.col("doc_id").alias(id_col), "size", "source_size", "target", F.coalesce(share, F.lit(0)).cast("long").alias("taken")
-    )
+    share = F.coalesce(share, F.lit(0)).cast("long")
+    first = [F.when(share > 0, F.col("first")[c]).alias(c) for c in ("shard", "place", "at")]
+    return joined.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", share.alias("taken"), *first)
 
 
 def mixed_rows(
@@ -284,31 +294,37 @@ def mixed_rows(
     block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 0, whole: bool = False,
     chars_col: str = "n_chars",
 ) -> DataFrame:
-    """The mix as rows with the columns of `documents`: one per document and epoch that takes words of it.
+    """The mix as rows with the columns of `documents`: one per document and epoch that takes words of it, dealt to tasks by
+    shard and sorted by shard, place in the shard and place in the block, so that writing them writes the shards.
 
     A document that is taken whole keeps its text, and with `whole` every one is. Otherwise one document of a source may
     be cut so that the target is met to one word: it keeps its first words, and `chars_col`, if there is one, their
-    length. Other columns stay as they are; rows that are equal in id, source and text come once per copy and epoch, with
-    the other columns of one of them. Rows without words are not in a mix.
+    length. Other columns stay as they are, whatever their names; rows that are equal in id, source and text come once per
+    copy and epoch, with the other columns of one of them. Rows without words are not in a mix. Texts of any length are
+    moved whole.
     """
     sizes = sized_documents(documents, id_col, text_col, source_col)
+    names = ("source", "doc_id", "digest", "words", "shard", "place", "at")
+    new = {n: free_name(documents, f"m_{n}") for n in (*names, "text")}
     drawn = mix_pieces(sizes, cut_lineage(source_targets(sizes)), block_words, shard_words, seed, whole).select(
-        F.col("source").alias("m_source"), F.col("doc_id").alias("m_id"), F.col("digest").alias("m_digest"), F.col("words").alias("m_words")
+        *[F.col(n).alias(new[n]) for n in names]
     )
-    rows = documents.withColumn("m_text", F.xxhash64(text_col))
+    rows = documents.withColumn(new["text"], F.xxhash64(text_col))
     match = (
-        F.col(id_col).cast("long").eqNullSafe(F.col("m_id"))
-        & F.col(source_col).cast("string").eqNullSafe(F.col("m_source"))
-        & (F.col("m_text") == F.col("m_digest"))
+        F.col(id_col).cast("long").eqNullSafe(F.col(new["doc_id"]))
+        & F.col(source_col).cast("string").eqNullSafe(F.col(new["source"]))
+        & (F.col(new["text"]) == F.col(new["digest"]))
     )
-    rows = rows.dropDuplicates([id_col, source_col, "m_text"]).join(drawn, match)
+    rows = rows.dropDuplicates([id_col, source_col, new["text"]]).join(drawn, match)
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, new["shard"]).sortWithinPartitions(new["shard"], new["place"], new["at"])
     if whole:
         return rows.select(*documents.columns)
     tokens = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1))
-    cut = F.array_join(F.slice(tokens, F.lit(1), F.col("m_words").cast("int")), "")
-    rows = rows.withColumn("m_cut", F.when(F.col("m_words") < n_words(F.col(text_col)), cut))
-    changed = {text_col: F.coalesce("m_cut", text_col)}
+    cut = F.array_join(F.slice(tokens, F.lit(1), F.col(new["words"]).cast("int")), "")
+    cut = F.when(F.col(new["words"]) < n_words(F.col(text_col)), cut)
+    changed = {text_col: F.coalesce(cut, text_col)}
     if chars_col in documents.columns:
         kind = documents.schema[chars_col].dataType
-        changed[chars_col] = F.when(F.col("m_cut").isNull(), F.col(chars_col)).otherwise(F.length("m_cut").cast(kind))
+        changed[chars_col] = F.when(cut.isNull(), F.col(chars_col)).otherwise(F.length(cut).cast(kind))
     return rows.withColumns(changed).select(*documents.columns)

@@ -89,6 +89,30 @@ def test_mix_draws_are_whole_epochs(spark, docs):
         assert all(per_epoch[e] == full for e in range(max(per_epoch)))
 
 
+def test_mix_tree_decides_shards_and_order(spark, docs):
+    """Shards hold about equal words, sources lie in them as the tree has drawn, and rows come shard by shard in order."""
+    few, many = (mixing.mix_documents(docs, shard_words=w, block_words=64).collect() for w in (1 << 15, 1 << 12))
+    for got in (few, many):
+        assert all((r.shard is None) == (r.taken == 0) == (r.place is None) for r in got)
+    spread = [len({r.shard for r in got if r.taken}) for got in (few, many)]
+    assert 1 < spread[0] < spread[1]
+    assert {r.doc_id: r.taken for r in few} == {r.doc_id: r.taken for r in many}
+    again = mixing.mix_documents(docs, shard_words=1 << 12, block_words=64, seed=1).collect()
+    assert {r.doc_id: r.shard for r in again} != {r.doc_id: r.shard for r in many}
+    pieces = mixing.mix_pieces(mixing.sized_documents(docs, "doc_id", "text", "source"), mixing.source_targets(mixing.sized_documents(docs, "doc_id", "text", "source")), 64, 1 << 12, whole=True)
+    order = {(r.doc_id, r.epoch): (r.shard, r.place, r["at"]) for r in pieces.collect()}
+    by_id = {}
+    for (i, _), at in order.items():
+        by_id.setdefault(i, set()).add(at)
+    rows = mixing.mixed_rows(docs, block_words=64, shard_words=1 << 12, whole=True).withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == len(order)
+    for task in {r.task for r in rows}:
+        shards = [{at[0] for at in by_id[r.doc_id]} for r in rows if r.task == task]
+        last = -1
+        for options in shards:
+            last = min(s for s in options if s >= last)
+
+
 def test_mix_split_is_hypergeometric():
     rng = np.random.default_rng(1)
     quotas = np.array([30, 50, 20])
@@ -482,6 +506,39 @@ def test_jaccard_awkward(spark, awkward):
     assert near.jaccard_join(awkward.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [10, 13, 14, 20, 27, 35, 54, 70])
+def test_walks_reach_the_recall(size):
+    """Items with all their edits, at a random place of a text: some key meets, at every length."""
+    rng = random.Random(size)
+    window, reps = decontaminate.window_of(size), decontaminate.repetitions(decontaminate.TARGET_RECALL, decontaminate.MAX_EDITS)
+    found = 0
+    for _ in range(150):
+        item = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        copy = list(item)
+        for _ in range(decontaminate.edits_of(size, decontaminate.MAX_EDITS)):
+            p = rng.randrange(len(copy))
+            copy[p : p + rng.randrange(2)] = [f"x{rng.random()}"[2:]] * rng.randrange(2)
+        text = [f"d{i}" for i in range(rng.randrange(40))] + copy + [f"e{i}" for i in range(60)]
+        one, two = (decontaminate._padded(decontaminate.word_numbers([" ".join(w)])[0]) for w in (item, text))
+        starts = np.arange(len(item) - window + 1), np.arange(0, len(text) - window + 1, max(1, window // 4))
+        for rep in range(reps):
+            keys = [decontaminate.embed_keys(decontaminate.coins_of(x, rep), s, window, rep)[0] for x, s in zip((one, two), starts)]
+            if len(np.intersect1d(*keys)):
+                found += 1
+                break
+    assert found >= 0.95 * 150
+
+
+def test_word_numbers_are_those_of_the_words():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aZ0_éÉß漢字กขのア İ.,-'\u0301\U0001f600\ud800\n") for _ in range(rng.randrange(40))) for _ in range(400)] + [None, ""]
+    numbers, counts = decontaminate.word_numbers(texts)
+    words = [decontaminate.tokens(t) for t in texts]
+    assert counts.tolist() == [len(w) for w in words]
+    named = dict(zip((w for t in words for w in t), numbers.tolist()))
+    assert [named[w] for t in words for w in t] == numbers.tolist() and len(set(named.values())) == len(named)
+
+
 def test_bands_reach_the_recall():
     for rows in (4, 5, 6):
         missed = (1 - near.THRESHOLD**rows) ** near.bands_for(near.THRESHOLD, 0.999, rows)
@@ -535,9 +592,11 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert leaked and not leaked & after
     assert all(any(brute.edits_in(x, before[i]) <= 0.2 * len(x) for x in items) for i in set(before) - after)
     want = brute.targets([(r.doc_id, r.text, r.source) for r in clean.collect()])
-    taken = Counter()
+    taken, longest, texts = Counter(), Counter(), {r.doc_id: r.text for r in clean.collect()}
     for r in mixed.collect():
         taken[r.source] += len(brute.words(r.text))
-    assert all(abs(taken[s] - t) <= 0.5 for s, (_, t) in want.items())
+        longest[r.source] = max(longest[r.source], len(brute.words(r.text)))
+        assert r.text == texts[r.doc_id]
+    assert all(abs(taken[s] - t) <= max(longest[s], max(len(brute.words(r.text)) for r in clean.where(F.col("source").eqNullSafe(s)).collect())) / 2 + 1 for s, (_, t) in want.items())
     order = sorted(((r.doc_id, r.text) for r in mixed.collect()))
     assert sorted(tuple(r)[1:] for r in tokens.collect()) == sorted(token_rows([t for _, t in order]))
