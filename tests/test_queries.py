@@ -25,11 +25,16 @@ def con():
     connection.close()
 
 
+#: These need keys of ten values or more, which the smallest tables do not have.
+LARGE_KEYS = {"search_density", "search_kmeans", "trainer_examples", "training_pairs"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql(spark, name):
-    """Runs to its end; what it has to give is checked by the tests of its operator, not here."""
+    """Gives rows; what they have to be is checked by the tests of its operator."""
     df = QUERIES[name](spark, SF_DIR)
-    assert df.columns and all(len(r) == len(df.columns) for r in df.collect())
+    rows = df.collect()
+    assert df.columns and (rows or name in LARGE_KEYS) and all(len(r) == len(df.columns) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) & set(ORACLES)))
