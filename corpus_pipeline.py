@@ -25,8 +25,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row per document and epoch that takes words of it, with the text that is taken."""
-    return mixing.mixed_rows(docs)
+    """The mix: a row per document and epoch that takes it, whole, shard by shard in the order that the mix gives."""
+    return mixing.mixed_rows(docs, whole=True)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
