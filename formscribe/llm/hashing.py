@@ -37,7 +37,7 @@ def _powers(size: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _span_hashes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: int) -> np.ndarray:
+def span_hashes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: int) -> np.ndarray:
     """Hash of values[lo:hi] for many spans at once, wherever they lie: prefix sums of value times odd power."""
     size = 1 << max(10, int(len(values) + 1).bit_length())
     base = _ODD[which]
@@ -73,7 +73,7 @@ def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype=np.int64)
     ends = np.cumsum(sizes + 1)
     counts = np.diff(np.searchsorted(lo, ends), prepend=0)
-    hashes = mix(_span_hashes(randoms(1, 256)[buf], lo, hi, 0) + (hi - lo).astype(np.uint64))
+    hashes = mix(span_hashes(randoms(1, 256)[buf], lo, hi, 0) + (hi - lo).astype(np.uint64))
     return hashes, counts
 
 
@@ -84,4 +84,4 @@ def window_hashes(hashes: np.ndarray, counts: np.ndarray, k: int, which: int = 0
     inside = np.arange(len(first)) - np.repeat(np.cumsum(runs) - runs, runs)
     lo = first + inside
     values = mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) if which else hashes
-    return mix(_span_hashes(values, lo, lo + k, which) + np.uint64(k)), runs
+    return mix(span_hashes(values, lo, lo + k, which) + np.uint64(k)), runs

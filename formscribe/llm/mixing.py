@@ -266,7 +266,8 @@ def mix_documents(
 
     Null texts have no words; null sources are one source; null ids and repeated rows are documents of their own, and
     rows that are equal in id, source and text share their draws evenly to one draw. A source without words has target 0.
-    With `whole`, taken is a multiple of size. Reruns agree. An empty table gives no rows.
+    With `whole`, taken is a multiple of size. Texts are counted whole, however long; other columns are not looked at.
+    Reruns agree. An empty table gives no rows.
     """
     sizes = sized_documents(documents, id_col, text_col, source_col)
     targets = cut_lineage(source_targets(sizes))

@@ -243,8 +243,8 @@ def jaccard_join(
     the rows that come out grow with n.
 
     Null and empty texts have no n-grams, no links and a class of their own; texts of fewer than five words are one
-    n-gram. Null ids come last: a class has a null id only if all its documents have. Repeated rows are copies. An empty
-    table gives no rows.
+    n-gram. Null ids come last: a class has a null id only if all its documents have. Repeated rows are copies. Texts are
+    read whole, however long; other columns are not looked at. An empty table gives no rows.
     """
     bands = bands_for(threshold, recall, rows)
     table = signature_table(documents, id_col, text_col, bands, rows)

@@ -135,7 +135,8 @@ def edited_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     The edited text has the last half of the code points (rounded down) replaced by as many first ones, or all, of the
     next document by ascending id; the first follows the last. Null texts are empty. Null ids come last; rows with equal
-    ids are ordered by text. A lone document is its own next. An empty table gives no rows.
+    ids are ordered by text. A lone document is its own next. Texts are read whole, however long,
+    and other columns are not looked at. An empty table gives no rows.
 
     Documents are dealt by id range and sorted inside, so texts are shuffled once; the first document of each range also
     goes, by a join on the few range heads, to the range before it.

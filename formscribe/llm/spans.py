@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from formscribe.llm.hashing import _span_hashes, chunks, mix, window_hashes, word_hashes
+from formscribe.llm.hashing import span_hashes, chunks, mix, window_hashes, word_hashes
 from formscribe.llm.stages import stored
 
 #: Words of a repeated span at least, and of a k-mer. Every span holds a sampled k-mer.
@@ -83,7 +83,7 @@ def node_table(rows: DataFrame, span: int, k: int) -> DataFrame:
                 start = word + g["first_word"][owner]
                 same = np.append(owner[1:] == owner[:-1], False)
                 end = np.where(same, np.append(start[1:], 0) + k, g["first_word"][owner] + g["counts"][owner])
-                edge = mix(_span_hashes(g["words"], start, end, 1))
+                edge = mix(span_hashes(g["words"], start, end, 1))
                 ranks = np.arange(len(node)) - np.searchsorted(owner, owner)
                 part = pdf.iloc[lo:hi]
                 yield pd.DataFrame(
@@ -171,7 +171,8 @@ def remove_repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col
 
     Null and empty texts have no words; shorter texts keep all. Null ids come last: their windows are removed if a
     document with an id has them, and they remove nothing from each other. Rows of one id never remove from each other.
-    Each input row gives one row. An empty table gives no rows.
+    Each input row gives one row. Texts are read whole, up to 2^26 words each; other columns are not looked at. An empty
+    table gives no rows.
     """
     rows = documents.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"),
@@ -207,8 +208,8 @@ def remove_repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col
         sure, compared, offered = _decide(nodes_of, me, g, x, span, k)
         own = g["words"][g["first_word"][x] : g["first_word"][x] + g["counts"][x]]
         other = mix(own)
-        h1, s1 = (mix(_span_hashes(own, w, w + span, 0)).view(np.int64) for w in (compared, offered))
-        h2, s2 = (mix(_span_hashes(other, w, w + span, 1)).view(np.int64) for w in (compared, offered))
+        h1, s1 = (mix(span_hashes(own, w, w + span, 0)).view(np.int64) for w in (compared, offered))
+        h2, s2 = (mix(span_hashes(other, w, w + span, 1)).view(np.int64) for w in (compared, offered))
         if not len(compared):
             return (*_result(words, sure, span), None, None, None, None, None, s1, s2)
         return (len(words), None, None, text, sure.astype(np.int32), compared.astype(np.int32), h1, h2, s1, s2)
