@@ -19,7 +19,7 @@ from formscribe.llm.stages import early_cleanup
 from formscribe.llm.words import marked, unmarked
 
 #: Words that a worker remembers with their ids; beyond that it forgets all of them.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 
 _SPACES = re.compile(r"[\x00\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -144,7 +144,8 @@ def write_token_files(
     that a lost or repeated task left are not in it.
 
     `out_dir` has to be a folder that all executors share. Texts are shuffled once. Null texts are empty and hold
-    `end_id` only; null document ids come last; rows with equal ids are ordered by text. An empty table has no parts.
+    `end_id` only; null document ids come last; rows with equal ids are ordered by text.
+    Texts are encoded whole, however long, and other columns are not looked at. An empty table has no parts.
     """
     spark = documents.sparkSession
     bounds = id_bounds(documents.select(F.col(id_col).cast("long").alias("id")), "id")
@@ -208,6 +209,8 @@ def read_token_files(manifest: DataFrame, out_dir: str) -> DataFrame:
                     }
                 )
 
-    parts = manifest.select("part", "name", "width", "base").repartition("part")
+    # the manifest is tiny, the files are not: a stated number of tasks, which adaptive execution does not merge
+    tasks = min(manifest.count(), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = manifest.select("part", "name", "width", "base").repartition(max(1, tasks), "part")
     out = parts.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumn("doc_id", unmarked(F.col("doc_id")))
