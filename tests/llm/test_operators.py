@@ -34,7 +34,7 @@ ROWS = [
     (None, None, None, None),
     (2**62 + 1, "é 漢字 \U0001f600 <|endoftext|>", "é", "fr"),
 ]
-CLASHES = ["id", "size", "word", "words", "key", "node", "part", "text_hash", "block", "window", "links", "digest", "place"]
+CLASHES = ["m_text", "m_source", "m_words", "k_text", "_leaked", "leaked", "digest", "other", "shard", "at", "id", "size", "word", "words", "key", "node", "part", "text_hash", "block", "window", "links", "place"]
 
 
 @pytest.fixture(scope="module")
