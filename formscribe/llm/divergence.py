@@ -21,9 +21,9 @@ UNIT, PRIOR = 1_000_000_000, 2
 #: Bytes that one round of the sort looks at, and rounds after which the few terms left are compared as Python bytes.
 WIDTH, ROUNDS = 8, 8
 #: Bytes of text whose pointers are sorted together: more put equal terms together before they are shuffled.
-SORTED_BYTES = 1 << 22
+SORTED_BYTES = 1 << 23
 #: Cells of the (term, source) table that one task holds when two sources are compared.
-CELLS = 1 << 17
+CELLS = 1 << 21
 
 _MASKS = np.array([0, *[(0xFFFFFFFFFFFFFFFF << (64 - 8 * i)) & 0xFFFFFFFFFFFFFFFF for i in range(1, 9)]], dtype=np.uint64)
 
