@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formscribe.config import Settings
-from formscribe.operators.blocks import add_blocks, block_pairs, constants, group_schema, map_groups, numbers, sparse_rows, strings
+from formscribe.operators.blocks import add_blocks, block_pairs, constants, group_schema, map_groups, numbers, sparse_rows, strings, tiles
+from formscribe.operators.neighbours import TILE_COLUMNS, TILE_ROWS
 from formscribe.operators.profile import KEY
 
 
@@ -23,7 +24,7 @@ def silhouette(labelled: DataFrame, group: Sequence[str] = (KEY,), settings: Set
     rows = labelled.where(F.col("cluster") >= 0)
     sizes = rows.groupBy(*group, "cluster").agg(F.sum("n").alias("size"))
     several = sizes.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 2).select(*group)
-    meeting = block_pairs(rows.join(several, group, "left_semi"), group, "id", settings.block_rows)
+    meeting = block_pairs(rows.join(several, group, "left_semi"), group, "id", settings.block_rows, tiled=True)
 
     def kernel(table: pa.Table) -> pa.Table:
         dense, ids = sparse_rows(table), strings(table, "id")
@@ -32,13 +33,23 @@ def silhouette(labelled: DataFrame, group: Sequence[str] = (KEY,), settings: Set
         first = numbers(table, "b") == lo
         second = first if lo == hi else ~first
         square = (dense * dense).sum(1)
-        gaps = square[first][:, None] + square[second][None, :] - 2.0 * (dense[first] @ dense[second].T)
-        gaps = np.sqrt(np.maximum(gaps, 0.0))
-        if lo == hi:
-            np.fill_diagonal(gaps, 0.0)
-        parts = [_sums(gaps, ids[first], cluster[first], n[first], cluster[second], n[second])]
+        left, right, here, there = dense[first], dense[second], square[first], square[second]
+        mine, theirs = _weights(cluster[first], n[first]), _weights(cluster[second], n[second])
+        back, parts = np.zeros((len(right), mine[1].shape[1])), []
+        for some in tiles(len(left), TILE_ROWS):
+            totals = np.zeros((some.stop - some.start, theirs[1].shape[1]))
+            for others in tiles(len(right), TILE_COLUMNS):
+                gaps = here[some][:, None] + there[others][None, :] - 2.0 * (left[some] @ right[others].T)
+                gaps = np.sqrt(np.maximum(gaps, 0.0))
+                if lo == hi:
+                    r = np.arange(max(some.start, others.start), min(some.stop, others.stop))
+                    gaps[r - some.start, r - others.start] = 0.0
+                else:
+                    back[others] += gaps.T @ mine[1][some]
+                totals += gaps @ theirs[1][others]
+            parts.append(_sums(totals, theirs[0], ids[first][some], cluster[first][some], n[first][some]))
         if lo != hi:
-            parts.append(_sums(gaps.T, ids[second], cluster[second], n[second], cluster[first], n[first]))
+            parts.append(_sums(back, mine[0], ids[second], cluster[second], n[second]))
         columns = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         return pa.table({**constants(table, group, len(columns["id"])), **{k: pa.array(v) for k, v in columns.items()}})
 
@@ -123,12 +134,16 @@ def silhouette_of(labelled: DataFrame, group: Sequence[str] = (KEY,), settings:
     raise ValueError("silhouette_measure must be euclidean or squared")
 
 
-def _sums(gaps: np.ndarray, ids: np.ndarray, own: np.ndarray, n: np.ndarray, clusters: np.ndarray, weights: np.ndarray) -> dict:
-    """Weighted distance sums of each row to every cluster of the other block."""
+def _weights(clusters: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The clusters of a block, and for each row its weight in the column of its cluster."""
     present, place = np.unique(clusters, return_inverse=True)
     onehot = np.zeros((len(clusters), len(present)))
-    onehot[np.arange(len(clusters)), place] = weights
-    totals = gaps @ onehot
+    onehot[np.arange(len(clusters)), place] = n
+    return present, onehot
+
+
+def _sums(totals: np.ndarray, present: np.ndarray, ids: np.ndarray, own: np.ndarray, n: np.ndarray) -> dict:
+    """Weighted distance sums of rows to the clusters of the other block, one entry each."""
     return {
         "id": np.repeat(ids, len(present)),
         "own": np.repeat(own, len(present)).astype(np.int32),
