@@ -196,67 +196,149 @@ def entries(table: pd.DataFrame, separators: int) -> dict[tuple[str, int], Entry
     return out
 
 
-def records(lines: DataFrame, separators: int, known: dict[tuple[str, int], Entry], header: bool) -> DataFrame:
-    """file, start, record (the lines of one record) and readable; fragments of records over ranges are joined."""
+#: Characters of records, about, that a task gathers before it sends them on.
+SENT_CHARS = 1 << 22
+_OUT = "record string, readable boolean, owner long, line long, file string, start long"
+
+
+def records(walked: DataFrame, separators: int, header: bool) -> DataFrame:
+    """file, start, record (the lines of one record) and readable; fragments of records over ranges are joined.
+
+    Every line brings the entry of its range (`entry_rows`), so a task knows its own ranges and no others."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (file, start), held, r in _ranges_with_lines(batches):
-            entry = known.get((file, start))
-            if entry is None:
-                raise RuntimeError(f"range {start} of {file} was cut in another way in the first pass; pin spark.sql.files.minPartitionNum")
-            out = pd.DataFrame(_rows(held, r, entry, start, separators, header), columns=["record", "readable", "owner", "line"])
-            yield out.astype({"owner": "Int64", "line": "Int64"}).assign(file=file, start=start)
-
-    schema = "record string, readable boolean, owner long, line long, file string, start long"
-    walked = lines.mapInPandas(run, schema)
-    whole = walked.where("owner is null").select("file", "record", "readable")
-    parts = walked.where("owner is not null").groupBy("file", "owner", "line").agg(F.sort_array(F.collect_list(F.struct("start", "record"))).alias("parts"))
+        rows, size = [], 0
+        for row in _cut(batches, separators, header):
+            rows.append(row)
+            size += len(row[0]) + 64
+            if size >= SENT_CHARS:
+                yield _frame(rows)
+                rows, size = [], 0
+        if rows:
+            yield _frame(rows)
+
+    cut = walked.mapInPandas(run, _OUT)
+    whole = cut.where("owner is null").select("file", "record", "readable")
+    parts = cut.where("owner is not null").groupBy("file", "owner", "line").agg(F.sort_array(F.collect_list(F.struct("start", "record"))).alias("parts"))
     joined = parts.select("file", F.array_join("parts.record", "\n").alias("record"), F.lit(True).alias("readable"))
     return whole.unionByName(joined)
 
 
-def _ranges_with_lines(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[str, int], list[str], _Range]]:
-    """A range at a time, with its lines: a range is at most one split, `spark.sql.files.maxPartitionBytes`."""
-    key, current, held = None, _Range(), []
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _OUT.split(", ")]).astype({"owner": "Int64", "line": "Int64"})
+
+
+def _cut(batches: Iterator[pd.DataFrame], separators: int, header: bool) -> Iterator[tuple]:
+    key, cutter = None, None
     for pdf in batches:
-        for file, start, line in zip(pdf["file"], pdf["start"], pdf["value"]):
+        entry = zip(*(pdf[c] for c in ("begin", "owner", "owner_line", "left_open")))
+        for file, start, line, known in zip(pdf["file"], pdf["start"], pdf["value"], entry):
             if key != (file, start):
-                if key is not None:
-                    yield key, held, current
-                key, current, held = (file, start), _Range(), []
-            current.add(line)
-            held.append(line)
-    if key is not None:
-        yield key, held, current
-
-
-def _rows(held: list[str], r: _Range, entry: Entry, start: int, separators: int, header: bool) -> Iterator[tuple]:
-    """(record, readable, owner, line) of one range: owner and line name the record that a fragment belongs to."""
-    at = entry.begin
-    if entry.record is not None:
-        yield "\n".join(held[:at]), True, entry.record[0], entry.record[1]
-    elif start == 0 and header:
-        at = max(at, 1)
-    found, pending = r.walk(at, separators)
-    ends = dict(found)
-    ends.update((line, -1) for line, _ in pending)
-    while at < r.n:
-        if at == entry.left_open:
-            yield "\n".join(held[at:]), True, start, at
-            return
-        last = ends.get(at, at)
-        if last >= 0:
-            record = "\n".join(held[at : last + 1]).removesuffix("\r")
-            if record:
-                yield record, True, None, None
-            at = last + 1
+                if cutter is not None:
+                    yield from ((*row, *key) for row in cutter.end())
+                if pd.isna(known[0]):
+                    raise RuntimeError(f"range {start} of {file} was cut in another way in the first pass; pin spark.sql.files.minPartitionNum")
+                key, cutter = (file, start), _Cutter(*map(int, known), start, separators, header)
+            yield from ((*row, *key) for row in cutter.add(line))
+    if cutter is not None:
+        yield from ((*row, *key) for row in cutter.end())
+
+
+class _Cutter:
+    """Cuts the lines of one range into (record, readable, owner, line) as they come: owner and line name the record that a
+    fragment belongs to. Only lines of a record that is not decided yet are held."""
+
+    def __init__(self, begin: int, owner: int, owner_line: int, left_open: int, start: int, separators: int, header: bool) -> None:
+        self.owner = (owner, owner_line) if owner >= 0 else None
+        self.begin = max(begin, 1) if self.owner is None and start == 0 and header else begin
+        self.left_open, self.start, self.separators, self.at = left_open, start, separators, 0
+        # lines of an earlier record; from a quote on that is open; behind a quote that nothing closes; left open at the end
+        self.earlier: list[str] = []
+        self.opened: list[str] = []
+        self.cells = 0
+        self.broken: list[str] = []
+        self.tail: list[str] | None = None
+
+    def add(self, line: str) -> Iterator[tuple]:
+        return self._all([line])
+
+    def end(self) -> Iterator[tuple]:
+        if self.at <= self.begin:
+            yield from self._earlier()
+        while self.opened:
+            yield from self._all(self._unclosed())
+        yield from self._broken()
+        if self.tail is not None:
+            yield "\n".join(self.tail), True, self.start, self.left_open
+
+    def _all(self, lines: list[str]) -> Iterator[tuple]:
+        waiting = lines[::-1]
+        while waiting:
+            again = yield from self._one(waiting.pop())
+            waiting.extend(reversed(again))
+
+    def _one(self, line: str) -> Iterator[tuple]:
+        """Returns the lines that have to be looked at again."""
+        i = self.at
+        self.at += 1
+        if i < self.begin:
+            if self.owner is not None:
+                self.earlier.append(line)
+            return []
+        if i == self.begin:
+            yield from self._earlier()
+        if self.tail is not None:
+            self.tail.append(line)
+            return []
+        if self.opened:
+            self.opened.append(line)
+            kind, cells = _inside(line)
+            self.cells += cells
+            if kind == STAY:
+                return []
+            if kind == CLOSE and self.cells == self.separators:
+                record = "\n".join(self.opened).removesuffix("\r")
+                self.opened = []
+                if record:
+                    yield record, True, None, None
+                return []
+            return self._unclosed()
+        kind, cells = _outside(line)
+        if i == self.left_open:
+            yield from self._broken()
+            self.tail = [line]
+        elif kind == OPEN:
+            yield from self._broken()
+            self.opened, self.cells = [line], cells
+        elif self.broken and _outside(line.removesuffix("\r")) != (WHOLE, self.separators):
+            self.broken.append(line)
         else:
-            # an open line that nothing closes, and the lines behind it that are no record either
-            last = at + 1
-            while last < r.n and last not in ends and last != entry.left_open and _outside(held[last].removesuffix("\r")) != (WHOLE, separators):
-                last += 1
-            yield "\n".join(held[at:last]), False, None, None
-            at = last
+            yield from self._broken()
+            if record := line.removesuffix("\r"):
+                yield record, True, None, None
+        return []
+
+    def _unclosed(self) -> list[str]:
+        """The open line is unreadable; the lines behind it are to be looked at again."""
+        self.broken, again, self.opened = [self.opened[0]], self.opened[1:], []
+        self.at -= len(again)
+        return again
+
+    def _earlier(self) -> Iterator[tuple]:
+        if self.owner is not None:
+            yield "\n".join(self.earlier), True, *self.owner
+            self.earlier, self.owner = [], None
+
+    def _broken(self) -> Iterator[tuple]:
+        """An open line that nothing closes, and the lines behind it that are no record either."""
+        if self.broken:
+            yield "\n".join(self.broken), False, None, None
+            self.broken = []
+
+
+def entry_rows(known: dict[tuple[str, int], Entry], header: bool) -> list[tuple]:
+    """(file, start, plain, begin, owner, owner line, left open) of every range; plain: each of its lines is a record."""
+    return [(file, start, e.plain and not (header and start == 0), e.begin, *(e.record or (-1, -1)), e.left_open) for (file, start), e in known.items()]
 
 
 def read_records(spark: SparkSession, path: str, columns: int, encoding: str, header: bool) -> DataFrame:
@@ -267,19 +349,14 @@ def read_records(spark: SparkSession, path: str, columns: int, encoding: str, he
     """
     lines = range_lines(spark, path, encoding)
     known = entries(summaries(lines, columns - 1), columns - 1)
-    busy = {(file, start): e for (file, start), e in known.items() if not e.plain or header and start == 0}
-    plain = [k for k in known if k not in busy]
     if not known:
         return spark.createDataFrame([], "file string, record string, readable boolean")
-    walked = lines
-    if plain:
-        # one row per range of the input; a join that shuffled would lose the order of lines, so it has to be a broadcast
-        ranges = F.broadcast(spark.createDataFrame(plain, "p_file string, p_start long"))
-        same = (F.col("file") == F.col("p_file")) & (F.col("start") == F.col("p_start"))
-        walked = lines.join(ranges, same, "left_anti")
-    out = records(walked, columns - 1, busy, header)
-    if plain:
+    rows = [tuple(int(x) if i > 2 or i == 1 else x for i, x in enumerate(row)) for row in entry_rows(known, header)]
+    # one row per range of the input; a join that shuffled would lose the order of lines, so it has to be a broadcast
+    ranges = F.broadcast(spark.createDataFrame(rows, "p_file string, p_start long, plain boolean, begin long, owner long, owner_line long, left_open long"))
+    joined = lines.join(ranges, (F.col("file") == F.col("p_file")) & (F.col("start") == F.col("p_start")), "left").drop("p_file", "p_start")
+    out = records(joined.where("plain is null or not plain").drop("plain"), columns - 1, header)
+    if any(row[2] for row in rows):
         line = F.when(F.endswith("value", F.lit("\r")), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
-        others = lines.join(ranges, same, "left_semi").select("file", line.alias("record"), F.lit(True).alias("readable"))
-        out = out.unionByName(others.where("record != ''"))
+        out = out.unionByName(joined.where("plain").select("file", line.alias("record"), F.lit(True).alias("readable")).where("record != ''"))
     return out

@@ -7,6 +7,7 @@ from formscribe.operators import blocks, codes, kmeans, neighbours
 from formscribe.operators.profile import KEY
 from formscribe.operators.silhouette import silhouette
 from formscribe.session import cut_lineage
+from formscribe.sources import csv_ranges
 
 
 def test_pair_blocks_move_rows_a_bounded_number_of_times(spark):
@@ -62,3 +63,25 @@ def test_lloyd_rounds_read_the_rows_a_fixed_number_of_times(spark):
     rows = plain.select(KEY, "id", "n", F.lit(6).alias("k"), F.array(F.lit(0)).alias("idx"), F.array(counted.asNondeterministic()("x")).alias("w"))
     kmeans.train_centres(rows, settings=Settings(block_rows=50, kmeans_rounds=12))
     assert seen.value <= 300 * 4
+
+
+def test_csv_records_leave_a_range_as_soon_as_they_end():
+    cutter = csv_ranges._Cutter(0, -1, -1, -1, 0, 1, True)
+    out = []
+    for line in ["a,b", *(x for i in range(1000) for x in ('k,"one', f'two {i}"', f"k,plain {i}"))]:
+        out += cutter.add(line)
+        assert len(cutter.opened) <= 1 and not cutter.earlier and not cutter.broken
+    assert len(out) == 2000 and out[0] == ('k,"one\ntwo 0"', True, None, None) and not list(cutter.end())
+
+
+def test_csv_tasks_get_the_entries_of_their_own_ranges(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("a,b\n" + "".join(f'k,"two\nlines {i}"\n' for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        read = csv_ranges.read_records(spark, str(tmp_path / "m.csv"), 2, "UTF-8", True)
+        plan = read._jdf.queryExecution().toString()
+        assert read.count() == 3000 and "left_open" in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
