@@ -137,16 +137,30 @@ def range_lines(spark: SparkSession, path: str | Sequence[str], encoding: str) -
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), value.alias("value"))
 
 
+#: Bytes of input, about, that a task reads where ranges are smaller.
+TASK_BYTES = 8 << 20
+
+
+def gathered(lines: DataFrame) -> DataFrame:
+    """The same ranges, several in a task where they are small: starting a task costs more than walking a few of them. The
+    lines of a range stay together and in order, because nothing is shuffled."""
+    spark = lines.sparkSession
+    size, count = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes(), lines.rdd.getNumPartitions()
+    tasks = max(-(-count * size // TASK_BYTES), 4 * spark.sparkContext.defaultParallelism)
+    return lines.coalesce(tasks) if tasks < count else lines
+
+
 def summaries(lines: DataFrame, separators: int) -> pd.DataFrame:
     """One row per range. What comes to the driver grows with the number of ranges, not with their content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
         for (file, start), r in _walked(batches):
             stop, kind, cells = r.first_stop()
             top, below = r.walk(0, separators)[1], r.walk(stop + 1, separators)[1] if stop >= 0 else []
             named = [[{"line": a, "cells": c} for a, c in p] for p in (top, below)]
-            row = (file, start, r.n, stop, kind, cells, *named, any(k == OPEN for _, k, *_ in r.events))
-            yield pd.DataFrame([row], columns=[c.split(" ")[0] for c in _SUMMARY.split(", ")])
+            rows.append((file, start, r.n, stop, kind, cells, *named, any(k == OPEN for _, k, *_ in r.events)))
+        yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _SUMMARY.split(", ")])
 
     return lines.mapInPandas(run, _SUMMARY).toPandas()
 
@@ -347,7 +361,7 @@ def read_records(spark: SparkSession, path: str, columns: int, encoding: str, he
     The first pass runs here. In the second, only ranges with an open quote or a record that crosses ranges go through
     Python, and the first range of a file for its header line; in all others every line is a record.
     """
-    lines = range_lines(spark, path, encoding)
+    lines = gathered(range_lines(spark, path, encoding))
     known = entries(summaries(lines, columns - 1), columns - 1)
     if not known:
         return spark.createDataFrame([], "file string, record string, readable boolean")

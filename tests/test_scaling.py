@@ -82,6 +82,9 @@ def test_csv_tasks_get_the_entries_of_their_own_ranges(spark, tmp_path):
         read = csv_ranges.read_records(spark, str(tmp_path / "m.csv"), 2, "UTF-8", True)
         plan = read._jdf.queryExecution().toString()
         assert read.count() == 3000 and "left_open" in plan and "BroadcastHashJoin" in plan
+        lines = csv_ranges.range_lines(spark, str(tmp_path / "m.csv"), "UTF-8")
+        few = csv_ranges.gathered(lines)
+        assert lines.rdd.getNumPartitions() > 50 and few.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
