@@ -3,7 +3,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from formscribe.config import Settings
-from formscribe.operators import blocks, codes, kmeans, neighbours
+from formscribe.operators import blocks, codes, kmeans, neighbours, terms
 from formscribe.operators.profile import KEY
 from formscribe.operators.silhouette import silhouette
 from formscribe.session import cut_lineage
@@ -88,3 +88,11 @@ def test_csv_tasks_get_the_entries_of_their_own_ranges(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_terms_are_counted_without_moving_them(spark):
+    data = [("k", "aa bb aa bb aa", 2), ("k", "", 1), ("j", "x", 1), ("j", "cc dd", 3)]
+    counts = terms.term_counts(spark.createDataFrame(data, f"{KEY} string, value string, n long"), Settings(ngram_min=1, ngram_max=2))
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.term, r.n, r.tf) for r in counts.collect())
+    assert got == [("aa", 2, 3), ("aa bb", 2, 2), ("bb", 2, 2), ("bb aa", 2, 2), ("cc", 3, 1), ("cc dd", 3, 1), ("dd", 3, 1)]
