@@ -3,8 +3,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from formscribe.config import Settings
+from formscribe.functions import text
 from formscribe.operators import blocks, codes, kmeans, neighbours, terms
-from formscribe.operators.profile import KEY
+from formscribe.operators.profile import KEY, key_profiles, key_stats
 from formscribe.operators.silhouette import silhouette
 from formscribe.session import cut_lineage
 from formscribe.sources import csv_ranges
@@ -96,3 +97,19 @@ def test_terms_are_counted_without_moving_them(spark):
     assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.term, r.n, r.tf) for r in counts.collect())
     assert got == [("aa", 2, 3), ("aa bb", 2, 2), ("bb", 2, 2), ("bb aa", 2, 2), ("cc", 3, 1), ("cc dd", 3, 1), ("dd", 3, 1)]
+
+
+def test_signatures_of_a_table_are_worked_out_in_batches(spark):
+    rows = spark.createDataFrame([("a", "b", "c", "x 12"), ("a", "b", "c", "y-3")], "key_part1 string, key_part2 string, key_part3 string, value string")
+    for made in (key_stats(rows), key_profiles(rows)):
+        assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()
+        assert sorted(s["sig"] for s in made.first()["top_signatures"] or []) in ([], ["LOD", "L_D2"])
+
+
+def test_ends_of_a_text_are_cut_without_a_search_through_it(spark):
+    blanks = "".join(map(chr, range(0x3001)))
+    odd = ["".join(c for c in blanks if c.isspace()) + "a\u2003 b" + "\u3000\x1c\x85", "", " \t", "\u200bx\u200b", "a  b \t c", "a\tb", None]
+    df = spark.createDataFrame([(v,) for v in odd], "v string").select("v", text.strip(F.col("v")).alias("s"), text.collapse_whitespace(F.col("v")).alias("c"))
+    assert "regexp" not in df.select("s")._jdf.queryExecution().optimizedPlan().toString()
+    for r in df.collect():
+        assert r.s == (None if r.v is None else r.v.strip()) and r.c == " ".join((r.v or "").split())

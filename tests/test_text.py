@@ -1,4 +1,5 @@
 """String functions against golden values and against plain Python on random text."""
+import random
 import re
 import string
 import unicodedata
@@ -195,3 +196,16 @@ def test_correction_kinds(spark):
     ).orderBy("i").collect()
     assert [r.fixed for r in got] == ["space_removal", "case_normalization", "space_removal", None, None]
     assert [r.compat for r in got] == ["trimming", None, "trimming", "case_normalization", None]
+
+
+def test_signature_in_batches(spark, monkeypatch):
+    rng = random.Random(5)
+    signs = "aB9 .,\t\x1c\x85\xa0\u3000\xe9\xdf\u0663\xb3\u65e5\U00010400\U0001f600\u0861\u0870\u0378\x00\x7f\u2460"
+    drawn = ["".join(rng.choices(signs[: rng.choice((4, 10, len(signs)))], k=rng.randint(0, 60))) for _ in range(400)]
+    values = ["", None, "x" * 9, "x" * 10, "x" * 12345 + "1" * 99 + " " * 100, *drawn, None, ""]
+    df = spark.createDataFrame([(v,) for v in values], "v string").coalesce(1)
+    for r in df.select("v", text.signature_in_batches(F.col("v")).alias("a"), text.signature(F.col("v")).alias("b")).collect():
+        assert r.a == r.b, repr(r.v)
+    # several slices of a batch
+    monkeypatch.setattr(text, "SIGNED_AT_ONCE", 7)
+    assert [(s.start, s.stop) for s in text._row_slices(np.cumsum([3, 3, 3, 20, 0, 0, 7, 1]))] == [(0, 2), (2, 3), (3, 4), (4, 7), (7, 8)]
