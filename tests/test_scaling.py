@@ -8,6 +8,7 @@ from formscribe.operators import blocks, codes, kmeans, neighbours, terms
 from formscribe.operators.profile import KEY, key_profiles, key_stats
 from formscribe.operators.silhouette import silhouette
 from formscribe.session import cut_lineage
+from formscribe.plans.catalog.approximate import cell_recall, search_codes
 from formscribe.sources import csv_ranges
 
 
@@ -99,6 +100,17 @@ def test_terms_are_counted_without_moving_them(spark):
     assert got == [("aa", 2, 3), ("aa bb", 2, 2), ("bb", 2, 2), ("bb aa", 2, 2), ("cc", 3, 1), ("cc dd", 3, 1), ("dd", 3, 1)]
 
 
+def test_searches_ask_every_fiftieth_row_against_all(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(i % 3, 1.0, 8).tolist()) for i in range(130)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = search_codes(spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r["rank"]) for r in found) == sorted((q, k) for q in ("0", "50", "100") for k in range(1, 6))
+    assert any(int(r.id) % 50 for r in found)
+    share = cell_recall(spark, str(tmp_path)).first()
+    assert share.wanted == 15 and 0.0 < share.recall <= 1.0
+
+
 def test_signatures_of_a_table_are_worked_out_in_batches(spark):
     rows = spark.createDataFrame([("a", "b", "c", "x 12"), ("a", "b", "c", "y-3")], "key_part1 string, key_part2 string, key_part3 string, value string")
     for made in (key_stats(rows), key_profiles(rows)):
