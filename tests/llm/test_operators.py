@@ -600,3 +600,15 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert all(abs(taken[s] - t) <= max(longest[s], max(len(brute.words(r.text)) for r in clean.where(F.col("source").eqNullSafe(s)).collect())) / 2 + 1 for s, (_, t) in want.items())
     order = sorted(((r.doc_id, r.text) for r in mixed.collect()))
     assert sorted(tuple(r)[1:] for r in tokens.collect()) == sorted(token_rows([t for _, t in order]))
+
+
+def test_new_words_go_straight_to_the_model(monkeypatch):
+    enc, rng = token_files.Encoder(queries.tokenizer_path()), random.Random(3)
+    signs = ["a", "é", "Ω", "ʼ", "'s", "'", "ɏ", "ß", "9", "²", "_", "!", "***", "×", "÷", "\n", " ", "  ", "\t", "。", "日", "<|endoftext|>", "z", "́"]
+    texts = ["".join(rng.choices(signs[: rng.choice((6, 16, 17, len(signs)))], k=rng.randint(0, 25))) for _ in range(2000)]
+    monkeypatch.setattr(token_files, "REMEMBERED", 300)
+    for i in range(0, 2000, 50):
+        assert enc.encode(texts[i : i + 50]) == [enc.whole(t) for t in texts[i : i + 50]]
+    rest = []
+    monkeypatch.setattr(enc, "_learn", rest.extend)
+    assert enc.encode(["Bonjour été, zwei\nWörter***"])[0] == enc.whole("Bonjour été, zwei\nWörter***") and not rest
