@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from formscribe.config import Settings
 from formscribe.functions import text
-from formscribe.operators import blocks, codes, kmeans, neighbours, terms
+from formscribe.operators import blocks, codes, kmeans, neighbours, terms, vectors
 from formscribe.operators.profile import KEY, key_profiles, key_stats
 from formscribe.operators.silhouette import silhouette
 from formscribe.session import cut_lineage
@@ -34,6 +34,42 @@ def test_best_columns_over_several_tiles():
             assert list(zip((-s[r == i]).tolist(), c[r == i].tolist())) == sorted(line)[:k]
 
 
+def test_best_columns_from_products_of_32_bits():
+    rng = np.random.default_rng(5)
+    stored = rng.normal(size=(5000, 6))
+    stored[1::2] = stored[::2] + rng.normal(scale=1e-8, size=(2500, 6))
+    stored /= np.sqrt((stored * stored).sum(1))[:, None]
+    ids, few = np.array([f"{i:05d}" for i in range(5000)], dtype=object), stored.astype(np.float32)
+    exact = lambda r, c: np.einsum("ij,ij->i", stored[r], stored[c])
+    got = neighbours.best_columns(lambda q, t: few[q] @ few[t].T, ids[:600], ids, 5, 0.2, True, exact, 14 * 2.0**-23)
+    r, c = np.divmod(np.arange(600 * 5000), 5000)
+    every = exact(r, c).reshape(600, 5000)
+    for i in (0, 1, 511, 512, 599):
+        line = sorted((-x, j) for j, x in enumerate(every[i]) if j != i and x >= 0.2)[:5]
+        assert list(zip((-got[2][got[0] == i]).tolist(), got[1][got[0] == i].tolist())) == line
+
+
+def test_pairs_are_scored_in_batches_as_by_columns(spark):
+    rng = np.random.default_rng(6)
+    data = [(rng.normal(size=9).tolist(), rng.normal(size=9).tolist()) for _ in range(50)] + [([0.0] * 9, [1.0] * 9), (None, [1.0] * 9)]
+    scored = spark.createDataFrame(data, "a array<float>, b array<float>").select(vectors.cosine(F.col("a"), F.col("b")).alias("x"), vectors.paired_cosine(F.col("a"), F.col("b")).alias("y"))
+    assert "ArrowEvalPython" in scored._jdf.queryExecution().executedPlan().toString()
+    assert all(r.x == r.y for r in scored.collect())
+
+
+def test_lloyd_rounds_move_a_block_as_one_row(spark):
+    data = [("k", f"{i:03d}", 1, [0, 1], [float(i % 7), 1.0]) for i in range(100)] + [("j", "a", 2, [1], [3.0])]
+    rows = spark.createDataFrame(data, f"{KEY} string, id string, n long, idx array<int>, w array<double>")
+    blocked = blocks.add_blocks(rows, [KEY], "id", 20)
+    packed = kmeans._packed(blocked, [KEY]).collect()
+    assert len(packed) == blocked.select(KEY, "b").distinct().count() and sum(len(r.n) for r in packed) == 101
+    centres = spark.createDataFrame([("k", 5, 0, [0, 1], [0.0, 1.0]), ("k", 5, 1, [0, 1], [6.0, 1.0]), ("k", 5, 2, [0], [99.0]), ("j", 1, 0, [1], [3.0])], f"{KEY} string, nb int, cluster int, idx array<int>, w array<double>")
+    moved = {(r[KEY], r.cluster): r for r in kmeans._moved(spark.createDataFrame(packed), centres, [KEY], False).collect()}
+    near = [float(i % 7) for i in range(100)]
+    assert moved["k", 0].w == [round(np.mean([x for x in near if x <= 3]), 12), 1.0] and moved["k", 0].moved
+    assert moved["k", 2].w == [99.0] and not moved["k", 2].moved and moved["j", 0].w == [3.0] and not moved["j", 0].moved
+
+
 def test_silhouette_of_pairs_of_tiles(spark, monkeypatch):
     rng = np.random.default_rng(2)
     data = [("k", f"{i:03d}", 1, [0, 1], rng.normal(i % 3, 1, 2).tolist(), i % 3) for i in range(60)]
