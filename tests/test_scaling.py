@@ -136,6 +136,30 @@ def test_terms_are_counted_without_moving_them(spark):
     assert got == [("aa", 2, 3), ("aa bb", 2, 2), ("bb", 2, 2), ("bb aa", 2, 2), ("cc", 3, 1), ("cc dd", 3, 1), ("dd", 3, 1)]
 
 
+def test_term_totals_of_many_values(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    words = ["aa", "bb", "Éa", "d1", "x", "e_e"]
+    data = [(f"k{i % 3}", " ".join(rng.choice(words, rng.integers(0, 12))), int(rng.integers(1, 4))) for i in range(80)] + [("k1", "", 1), ("k9", "one two", 2)]
+    values = spark.createDataFrame(data, f"{KEY} string, value string, n long").groupBy(KEY, "value").agg(F.sum("n").alias("n")).coalesce(2)
+    monkeypatch.setattr(terms, "SLICE_WORDS", 50)
+    for analyzer, low, high in (("word", 1, 3), ("word", 2, 4), ("char", 2, 3)):
+        settings = Settings(ngram_min=low, ngram_max=high)
+        each = terms.term_counts(values, settings, analyzer)
+        sums = terms.term_counts(values, settings, analyzer, per_value=False)
+        plan = sums._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Generate" not in plan
+        wanted = each.groupBy(KEY, "term").agg(F.sum("n").alias("n"), F.sum(F.col("tf") * F.col("n")).alias("total"))
+        got = sums.groupBy(KEY, "term").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect())) != []
+
+
+def test_terms_below_the_floor_are_not_ranked(spark):
+    data = [("k", f"t{i:02d}", 10 - i // 3, 0) for i in range(30)] + [("j", "a", 1, 0)]
+    rows = spark.createDataFrame(data, f"{KEY} string, term string, total long, df long")
+    assert sorted(r.term for r in terms._above_floor(rows, 4).collect()) == ["a", *(f"t{i:02d}" for i in range(6))]
+    assert terms._above_floor(rows, 40).count() == 31
+
+
 def test_searches_ask_with_every_row(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(i % 3, 1.0, 8).tolist()) for i in range(130)]
